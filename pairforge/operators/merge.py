@@ -108,16 +108,22 @@ def keep_contrastive(df: DataFrame, min_pass: int = 2, min_fail: int = 2) -> Dat
     >=1 fail); both keep or drop whole tasks, so together they are this one.
     """
     counts = task_counts(df).filter((F.col("n_pass") >= min_pass) & (F.col("n_fail") >= min_fail))
-    return df.join(counts.select(*TASK), TASK, "left_semi")
+    # The per-task counts ride along (n_pass, n_fail): later stages need them.
+    return df.join(counts, TASK, "inner")
 
 
 def rank_answers(df: DataFrame, skew_safe: bool = True) -> DataFrame:
-    """0-based position in the per-task ranked list, plus the position among
-    passes (``pass_rank``) or among failures (``fail_rank``)."""
+    """0-based position in the per-task ranked list (``rank``), plus the
+    position among the task's passes or among its failures (``side_rank``)."""
     order = ["error_frequency", "answer_length", "answer_id", "output"]
     df = group_rank(df, TASK, order, name="rank", skew_safe=skew_safe)
-    df = df.withColumn("is_pass", F.col("error_frequency") == F.lit(PASS_SCALAR))
-    return group_rank(df, TASK + ["is_pass"], ["rank"], name="side_rank", skew_safe=skew_safe)
+    # Passes score 0.0 and every failure scores above it, so all passes
+    # come first: the position among failures is rank - n_pass.
+    if "n_pass" not in df.columns:
+        df = df.join(task_counts(df), TASK, "inner")
+    ok = F.col("error_frequency") == F.lit(PASS_SCALAR)
+    return (df.withColumn("is_pass", ok)
+              .withColumn("side_rank", F.when(ok, F.col("rank")).otherwise(F.col("rank") - F.col("n_pass"))))
 
 
 def error_type_order(ranked: DataFrame) -> DataFrame:

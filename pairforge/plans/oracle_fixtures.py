@@ -117,3 +117,52 @@ FROM benchmark
 
 def with_ctes(*named: tuple[str, str]) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({body})" for n, body in named)
+
+
+# The merge stage over a CTE named ``runs``: freq, averaged, scored,
+# deduped, kept, ranked (with is_pass, rank, side_rank).
+MERGE_CTES = """
+freq AS (
+  SELECT split, task_id, error_type,
+         CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY split, task_id) AS frequency
+  FROM runs WHERE error_type IS NOT NULL GROUP BY split, task_id, error_type),
+averaged AS (
+  SELECT split, task_id, answer_id, prompt, answer, output, error_type,
+         avg(avg_time) AS avg_time, avg(std_time) AS std_time
+  FROM runs
+  WHERE split IS NOT NULL AND task_id IS NOT NULL AND answer_id IS NOT NULL AND prompt IS NOT NULL
+    AND answer IS NOT NULL AND output IS NOT NULL AND error_type IS NOT NULL
+  GROUP BY split, task_id, answer_id, prompt, answer, output, error_type),
+scored AS (
+  SELECT a.*,
+         CASE WHEN a.error_type = '' THEN CAST(0.0 AS DOUBLE)
+              ELSE coalesce(f.frequency, CAST('inf' AS DOUBLE)) END AS error_frequency,
+         CASE WHEN a.output = 'passed' THEN CAST(length(a.answer) AS BIGINT)
+              ELSE max(length(a.answer)) OVER (PARTITION BY a.split) + 10000 END AS answer_length
+  FROM averaged a LEFT JOIN freq f
+    ON a.split = f.split AND a.task_id = f.task_id AND a.error_type = f.error_type),
+deduped AS (
+  SELECT * FROM scored
+  QUALIFY row_number() OVER (PARTITION BY split, answer
+          ORDER BY try_cast(task_id AS BIGINT) NULLS LAST, task_id, error_frequency, answer_length,
+                   answer_id, output) = 1),
+kept AS (
+  SELECT * FROM deduped
+  QUALIFY count_if(error_frequency = 0) OVER (PARTITION BY split, task_id) >= 2
+      AND count_if(error_frequency <> 0) OVER (PARTITION BY split, task_id) >= 2),
+ranked0 AS (
+  SELECT *, error_frequency = 0 AS is_pass,
+         row_number() OVER (PARTITION BY split, task_id
+                            ORDER BY error_frequency, answer_length, answer_id, output) - 1 AS rank
+  FROM kept),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY split, task_id, is_pass ORDER BY rank) - 1 AS side_rank
+  FROM ranked0)
+"""
+
+
+def merge_over(runs_body: str, *extra: tuple[str, str]) -> str:
+    """WITH-clause: fixture CTEs, ``runs``, then the merge chain."""
+    ctes = ",\n".join(f"{n} AS ({b})" for n, b in extra)
+    head = "WITH " + (ctes + ",\n" if ctes else "")
+    return head + f"runs AS ({runs_body}),\n" + MERGE_CTES
