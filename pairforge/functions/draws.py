@@ -29,5 +29,5 @@ def index_draw(n, seed, *keys) -> Column:
 def sql_unit_draw(seed, *key_sql: str) -> str:
     """DuckDB twin of :func:`unit_draw` (keys given as SQL expressions)."""
     parts = [f"'{seed}'"] + [f"CAST({k} AS VARCHAR)" for k in key_sql]
-    return (f"(CAST(('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8)) AS BIGINT)"
-            f" / {TWO_POW_32})")
+    return (f"(CAST(CAST(('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8)) AS BIGINT) AS DOUBLE)"
+            f" / CAST({TWO_POW_32} AS DOUBLE))")
