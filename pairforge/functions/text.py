@@ -65,7 +65,7 @@ def truncate_at_stops(c, stops=STOP_STRINGS) -> Column:
     arr = F.array(*[F.lit(s) for s in stops])
 
     def step(acc, s):
-        at = F.locate(s, acc)  # 1-based; 0 = absent
+        at = F.position(s, acc)  # 1-based; 0 = absent
         return F.when(at > 1, F.substr(acc, F.lit(1), at - 1)).otherwise(acc)
 
     return F.aggregate(arr, _col(c), step)
