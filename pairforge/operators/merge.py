@@ -167,22 +167,78 @@ def assert_non_empty(df: DataFrame, what: str = "samples") -> DataFrame:
     return df
 
 
-def merge_runs(runs: DataFrame, dedupe_scope: str = "split", min_pass: int = 2,
-               min_fail: int = 2, skew_safe: bool = True) -> dict[str, DataFrame]:
-    """The whole merge stage as one plan. Returns the intermediate tables by name.
-
-    ``ranked`` is the durable flat result; ``report`` and ``times`` are the
-    per-split and per-task summaries.
+class MergeResult:
+    """The merge stage's tables, built on first access.
+
+    ``kept`` and ``ranked`` are the stage's durable outputs: with
+    ``materialize`` they are written once as Parquet tables under
+    ``spark.checkpoint.dir`` and read back, so every later consumer
+    (pairs, schedules, reports) scans them instead of re-running the
+    merge, and a lost executor does not force recomputing the stage.
     """
-    freq = error_frequency(runs)
-    averaged = average_checks(runs)
-    scored = score(averaged, freq)
-    deduped = dedupe_keep_best(scored, dedupe_scope)
-    kept = keep_contrastive(deduped, min_pass, min_fail)
-    ranked = rank_answers(kept, skew_safe=skew_safe)
-    return {"frequency": freq, "averaged": averaged, "scored": scored, "deduped": deduped,
-            "kept": kept, "ranked": ranked, "times": time_stats(kept),
-            "report": filter_report(averaged, kept)}
+
+    def __init__(self, runs: DataFrame, dedupe_scope: str = "split", min_pass: int = 2,
+                 min_fail: int = 2, skew_safe: bool = True, materialize: bool = True):
+        self.runs, self.dedupe_scope = runs, dedupe_scope
+        self.min_pass, self.min_fail = min_pass, min_fail
+        self.skew_safe, self.materialize = skew_safe, materialize
+        self._cache: dict[str, DataFrame] = {}
+
+    def _get(self, name, build):
+        if name not in self._cache:
+            self._cache[name] = build()
+        return self._cache[name]
+
+    def _store(self, df, name):
+        if not self.materialize:
+            return df
+        from pairforge.session import materialize
+        return materialize(df, name)
+
+    @property
+    def frequency(self):
+        return self._get("frequency", lambda: error_frequency(self.runs))
+
+    @property
+    def averaged(self):
+        return self._get("averaged", lambda: average_checks(self.runs))
+
+    @property
+    def scored(self):
+        return self._get("scored", lambda: score(self.averaged, self.frequency))
+
+    @property
+    def deduped(self):
+        return self._get("deduped", lambda: dedupe_keep_best(self.scored, self.dedupe_scope))
+
+    @property
+    def kept(self):
+        return self._get("kept", lambda: self._store(
+            keep_contrastive(self.deduped, self.min_pass, self.min_fail), "kept"))
+
+    @property
+    def ranked(self):
+        # The skew-safe rank already writes the numbered rows once.
+        return self._get("ranked", lambda: rank_answers(self.kept, skew_safe=self.skew_safe)
+                         if self.skew_safe else self._store(rank_answers(self.kept, skew_safe=False), "ranked"))
+
+    @property
+    def times(self):
+        return self._get("times", lambda: time_stats(self.kept))
+
+    @property
+    def report(self):
+        return self._get("report", lambda: filter_report(self.averaged, self.kept))
+
+    def __getitem__(self, name):
+        return getattr(self, name)
+
+
+def merge_runs(runs: DataFrame, dedupe_scope: str = "split", min_pass: int = 2,
+               min_fail: int = 2, skew_safe: bool = True, materialize: bool = True) -> MergeResult:
+    """The whole merge stage. Tables by name: frequency, averaged, scored,
+    deduped, kept, ranked (the durable flat result), times, report."""
+    return MergeResult(runs, dedupe_scope, min_pass, min_fail, skew_safe, materialize)
 
 
 def nest_answers(ranked: DataFrame, times: DataFrame, chunk: int = 1000) -> DataFrame:

@@ -10,7 +10,7 @@ partitions; every partition numbers its rows locally, a small
 positions are joined back on the (unique) group+order key.
 
 The range bounds come from a seeded sample whose seed depends on the
-plan, so the numbered key table is checkpointed (reliable checkpoint in
+plan, so the numbered table is written once (a Parquet table under
 ``spark.checkpoint.dir``) before its two consumers read it; otherwise
 they could see different partition boundaries.
 """
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairforge.session import checkpoint_root
+from pairforge.session import materialize
 
 
 def _order_spec(order_cols):
@@ -43,8 +43,7 @@ def group_rank(df: DataFrame, group_cols: list[str], order_cols: list, name: str
     """Add ``name`` = 0-based position of each row inside its group.
 
     ``order_cols`` are column names or ``(name, ascending)`` pairs and must
-    make (group, order) unique, so positions are deterministic and the
-    join back is one-to-one.
+    make the order total inside a group, so positions are deterministic.
     """
     spec = _order_spec(order_cols)
     if not skew_safe:
@@ -52,23 +51,20 @@ def group_rank(df: DataFrame, group_cols: list[str], order_cols: list, name: str
         return df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
 
     spark = df.sparkSession
-    checkpoint_root(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key_names = list(group_cols) + [c for c, _ in spec]
     sort_keys = [F.col(g).asc_nulls_first() for g in group_cols] + _sort_exprs(spec)
-    keys = (df.select(*key_names)
-              .repartitionByRange(n, *sort_keys)
-              .sortWithinPartitions(*sort_keys)
-              .withColumn("_pf_pid", F.spark_partition_id())
-              .withColumn("_pf_mid", F.monotonically_increasing_id())
-              .checkpoint(eager=True))
-    stats = (keys.groupBy(*group_cols, "_pf_pid")
-                 .agg(F.count(F.lit(1)).alias("_pf_cnt"), F.min("_pf_mid").alias("_pf_first")))
+    numbered = (df.repartitionByRange(n, *sort_keys)
+                  .sortWithinPartitions(*sort_keys)
+                  .withColumn("_pf_pid", F.spark_partition_id())
+                  .withColumn("_pf_mid", F.monotonically_increasing_id()))
+    numbered = materialize(numbered, "ranked-rows")
+    stats = (numbered.groupBy(*group_cols, "_pf_pid")
+                     .agg(F.count(F.lit(1)).alias("_pf_cnt"), F.min("_pf_mid").alias("_pf_first")))
     # One row per (group, partition the group touches): at most groups + partitions rows.
     before = Window.partitionBy(*group_cols).orderBy("_pf_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stats.withColumn("_pf_off", F.coalesce(F.sum("_pf_cnt").over(before), F.lit(0)))
-    ranked = (keys.join(offsets.drop("_pf_cnt"), on=[*group_cols, "_pf_pid"], how="inner")
-                  .select(*[F.col(k).alias(f"_pf_k{i}") for i, k in enumerate(key_names)],
-                          (F.col("_pf_off") + F.col("_pf_mid") - F.col("_pf_first")).cast("long").alias(name)))
-    cond = [df[k].eqNullSafe(ranked[f"_pf_k{i}"]) for i, k in enumerate(key_names)]
-    return df.join(ranked, cond, "inner").drop(*[f"_pf_k{i}" for i in range(len(key_names))])
+    offsets = (stats.withColumn("_pf_off", F.coalesce(F.sum("_pf_cnt").over(before), F.lit(0)))
+                    .drop("_pf_cnt"))
+    pos = (F.col("_pf_off") + F.col("_pf_mid") - F.col("_pf_first")).cast("long")
+    return (numbered.join(offsets, on=[*group_cols, "_pf_pid"], how="inner")
+                    .withColumn(name, pos)
+                    .drop("_pf_pid", "_pf_mid", "_pf_first", "_pf_off"))

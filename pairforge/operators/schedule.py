@@ -34,21 +34,28 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def _floor_share(k, n, epochs) -> Column:
-    """floor(k * (n / E)) in doubles, as the reference computes it."""
+def _floor_share(k, n, epochs, exact: bool = False) -> Column:
+    """floor(k * (n / E)): in doubles as the reference computes it (which can
+    miss the last item for some (E, n)), or exactly in integers."""
+    if exact:
+        return F.floor((_c(k).cast("long") * _c(n).cast("long")) / F.lit(int(epochs))).cast("long")
     return F.floor(_c(k).cast("double") * (_c(n).cast("double") / F.lit(float(epochs)))).cast("long")
 
 
-def epoch_bounds(epoch, n, epochs: int, mode: str) -> tuple[Column, Column]:
+def epoch_bounds(epoch, n, epochs: int, mode: str, exact: bool = False) -> tuple[Column, Column]:
     """[start, end) of the slice for ``epoch`` of ``epochs`` over ``n`` items.
 
     modes: iter, expand, reverse, reverse_expand (over failures) and
-    type, type_reverse (over distinct failing types).
+    type, type_reverse (over distinct failing types). ``exact`` uses
+    integer arithmetic, so the ``iter`` slices partition the list when n >= E.
     """
     e, n = _c(epoch), _c(n)
+
+    def fs(k, n_, E):
+        return _floor_share(k, n_, E, exact)
     if mode in ("iter", "expand", "reverse", "type"):
-        s = _floor_share(e, n, epochs)
-        t0 = _floor_share(e + 1, n, epochs)
+        s = fs(e, n, epochs)
+        t0 = fs(e + 1, n, epochs)
         t = F.when(t0 == s, F.least(s + 1, n)).otherwise(t0)
         if mode in ("iter", "type"):
             return s, t
@@ -56,11 +63,11 @@ def epoch_bounds(epoch, n, epochs: int, mode: str) -> tuple[Column, Column]:
             return F.lit(0).cast("long"), t
         return n - t, n - s
     if mode == "reverse_expand":
-        s = _floor_share(F.lit(epochs) - e - 1, n, epochs)
+        s = fs(F.lit(epochs) - e - 1, n, epochs)
         return s, n
     if mode == "type_reverse":
-        s = F.least(_floor_share(F.lit(epochs) - e - 1, n, epochs), n - 1)
-        t = F.least(_floor_share(F.lit(epochs) - e, n, epochs), n)
+        s = F.least(fs(F.lit(epochs) - e - 1, n, epochs), n - 1)
+        t = F.least(fs(F.lit(epochs) - e, n, epochs), n)
         return s, F.greatest(s + 1, t)
     raise ValueError(mode)
 

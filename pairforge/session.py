@@ -64,3 +64,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder below the shared checkpoint root."""
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str = "table"):
+    """Write ``df`` as a Parquet table in a fresh folder under the shared
+    checkpoint root and return a DataFrame reading it back.
+
+    Cuts the lineage (a lost executor no longer forces recomputing the
+    upstream plan), fixes nondeterministic columns once, and lets later
+    consumers prune columns and push filters into the scan.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
