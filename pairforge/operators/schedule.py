@@ -102,11 +102,10 @@ def validation_counts_by_epoch(metrics: DataFrame, epochs: int) -> DataFrame:
     after epoch e - 1), epoch 0 has none. Passing rows ('' type) are
     dropped. The result has at most epochs x types rows.
     """
-    # The first step is a one-row aggregate, joined on a constant key.
-    first = metrics.agg(F.min("step").alias("_s0")).withColumn("_one", F.lit(1))
-    m = (metrics.filter(F.col("error_type") != "").withColumn("_one", F.lit(1))
-                .join(F.broadcast(first), "_one"))
-    m = m.withColumn("epoch", F.col("step") - F.col("_s0") + 1).filter(F.col("epoch") < epochs)
+    # The first step is a scalar subquery: evaluated once, no join.
+    first = metrics.select(F.min("step")).scalar()
+    m = metrics.filter(F.col("error_type") != "")
+    m = m.withColumn("epoch", F.col("step") - first + 1).filter(F.col("epoch") < epochs)
     w = Window.partitionBy("epoch")
     return (m.select("epoch", "error_type", F.col("n").cast("long").alias("cnt"))
              .withColumn("least", F.min("cnt").over(w))

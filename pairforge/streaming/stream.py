@@ -51,8 +51,8 @@ def latest_counts(spark: SparkSession, out_dir: str) -> DataFrame:
 
 def latest_metrics(metrics: DataFrame) -> DataFrame:
     """The whole error-count set of the newest step (it replaces earlier ones)."""
-    newest = metrics.agg(F.max("step").alias("step"))
-    return metrics.join(F.broadcast(newest), "step")
+    newest = metrics.select(F.max("step")).scalar()
+    return metrics.filter(F.col("step") == newest)
 
 
 def stream_latest_metrics(spark: SparkSession, metrics_dir: str, state_dir: str, checkpoint: str,
