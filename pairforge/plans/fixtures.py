@@ -94,9 +94,9 @@ def r4_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.col("props").alias("answer"))
 
 
-def v1_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def v1_metrics(spark: SparkSession, sf_dir: str, r1: DataFrame | None = None) -> DataFrame:
     """Validation error counts per step (= day of the event), long form."""
-    r1 = r1_runs(spark, sf_dir).filter(F.col("split") == "validation")
+    r1 = (r1 if r1 is not None else r1_runs(spark, sf_dir)).filter(F.col("split") == "validation")
     step = F.unix_date(F.to_date("ts")).cast("long")
     return (r1.groupBy(step.alias("step"), "error_type")
               .agg(F.count(F.lit(1)).alias("n")))

@@ -4,10 +4,10 @@ with validation feedback from V1 (error counts per day)."""
 from pyspark.sql import functions as F
 
 from pairforge.functions.draws import sql_unit_draw
+from pairforge.operators import merge as G
 from pairforge.operators import schedule as K
 from pairforge.plans import fixtures as X
 from pairforge.plans import oracle_fixtures as O
-from pairforge.plans.q_merge import merged
 from pairforge.plans.registry import r6, register
 
 EPOCHS = 5
@@ -149,8 +149,9 @@ picked AS (
 
 
 def _inputs(spark, sf_dir):
-    ranked = merged(spark, sf_dir, "r1")["ranked"].filter(F.col("split") == "train")
-    val = K.validation_counts_by_epoch(X.v1_metrics(spark, sf_dir), EPOCHS)
+    r1 = X.r1_runs(spark, sf_dir)
+    ranked = G.merge_runs(r1).ranked.filter(F.col("split") == "train")
+    val = K.validation_counts_by_epoch(X.v1_metrics(spark, sf_dir, r1), EPOCHS)
     return ranked, val
 
 

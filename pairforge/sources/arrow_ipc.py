@@ -21,9 +21,10 @@ FORMAT = "arrowipc"
 
 def _files(path: str) -> list[str]:
     if os.path.isdir(path):
-        found = [os.path.join(path, f) for f in sorted(os.listdir(path)) if f.endswith(".arrow")]
+        found = [os.path.join(path, f) for f in sorted(os.listdir(path))
+                 if f.endswith(".arrow") and not f.startswith(".")]
     else:
-        found = sorted(_glob.glob(path))
+        found = [f for f in sorted(_glob.glob(path)) if not os.path.basename(f).startswith(".")]
     return found
 
 
@@ -65,13 +66,28 @@ class _Reader(DataSourceReader):
 
 @dataclass
 class _Written(WriterCommitMessage):
-    path: str
+    tmp: str
+    final: str
 
 
 class _Writer(DataSourceArrowWriter):
+    """Each task attempt writes a hidden temporary file; the driver's
+    ``commit`` publishes only the files of successful attempts, so a
+    retried task never leaves a duplicate behind."""
+
     def __init__(self, path: str):
         self.path = path
 
+    def commit(self, messages):
+        for m in messages:
+            if m is not None and m.tmp:
+                os.replace(m.tmp, m.final)
+
+    def abort(self, messages):
+        for m in messages:
+            if m is not None and m.tmp and os.path.exists(m.tmp):
+                os.remove(m.tmp)
+
     def write(self, iterator):
         import pyarrow as pa
         import pyarrow.ipc as ipc
@@ -79,18 +95,16 @@ class _Writer(DataSourceArrowWriter):
         ctx = TaskContext.get()
         os.makedirs(self.path, exist_ok=True)
         name = f"part-{ctx.partitionId():05d}-{uuid.uuid4().hex[:8]}.arrow"
-        tmp = os.path.join(self.path, f".{name}.tmp")
+        tmp = os.path.join(self.path, f".{name}.attempt-{ctx.attemptNumber()}.tmp")
         writer = None
         for batch in iterator:
             if writer is None:
                 writer = ipc.new_stream(pa.OSFile(tmp, "wb"), batch.schema)
             writer.write_batch(batch)
         if writer is None:
-            return _Written("")
+            return _Written("", "")
         writer.close()
-        final = os.path.join(self.path, name)
-        os.replace(tmp, final)
-        return _Written(final)
+        return _Written(tmp, os.path.join(self.path, name))
 
 
 class ArrowIpcDataSource(DataSource):
