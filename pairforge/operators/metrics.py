@@ -70,3 +70,20 @@ def error_counts_map(counts: DataFrame, by=("split",)) -> DataFrame:
     return (counts.groupBy(*by)
                   .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("error_type", "n"))))
                        .alias("error_counts")))
+
+
+def metrics_long(runs: DataFrame, ks=(1, 5, 10), by=("split",)) -> DataFrame:
+    """The per-split metrics record in long form (metric, value):
+    guarded ``pass@k`` for each k, ``avg_answer_length``, ``avg_time`` and
+    ``error_count:<type>`` (a long table instead of a map keyed by data)."""
+    pk = (pass_at_k(attempts_and_correct(runs, (*by, "task_id")), ks, by=by, guarded=True)
+          .select(*by, F.concat(F.lit("pass@"), F.col("k").cast("string")).alias("metric"),
+                  F.col("pass_at_k").alias("value")))
+    avgs = pass_time_and_length(runs, by).select(
+        *by, F.explode(F.array(F.struct(F.lit("avg_answer_length").alias("metric"),
+                                        F.col("avg_answer_length").alias("value")),
+                               F.struct(F.lit("avg_time").alias("metric"), F.col("avg_time").alias("value"))
+                               )).alias("m")).select(*by, "m.metric", "m.value")
+    errs = (runs.groupBy(*by, "error_type").agg(F.count(F.lit(1)).cast("double").alias("value"))
+                .select(*by, F.concat(F.lit("error_count:"), F.col("error_type")).alias("metric"), "value"))
+    return pk.unionByName(avgs).unionByName(errs)

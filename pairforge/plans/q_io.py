@@ -97,3 +97,32 @@ SELECT step, error_type, n FROM v1 WHERE step = (SELECT max(step) FROM v1)
 """)
 def latest_metrics(spark, sf_dir):
     return ST.latest_metrics(X.v1_metrics(spark, sf_dir)).select("step", "error_type", "n")
+
+
+@register("metrics_report", O.with_ctes(("r1", O.R1)) + """
+, att AS (SELECT split, task_id, CAST(count(*) AS BIGINT) AS n, CAST(count_if(output = 'passed') AS BIGINT) AS c
+          FROM r1 GROUP BY ALL),
+ks AS (SELECT unnest([1, 5, 10]) AS k),
+pt AS (SELECT split, n, c, k,
+              CASE WHEN n - c < k THEN CAST(1.0 AS DOUBLE) WHEN c = 0 THEN CAST(0.0 AS DOUBLE)
+                   ELSE 1.0 - list_reduce(list_transform(range(n - c + 1, n + 1), lambda i: 1.0 - k / i),
+                                          lambda a, b: a * b) END AS p
+       FROM att, ks),
+pk AS (SELECT split, 'pass@' || CAST(k AS VARCHAR) AS metric, avg(p) AS value FROM pt
+       GROUP BY split, k HAVING min(n) >= k),
+av AS (SELECT split, 'avg_answer_length' AS metric,
+              avg(CASE WHEN output = 'passed' THEN answer_length END) AS value FROM r1 GROUP BY split
+       UNION ALL
+       SELECT split, 'avg_time' AS metric, avg(CASE WHEN output = 'passed' THEN avg_time END) FROM r1 GROUP BY split),
+er AS (SELECT split, 'error_count:' || error_type AS metric, CAST(count(*) AS DOUBLE) AS value FROM r1 GROUP BY ALL)
+SELECT split, CAST(0 AS BIGINT) AS check_id, metric, round(value, 6) AS value
+FROM (SELECT * FROM pk UNION ALL SELECT * FROM av UNION ALL SELECT * FROM er)
+""")
+def metrics_report(spark, sf_dir):
+    from pairforge.operators import metrics as M
+    path = scratch_path(spark, "metrics")
+    m = M.metrics_long(X.r1_runs(spark, sf_dir)).withColumn("check_id", F.lit(0).cast("long"))
+    IO.write_metrics(m, path)
+    back = spark.read.schema("metric string, value double, split string, check_id long") \
+                .option("basePath", path).json(path)
+    return back.select("split", "check_id", "metric", r6("value").alias("value"))

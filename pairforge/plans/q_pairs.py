@@ -125,3 +125,23 @@ def sft_one_answer(spark, sf_dir):
     r = merged(spark, sf_dir, "r2")["ranked"].withColumn("problem", add_system_prompt("prompt"))
     s = P.sft_one_answer(r, seed=SEED, problem_col="problem")
     return s.select("split", "id", "answer_id", F.md5("text").alias("text_md5"))
+
+
+def _sft_format(row):
+    """A user formatting function: one SFT text for the row's answer."""
+    return [f"### Question: {row['problem']}\n ### Answer: {row['answer']}"]
+
+
+@register("sft_format_hook", R2_MERGE + f"""
+SELECT split, task_id AS id, answer_id,
+       md5('### Question: ' || {SYS_HEAD} || prompt || {SYS_TAIL} || chr(10) || ' ### Answer: ' || answer)
+       AS text_md5
+FROM ranked WHERE is_pass
+""")
+def sft_format_hook(spark, sf_dir):
+    from pairforge.operators.hooks import formatting_hook
+    r = P.select_pass(merged(spark, sf_dir, "r2")["ranked"]).withColumn("problem", add_system_prompt("prompt"))
+    h = formatting_hook(r, _sft_format, ["problem", "answer"])
+    return h.select("split", F.col("task_id").alias("id"), "answer_id",
+                    F.explode("texts").alias("text")).select("split", "id", "answer_id",
+                                                             F.md5("text").alias("text_md5"))
