@@ -20,19 +20,24 @@ def attempts_and_correct(runs: DataFrame, keys=("split", "task_id")) -> DataFram
                 .agg(F.count(F.lit(1)).alias("n"), F.count_if(is_pass()).alias("c")))
 
 
-def pass_at_k_expr(n="n", c="c", k="k", guard_zero: bool = True) -> Column:
-    """Unbiased pass@k of one task: 1 - C(n-c, k) / C(n, k) as a running product.
-
-    1 when n - c < k; otherwise 1 - prod_{i=n-c+1..n} (1 - k / i). With c = 0
-    the product is empty (0); Spark's ``sequence`` would count downwards, so
-    that case has its own branch.
+def pass_at_k_expr(n="n", c="c", k="k") -> Column:
+    """Unbiased pass@k of one task: 1 - C(n-c, k) / C(n, k).
+
+    1 when n - c < k; 0 when c = 0 (Spark's ``sequence`` would count
+    downwards there). Otherwise the ratio is a product of min(c, k) terms:
+    prod_{i=n-c+1..n} (1 - k/i) (the reference's form) when c <= k, else the
+    equal prod_{j=0..k-1} (n-c-j)/(n-j). Work per task is bounded by k, not
+    by the number of attempts.
     """
     n, c, k = (F.col(x) if isinstance(x, str) else x for x in (n, c, k))
-    prod = F.aggregate(F.sequence(n - c + 1, n), F.lit(1.0),
-                       lambda acc, i: acc * (F.lit(1.0) - k / i))
-    return (F.when(n - c < k, F.lit(1.0))
+    one = F.lit(1.0)
+    by_correct = F.aggregate(F.sequence(n - c + 1, n), one, lambda acc, i: acc * (one - k / i))
+    by_k = F.aggregate(F.sequence(F.lit(0).cast("long"), (k - 1).cast("long")), one,
+                       lambda acc, j: acc * ((n - c - j) / (n - j)))
+    return (F.when(n - c < k, one)
              .when(c == 0, F.lit(0.0))
-             .otherwise(F.lit(1.0) - prod))
+             .when(c <= k, one - by_correct)
+             .otherwise(one - by_k))
 
 
 def pass_at_k(attempts: DataFrame, ks=(1, 5, 10), by=("split",), guarded: bool = True) -> DataFrame:

@@ -11,8 +11,20 @@ from pairforge.operators import metrics as M
 from pairforge.operators import schedule as K
 
 
+def _ref_pass_at_k(n, c, k):
+    if n - c < k:
+        return 1.0
+    p = 1.0
+    for i in range(n - c + 1, n + 1):
+        p *= 1.0 - k / i
+    return 1.0 - p
+
+
 @pytest.mark.parametrize("n,c,k,want", [(5, 0, 1, 0.0), (5, 5, 1, 1.0), (3, 0, 5, 1.0),
-                                        (10, 5, 5, 0.9960317460317460), (10, 0, 5, 0.0)])
+                                        (10, 5, 5, 0.9960317460317460), (10, 0, 5, 0.0),
+                                        (10, 7, 2, _ref_pass_at_k(10, 7, 2)),
+                                        (1000, 900, 3, _ref_pass_at_k(1000, 900, 3)),
+                                        (53, 20, 1, _ref_pass_at_k(53, 20, 1))])
 def test_pass_at_k_expr(spark, n, c, k, want):
     df = spark.createDataFrame([(n, c, k)], "n long, c long, k int")
     got = df.select(M.pass_at_k_expr().alias("p")).first().p
