@@ -125,3 +125,9 @@ def sft_one_answer(ranked: DataFrame, seed: int = 0, problem_col: str = "prompt"
     return (t.join(c, [*TASK, "c_pos"])
              .select("split", F.col("task_id").alias("id"), "answer_id",
                      sft_text(F.col(problem_col), F.col("answer")).alias("text")))
+
+
+def constant_columns(df: DataFrame, names=("prompt", "chosen", "rejected"), value: str = "") -> DataFrame:
+    """Add (or overwrite) string columns holding one constant, e.g. the empty
+    pair columns a dynamic pair builder fills per epoch."""
+    return df.withColumns({n: F.lit(value) for n in names})

@@ -129,3 +129,9 @@ def test_exact_bounds_partition_when_n_ge_epochs(spark):
     for r in df.select(s.alias("s"), t.alias("t")).collect():
         covered |= set(range(r.s, r.t))
     assert covered == set(range(n))
+
+
+def test_constant_columns(spark):
+    from pairforge.operators.pairs import constant_columns
+    df = constant_columns(spark.createDataFrame([(1,)], "x int"))
+    assert df.first().asDict() == {"x": 1, "prompt": "", "chosen": "", "rejected": ""}
