@@ -154,8 +154,8 @@ ranked0 AS (
   SELECT *, error_frequency = 0 AS is_pass,
          row_number() OVER (PARTITION BY split, task_id
                             ORDER BY error_frequency, answer_length, answer_id, output) - 1 AS rank,
-         count_if(error_frequency = 0) OVER (PARTITION BY split, task_id) AS n_pass,
-         count_if(error_frequency <> 0) OVER (PARTITION BY split, task_id) AS n_fail
+         CAST(count_if(error_frequency = 0) OVER (PARTITION BY split, task_id) AS BIGINT) AS n_pass,
+         CAST(count_if(error_frequency <> 0) OVER (PARTITION BY split, task_id) AS BIGINT) AS n_fail
   FROM kept),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY split, task_id, is_pass ORDER BY rank) - 1 AS side_rank

@@ -117,8 +117,8 @@ def rank_answers_runs(spark, sf_dir):
   FROM ranked WHERE NOT is_pass GROUP BY ALL)
 SELECT split, task_id, error_type, type_count,
        row_number() OVER (PARTITION BY split, task_id ORDER BY first_rank) - 1 AS type_order,
-       coalesce(sum(type_count) OVER (PARTITION BY split, task_id ORDER BY first_rank
-                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS type_start
+       CAST(coalesce(sum(type_count) OVER (PARTITION BY split, task_id ORDER BY first_rank
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS type_start
 FROM per_type
 """)
 def error_type_order(spark, sf_dir):
@@ -128,7 +128,7 @@ def error_type_order(spark, sf_dir):
 
 
 @register("time_stats", R1_MERGE + """
-SELECT split, task_id, count_if(error_frequency = 0) AS count,
+SELECT split, task_id, CAST(count_if(error_frequency = 0) AS BIGINT) AS count,
        round(avg(avg_time), 6) AS avg, round(stddev_samp(avg_time), 6) AS std,
        round(stddev_samp(avg_time) / avg(avg_time), 6) AS cov
 FROM kept GROUP BY ALL
@@ -147,7 +147,7 @@ def time_stats(spark, sf_dir):
          round(sum(error_frequency), 6) AS sum_frequency
   FROM ranked GROUP BY ALL),
 times AS (
-  SELECT split, task_id, count_if(error_frequency = 0) AS count, round(avg(avg_time), 6) AS avg,
+  SELECT split, task_id, CAST(count_if(error_frequency = 0) AS BIGINT) AS count, round(avg(avg_time), 6) AS avg,
          round(stddev_samp(avg_time), 6) AS std, round(stddev_samp(avg_time) / avg(avg_time), 6) AS cov
   FROM kept GROUP BY ALL)
 SELECT n.split, n.task_id AS id, n.prompt AS problem, n.part, n.n_answers, n.digest, n.sum_frequency,

@@ -24,7 +24,7 @@ SELECT split, k, round(avg(p), 6) AS pass_at_k FROM pt GROUP BY ALL
 
 
 @register("attempts_correct", O.with_ctes(("r1", O.R1)) + """
-SELECT split, task_id, count(*) AS n, count_if(output = 'passed') AS c FROM r1 GROUP BY ALL
+SELECT split, task_id, count(*) AS n, CAST(count_if(output = 'passed') AS BIGINT) AS c FROM r1 GROUP BY ALL
 """)
 def attempts_correct(spark, sf_dir):
     return M.attempts_and_correct(X.r1_runs(spark, sf_dir))

@@ -48,8 +48,8 @@ tasks AS (SELECT DISTINCT split, task_id, prompt, n_pass, n_fail FROM rk),
 types AS (
   SELECT split, task_id, error_type, type_count,
          row_number() OVER (PARTITION BY split, task_id ORDER BY first_rank) - 1 AS type_order,
-         coalesce(sum(type_count) OVER (PARTITION BY split, task_id ORDER BY first_rank
-                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS type_start
+         CAST(coalesce(sum(type_count) OVER (PARTITION BY split, task_id ORDER BY first_rank
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS type_start
   FROM (SELECT split, task_id, error_type, min(rank) AS first_rank, count(*) AS type_count
         FROM rk WHERE NOT is_pass GROUP BY ALL)),
 ntypes AS (SELECT split, task_id, count(*) AS n_types FROM types GROUP BY ALL),
@@ -118,7 +118,7 @@ added AS (
   SELECT *, coalesce(sum(added) OVER (PARTITION BY split, task_id, epoch ORDER BY cnt DESC, error_type
                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum_before
   FROM added0),
-tot AS (SELECT split, task_id, epoch, sum(added) AS A FROM added GROUP BY ALL),
+tot AS (SELECT split, task_id, epoch, CAST(sum(added) AS BIGINT) AS A FROM added GROUP BY ALL),
 wa AS (SELECT w.*, coalesce(tot.A, 0) AS A FROM w LEFT JOIN tot
        ON tot.split = w.split AND tot.task_id = w.task_id AND tot.epoch = w.epoch)
 """
