@@ -32,6 +32,8 @@ def annotate(candidates: DataFrame, verifier, time_limit: float | None = None,
     balanced even when one task has most candidates. With ``time_limit``
     (seconds), a pass slower than the limit is a TimeoutError.
     """
+    from pairforge.session import ship_package
+    ship_package(candidates.sparkSession)
     schema = T.StructType(list(candidates.schema.fields) + VERDICT_FIELDS)
     cols = candidates.columns
     limit_ns = None if time_limit is None else int(time_limit * 1e9)

@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 def formatting_hook(df: DataFrame, fn, input_cols: list[str], output_col: str = "texts") -> DataFrame:
     """Add ``output_col`` = fn(row as dict) for every row; fn must return a list of str."""
+    from pairforge.session import ship_package
+    ship_package(df.sparkSession)
     names = list(input_cols)
 
     @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -78,3 +78,23 @@ def materialize(df, name: str = "table"):
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def ship_package(spark) -> None:
+    """Make ``pairforge`` importable in Python workers (like ``--py-files``).
+
+    Python-side operators (verifier, formatting hook, Arrow data source)
+    are unpickled on executors and import this package there. The package
+    is zipped once per SparkContext on the driver and added with
+    ``addPyFile``; Spark ships it to every executor.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_pairforge_shipped", False):
+        return
+    import shutil
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="pairforge-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out, "pairforge"), "zip",
+                                  root_dir=os.path.dirname(pkg), base_dir="pairforge")
+    sc.addPyFile(archive)
+    sc._pairforge_shipped = True

@@ -127,4 +127,6 @@ class ArrowIpcDataSource(DataSource):
 
 
 def register(spark) -> None:
+    from pairforge.session import ship_package
+    ship_package(spark)
     spark.dataSource.register(ArrowIpcDataSource)
