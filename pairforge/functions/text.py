@@ -120,7 +120,7 @@ def cov(std, avg) -> Column:
 def hash_word_ids(c, bits: int = 24) -> Column:
     """Default JVM-side tokenizer: split on single spaces, id = leading md5 bits of the word.
 
-    Real tokenizers plug in through ``pairforge.operators.tokens.tokenize_udf``.
+    Other tokenizers plug in through ``pairforge.operators.tokens.tokenize_udf``.
     """
     hexdigits = bits // 4
     return F.transform(F.split(_col(c), " "),

@@ -135,3 +135,12 @@ def test_constant_columns(spark):
     from pairforge.operators.pairs import constant_columns
     df = constant_columns(spark.createDataFrame([(1,)], "x int"))
     assert df.first().asDict() == {"x": 1, "prompt": "", "chosen": "", "rejected": ""}
+
+
+def test_tokenize_udf_feeds_truncation(spark):
+    from pairforge.operators.tokens import tokenize_udf
+    codepoints = tokenize_udf(lambda s: [ord(ch) for ch in s])
+    df = spark.createDataFrame([("abcdef", "xy", "z")], "p string, c string, r string")
+    p, c, r = T.truncate_pair_tokens(codepoints("p"), codepoints("c"), codepoints("r"), max_len=4, eos_id=0)
+    row = df.select(p.alias("p"), c.alias("c"), r.alias("r")).first()
+    assert row.p == [ord(x) for x in "cdef"] and row.c == [ord("x"), ord("y")] and row.r == [ord("z"), 0]
