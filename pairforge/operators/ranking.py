@@ -38,15 +38,33 @@ def _sort_exprs(spec):
     return [F.col(n).asc_nulls_first() if a else F.col(n).desc_nulls_last() for n, a in spec]
 
 
+# Largest group a single window task may hold. Above it, a group is
+# numbered across range partitions instead.
+MAX_WINDOW_GROUP_ROWS = 1_000_000
+
+
+def largest_group(df: DataFrame, group_cols: list[str]) -> int:
+    """Row count of the biggest group (a partial-aggregated count; one number to the driver)."""
+    v = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    return int(v or 0)
+
+
 def group_rank(df: DataFrame, group_cols: list[str], order_cols: list, name: str = "rank",
-               skew_safe: bool = True, num_partitions: int | None = None) -> DataFrame:
+               skew_safe: bool = True, num_partitions: int | None = None,
+               max_group_rows: int | None = None) -> DataFrame:
     """Add ``name`` = 0-based position of each row inside its group.
 
     ``order_cols`` are column names or ``(name, ascending)`` pairs and must
     make the order total inside a group, so positions are deterministic.
+
+    With ``skew_safe`` the group sizes are checked first: when no group
+    exceeds ``max_group_rows`` (default ``MAX_WINDOW_GROUP_ROWS``) a
+    partitioned window is used, since no task can receive more than that
+    bound; otherwise every group is numbered across range partitions.
     """
     spec = _order_spec(order_cols)
-    if not skew_safe:
+    limit = MAX_WINDOW_GROUP_ROWS if max_group_rows is None else max_group_rows
+    if not skew_safe or largest_group(df, group_cols) <= limit:
         w = Window.partitionBy(*group_cols).orderBy(*_sort_exprs(spec))
         return df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
 

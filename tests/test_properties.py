@@ -16,6 +16,22 @@ def r1_merge(spark):
     return G.merge_runs(X.r1_runs(spark, SMALL))
 
 
+def test_size_checked_and_range_paths_agree(spark):
+    """The merge with every group forced onto the range-partitioned path
+    ranks exactly like the size-checked window path."""
+    import pairforge.operators.ranking as RK
+    base = {(r.split, r.task_id, r.answer_id): r.rank for r in
+            G.merge_runs(X.r1_runs(spark, SMALL)).ranked.collect()}
+    old = RK.MAX_WINDOW_GROUP_ROWS
+    RK.MAX_WINDOW_GROUP_ROWS = 0
+    try:
+        forced = {(r.split, r.task_id, r.answer_id): r.rank for r in
+                  G.merge_runs(X.r1_runs(spark, SMALL)).ranked.collect()}
+    finally:
+        RK.MAX_WINDOW_GROUP_ROWS = old
+    assert base == forced and len(base) > 0
+
+
 def test_one_row_per_answer_after_dedupe(r1_merge):
     d = r1_merge.deduped
     assert d.count() == d.select("split", "answer").distinct().count()
@@ -42,7 +58,8 @@ def test_ranks_are_dense_and_passes_first(r1_merge):
 def test_group_rank_independent_of_partitioning(spark, parts):
     ev = spark.read.parquet(f"{SMALL}/events.parquet").select("event_id", "ts", (F.col("user_id") % 3).alias("g"))
     plain = group_rank(ev, ["g"], ["ts", "event_id"], "r", skew_safe=False)
-    safe = group_rank(ev.repartition(parts), ["g"], ["ts", "event_id"], "r", num_partitions=parts)
+    safe = group_rank(ev.repartition(parts), ["g"], ["ts", "event_id"], "r", num_partitions=parts,
+                      max_group_rows=0)
     a = {(r.event_id, r.r) for r in plain.collect()}
     b = {(r.event_id, r.r) for r in safe.collect()}
     assert a == b and len(a) == ev.count()
@@ -51,7 +68,7 @@ def test_group_rank_independent_of_partitioning(spark, parts):
 def test_group_rank_hot_group_spans_partitions(spark):
     """One group holding every row is numbered across many partitions."""
     ev = spark.read.parquet(f"{SMALL}/events.parquet").select("event_id", "ts").withColumn("g", F.lit(1))
-    r = group_rank(ev, ["g"], ["ts", "event_id"], "r", num_partitions=8)
+    r = group_rank(ev, ["g"], ["ts", "event_id"], "r", num_partitions=8, max_group_rows=0)
     rows = r.select("r").collect()
     assert sorted(x.r for x in rows) == list(range(ev.count()))
 
