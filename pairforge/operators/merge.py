@@ -218,9 +218,9 @@ class MergeResult:
 
     @property
     def ranked(self):
-        # The skew-safe rank already writes the numbered rows once.
-        return self._get("ranked", lambda: rank_answers(self.kept, skew_safe=self.skew_safe)
-                         if self.skew_safe else self._store(rank_answers(self.kept, skew_safe=False), "ranked"))
+        # The skew-safe ranking already returns a written table.
+        return self._get("ranked", lambda: rank_answers(self.kept, skew_safe=True) if self.skew_safe
+                         else self._store(rank_answers(self.kept, skew_safe=False), "ranked"))
 
     @property
     def times(self):

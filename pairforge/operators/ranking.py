@@ -64,9 +64,14 @@ def group_rank(df: DataFrame, group_cols: list[str], order_cols: list, name: str
     """
     spec = _order_spec(order_cols)
     limit = MAX_WINDOW_GROUP_ROWS if max_group_rows is None else max_group_rows
-    if not skew_safe or largest_group(df, group_cols) <= limit:
+    if not skew_safe:
         w = Window.partitionBy(*group_cols).orderBy(*_sort_exprs(spec))
         return df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
+    if largest_group(df, group_cols) <= limit:
+        # Both paths return a written table: positions are usually read by
+        # several consumers, which then scan it instead of re-ranking.
+        w = Window.partitionBy(*group_cols).orderBy(*_sort_exprs(spec))
+        return materialize(df.withColumn(name, (F.row_number().over(w) - 1).cast("long")), "ranked-rows")
 
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
