@@ -78,20 +78,21 @@ def task_epochs(ranked: DataFrame, epochs: int) -> DataFrame:
     return t.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(epochs - 1).cast("long"))))
 
 
-def failure_index(ranked: DataFrame) -> DataFrame:
+def failure_index(ranked: DataFrame, types: DataFrame | None = None) -> DataFrame:
     """Failures with their position among failures (``side_rank``), the
     first-appearance order of their type, and their position inside the
     type (``type_rank``) and inside the type-grouped list (``tpos``)."""
     fails = ranked.filter(~F.col("is_pass"))
-    types = error_type_order(ranked)
+    types = types if types is not None else error_type_order(ranked)
     f = group_rank(fails, TASK + ["error_type"], ["side_rank"], name="type_rank")
     f = f.join(types, TASK + ["error_type"])
     return f.withColumn("tpos", F.col("type_start") + F.col("type_rank"))
 
 
-def task_type_counts(ranked: DataFrame) -> DataFrame:
+def task_type_counts(ranked: DataFrame, types: DataFrame | None = None) -> DataFrame:
     """Per task: number of distinct failing types."""
-    return error_type_order(ranked).groupBy(*TASK).agg(F.count(F.lit(1)).alias("n_types"))
+    types = types if types is not None else error_type_order(ranked)
+    return types.groupBy(*TASK).agg(F.count(F.lit(1)).alias("n_types"))
 
 
 def validation_counts_by_epoch(metrics: DataFrame, epochs: int) -> DataFrame:
@@ -135,11 +136,11 @@ def progressive_pairs(ranked: DataFrame, schedule: str, epochs: int, seed: int =
     fails = ranked.filter(~F.col("is_pass"))
     u = unit_draw(seed, F.col("split"), F.col("task_id"), F.col("epoch"), "rejected")
 
+    types = error_type_order(ranked)
     if schedule in ("pvf_iter_type", "pvf_iter_type_reverse"):
         mode = "type" if schedule == "pvf_iter_type" else "type_reverse"
-        fi = failure_index(ranked)
-        types = error_type_order(ranked)
-        te = te.join(task_type_counts(ranked), TASK)
+        fi = failure_index(ranked, types)
+        te = te.join(task_type_counts(ranked, types), TASK)
         ts, tt = epoch_bounds("epoch", "n_types", epochs, mode)
         te = te.withColumn("_ts", ts).withColumn("_tl", tt - 1)
         lo = types.select(*TASK, F.col("type_order").alias("_ts"), F.col("type_start").alias("lo"))
@@ -164,7 +165,7 @@ def progressive_pairs(ranked: DataFrame, schedule: str, epochs: int, seed: int =
                      F.col("answer_id").alias("rejected_id"))
 
     if schedule.endswith("_priority") and val_counts is not None:
-        added = replay_added(te, ranked, val_counts)
+        added = replay_added(te, ranked, val_counts, types)
         tot = added.groupBy(*TASK, "epoch").agg(F.sum("added").alias("A"))
         te = te.join(tot, [*TASK, "epoch"], "left").fillna(0, ["A"])
         te = te.withColumn("_p", F.floor(u * (F.col("W") + F.col("A"))).cast("long"))
@@ -178,7 +179,7 @@ def progressive_pairs(ranked: DataFrame, schedule: str, epochs: int, seed: int =
                 .withColumn("type_rank", F.floor(
                     unit_draw(seed, F.col("split"), F.col("task_id"), F.col("epoch"), "replay")
                     * F.col("type_count")).cast("long")))
-        fi = failure_index(ranked).select(*TASK, "error_type", "type_rank", F.col("side_rank").alias("r_pos"),
+        fi = failure_index(ranked, types).select(*TASK, "error_type", "type_rank", F.col("side_rank").alias("r_pos"),
                                           F.col("answer").alias("rejected"),
                                           F.col("answer_id").alias("rejected_id"))
         out_r = rp.join(fi, [*TASK, "error_type", "type_rank"])
@@ -195,7 +196,8 @@ def _finish(df: DataFrame, schedule: str) -> DataFrame:
                      "chosen_id", "rejected_id", "c_pos", "r_pos")
 
 
-def replay_added(te: DataFrame, ranked: DataFrame, val_counts: DataFrame) -> DataFrame:
+def replay_added(te: DataFrame, ranked: DataFrame, val_counts: DataFrame,
+                 types: DataFrame | None = None) -> DataFrame:
     """Per (task, epoch, failing type present in both the task and the
     validation counts): the number of replay draws added_t and the start of
     its block (types ordered by count desc, then name).
@@ -203,7 +205,7 @@ def replay_added(te: DataFrame, ranked: DataFrame, val_counts: DataFrame) -> Dat
     added_t = max(ceil(cnt_t / min cnt), floor(W * cnt_t / sum cnt)),
     with min and sum over all validation failing types of that epoch.
     """
-    types = error_type_order(ranked).select(*TASK, "error_type", "type_count")
+    types = (types if types is not None else error_type_order(ranked)).select(*TASK, "error_type", "type_count")
     # val_counts has at most epochs x types rows: a proven bound for broadcast.
     a = (te.select(*TASK, "epoch", "W").join(F.broadcast(val_counts), "epoch")
            .join(types, TASK + ["error_type"]))
