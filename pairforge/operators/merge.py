@@ -151,12 +151,17 @@ def time_stats(kept: DataFrame) -> DataFrame:
 
 
 def filter_report(averaged: DataFrame, kept: DataFrame) -> DataFrame:
-    """Totals before and after filtering, per split, as one row each."""
-    before = averaged.groupBy("split").agg(F.count_distinct("task_id").alias("total_prob"),
-                                           F.count(F.lit(1)).alias("total_ans"))
-    after = kept.groupBy("split").agg(F.count_distinct("task_id").alias("filtered_prob"),
-                                      F.count(F.lit(1)).alias("filtered_ans"))
-    r = before.join(after, "split", "left").fillna(0, ["filtered_prob", "filtered_ans"])
+    """Totals before and after filtering, per split, as one row each.
+
+    One union and two partial-aggregated levels (per task, then per
+    split): no join, and a hot task is combined map-side.
+    """
+    tagged = (averaged.select("split", "task_id", F.lit(1).alias("_b"), F.lit(0).alias("_a"))
+                      .unionByName(kept.select("split", "task_id", F.lit(0).alias("_b"), F.lit(1).alias("_a"))))
+    per_task = tagged.groupBy("split", "task_id").agg(F.sum("_b").alias("_nb"), F.sum("_a").alias("_na"))
+    r = per_task.groupBy("split").agg(
+        F.count_if(F.col("_nb") > 0).alias("total_prob"), F.sum("_nb").cast("long").alias("total_ans"),
+        F.count_if(F.col("_na") > 0).alias("filtered_prob"), F.sum("_na").cast("long").alias("filtered_ans"))
     return (r.withColumn("ratio_prob", round_ratio("filtered_prob", "total_prob"))
              .withColumn("ratio_ans", round_ratio("filtered_ans", "total_ans")))
 

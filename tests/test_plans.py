@@ -14,7 +14,8 @@ def plan_of(df):
 
 
 @pytest.mark.parametrize("name", ["all_pairs_runs", "pvf_iter_priority", "pvf_iter_type", "rank_answers_runs",
-                                  "dedupe_keep_best", "replay_weights", "stable_timing"])
+                                  "dedupe_keep_best", "replay_weights", "stable_timing", "filter_report",
+                                  "filter_report_runs", "nest_answers", "one_pair", "latest_metrics"])
 def test_no_cartesian_or_global_window(spark, name):
     df = E.queries()[name](spark, SMALL)
     p = plan_of(df)
