@@ -84,15 +84,18 @@ def dedupe_keep_best(scored: DataFrame, scope: str = "split") -> DataFrame:
     map-side before the shuffle instead of meeting in one window.
     """
     by = ["split", "answer"] if scope == "split" else ["split", "task_id", "answer"]
+    # A 64-bit hash of the text leads the key: the sort-based aggregate then
+    # compares long texts only on hash ties; the text itself keeps it exact.
+    keyed = scored.withColumn("_pf_h", F.xxhash64("answer"))
     order = task_order_key() + [F.col("error_frequency"), F.col("answer_length"),
                                 F.col("answer_id"), F.col("output")]
     order_names = ["_k0", "_k1", "_k2", "_k3", "_k4", "_k5", "_k6"]
     payload = [c for c in scored.columns if c not in by]
     best = F.min(F.struct(*[o.alias(n) for o, n in zip(order, order_names)],
                           *[F.col(c) for c in payload])).alias("_best")
-    return (scored.groupBy(*by).agg(best)
-                  .select(*by, *[F.col(f"_best.{c}").alias(c) for c in payload])
-                  .select(*scored.columns))
+    return (keyed.groupBy("_pf_h", *by).agg(best)
+                 .select(*by, *[F.col(f"_best.{c}").alias(c) for c in payload])
+                 .select(*scored.columns))
 
 
 def task_counts(df: DataFrame) -> DataFrame:
