@@ -17,6 +17,8 @@ they could see different partition boundaries.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,8 +41,9 @@ def _sort_exprs(spec):
 
 
 # Largest group a single window task may hold. Above it, a group is
-# numbered across range partitions instead.
-MAX_WINDOW_GROUP_ROWS = 1_000_000
+# numbered across range partitions instead. (The environment override
+# exists so checks can force the range path on small data.)
+MAX_WINDOW_GROUP_ROWS = int(os.environ.get("PAIRFORGE_MAX_WINDOW_GROUP_ROWS", 1_000_000))
 
 
 def largest_group(df: DataFrame, group_cols: list[str]) -> int:
