@@ -44,25 +44,34 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_root(spark: SparkSession) -> str:
     """The cluster-shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting points at shared storage and is only read.
-    When it is unset (local runs and tests) a fresh local folder is
-    created and registered, so later calls in the session agree.
+    On a cluster this setting points at shared storage and is only read;
+    a cluster session without it is an error. When it is unset in local
+    mode (tests) a fresh local folder is registered as the SparkContext
+    checkpoint folder (the setting itself cannot change at runtime), so
+    later calls in the session agree.
     """
+    sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="pairforge-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return root
+    if root:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(root)
+        return root
+    existing = sc.getCheckpointDir()
+    if existing:
+        return existing
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder on shared storage "
+                           "(stages write their tables and checkpoints there)")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="pairforge-ckpt-"))
+    return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder below the shared checkpoint root."""
     root = checkpoint_root(spark).rstrip("/")
+    if root.startswith("file:"):
+        # Local folder: a plain path also works for Python-side writers.
+        root = "/" + root[len("file:"):].lstrip("/")
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
