@@ -25,12 +25,16 @@ VERDICT_FIELDS = [
 
 
 def annotate(candidates: DataFrame, verifier, time_limit: float | None = None,
-             spread_keys=("task_id", "answer_id"), num_partitions: int | None = None) -> DataFrame:
+             spread_keys=("task_id", "answer_id"), num_partitions: int | None = None,
+             hard_limit: float | None = None) -> DataFrame:
     """Add output / error_type / error_trace / elapsed_ns to every candidate.
 
     Rows are hash-spread on ``spread_keys`` first so verification work is
     balanced even when one task has most candidates. With ``time_limit``
-    (seconds), a pass slower than the limit is a TimeoutError.
+    (seconds of CPU time), a pass slower than the limit is a TimeoutError.
+    With ``hard_limit`` (wall-clock seconds) a verifier call still running
+    is interrupted with TimeoutError, so one hanging candidate cannot hold
+    its task.
     """
     from pairforge.session import ship_package
     ship_package(candidates.sparkSession)
@@ -39,12 +43,30 @@ def annotate(candidates: DataFrame, verifier, time_limit: float | None = None,
     limit_ns = None if time_limit is None else int(time_limit * 1e9)
 
     def run(batches):
+        import signal
+
+        def _alarm(signum, frame):
+            raise TimeoutError("verifier exceeded the time limit")
+
+        armed = False
+        if hard_limit:
+            try:  # signal handlers can only be set from the worker's main thread
+                signal.signal(signal.SIGALRM, _alarm)
+                armed = True
+            except ValueError:
+                armed = False
         for pdf in batches:
             outs, types, traces, elapsed = [], [], [], []
             for rec in pdf[cols].to_dict("records"):
                 t0 = time.process_time_ns()
                 try:
-                    verifier(rec)
+                    if armed:
+                        signal.setitimer(signal.ITIMER_REAL, hard_limit)
+                    try:
+                        verifier(rec)
+                    finally:
+                        if armed:
+                            signal.setitimer(signal.ITIMER_REAL, 0)
                     dt = time.process_time_ns() - t0
                     if limit_ns is not None and dt > limit_ns:
                         outs.append("failed"); types.append("TimeoutError"); traces.append(None)

@@ -87,3 +87,18 @@ def test_entry_smoke(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
     assert df.count() > 0
+
+
+def test_annotate_hard_limit(spark):
+    from pairforge.operators.annotate import annotate
+
+    def _slow_verifier(row):  # defined inline: shipped to workers by value
+        import time as _t
+        if int(row["answer_id"]) % 3 == 0:
+            _t.sleep(5)
+        if int(row["answer_id"]) % 3 == 1:
+            raise ValueError("bad")
+
+    c = spark.createDataFrame([("t", i, f"a{i}") for i in range(6)], "task_id string, answer_id long, answer string")
+    out = {r.answer_id: r.error_type for r in annotate(c, _slow_verifier, hard_limit=0.5).collect()}
+    assert out == {0: "TimeoutError", 1: "ValueError", 2: "", 3: "TimeoutError", 4: "ValueError", 5: ""}
