@@ -38,10 +38,12 @@ WHITESPACE_CLASS = (r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{2
                     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
 # Line breaks Python's str.splitlines() splits on.
 LINE_BREAK_PATTERN = r"\r\n|[\n\r\x{B}\x{C}\x{1C}\x{1D}\x{1E}\x{85}\x{2028}\x{2029}]"
-# Top-level function definitions (a 'def' at the start of a line).
-DEF_PATTERN = r"(?md)^def\s+([a-zA-Z_][a-zA-Z0-9_]*)"
 # ---------------------------------------------------------------------------
 
+# Top-level function definitions: 'def' at the start of a line, then
+# whitespace in Python's sense (Java's \s alone is ASCII-only), then a name.
+DEF_PATTERN = r"(?md)^def" + WHITESPACE_CLASS + r"+([a-zA-Z_][a-zA-Z0-9_]*)"
+
 _STRIP_RE = f"^{WHITESPACE_CLASS}+|{WHITESPACE_CLASS}+$"
 
 

@@ -44,8 +44,8 @@ def truncate_at_stops(spark, sf_dir):
     return x.select("doc_id", t.alias("answer"), F.length(t).cast("long").alias("answer_length"))
 
 
-@register("entry_point", O.with_ctes(("x2", O.X2)) + r"""
-SELECT task_id, regexp_extract_all(code, '(?m)^def\s+([a-zA-Z_][a-zA-Z0-9_]*)', 1)[-1] AS entry_point
+@register("entry_point", O.with_ctes(("x2", O.X2)) + f"""
+SELECT task_id, regexp_extract_all(code, '(?m)^def{_WS}+([a-zA-Z_][a-zA-Z0-9_]*)', 1)[-1] AS entry_point
 FROM x2
 """)
 def entry_point(spark, sf_dir):
@@ -65,9 +65,9 @@ def first_def_line(spark, sf_dir):
     return x.select("task_id", T.first_def_line("code").alias("def_line"))
 
 
-@register("rename_entry_point", O.with_ctes(("x2", O.X2)) + r"""
+@register("rename_entry_point", O.with_ctes(("x2", O.X2)) + f"""
 , ep AS (SELECT task_id, code,
-                regexp_extract_all(code, '(?m)^def\s+([a-zA-Z_][a-zA-Z0-9_]*)', 1)[-1] AS ep FROM x2)
+                regexp_extract_all(code, '(?m)^def{_WS}+([a-zA-Z_][a-zA-Z0-9_]*)', 1)[-1] AS ep FROM x2)
 SELECT task_id, CASE WHEN ep IS NOT NULL AND NOT contains(code, 'solver') THEN replace(code, ep, 'solver')
                      ELSE code END AS code
 FROM ep
