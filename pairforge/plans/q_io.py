@@ -126,3 +126,35 @@ def metrics_report(spark, sf_dir):
     back = spark.read.schema("metric string, value double, split string, check_id long") \
                 .option("basePath", path).json(path)
     return back.select("split", "check_id", "metric", r6("value").alias("value"))
+
+
+@register("roundtrip_problems", O.with_ctes(("p1", O.P1_PROBLEMS)) + """
+SELECT task_id, prompt, test, 'test' AS split FROM p1
+""")
+def roundtrip_problems(spark, sf_dir):
+    src, table = scratch_path(spark, "problems-jsonl"), scratch_path(spark, "problems")
+    X.p1_problems(spark, sf_dir).write.json(src)
+    IO.ingest_jsonl(spark, src, "test", table)
+    back = IO.read_problems(spark, table, splits=["test"])
+    return back.select("task_id", "prompt", "test", "split")
+
+
+@register("roundtrip_report", R2_MERGE + """
+, before AS (SELECT split, count(DISTINCT task_id) AS total_prob, count(*) AS total_ans
+             FROM averaged GROUP BY split),
+after AS (SELECT split, count(DISTINCT task_id) AS filtered_prob, count(*) AS filtered_ans
+          FROM kept GROUP BY split)
+SELECT b.split, b.total_prob, b.total_ans,
+       coalesce(a.filtered_prob, 0) AS filtered_prob, coalesce(a.filtered_ans, 0) AS filtered_ans,
+       round(CAST(coalesce(a.filtered_prob, 0) AS DOUBLE) / b.total_prob * 100.0, 2) AS ratio_prob,
+       round(CAST(coalesce(a.filtered_ans, 0) AS DOUBLE) / b.total_ans * 100.0, 2) AS ratio_ans
+FROM before b LEFT JOIN after a ON a.split = b.split
+""")
+def roundtrip_report(spark, sf_dir):
+    path = scratch_path(spark, "report")
+    IO.write_report(merged(spark, sf_dir, "r2")["report"], path)
+    schema = ("total_prob long, total_ans long, filtered_prob long, filtered_ans long, ratio_prob double, "
+              "ratio_ans double, split string")
+    back = spark.read.schema(schema).option("basePath", path).json(path)
+    return back.select("split", "total_prob", "total_ans", "filtered_prob", "filtered_ans", "ratio_prob",
+                       "ratio_ans")
