@@ -1,6 +1,5 @@
 """Registered queries: run metrics (attempts, pass@k, averages, error counts)."""
 
-from pyspark.sql import functions as F
 
 from pairforge.operators import metrics as M
 from pairforge.plans import fixtures as X

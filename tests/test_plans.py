@@ -32,7 +32,6 @@ def test_scan_prunes_columns(spark):
 
 
 def test_filter_pushed_to_scan(spark):
-    from pyspark.sql import functions as F
     from pairforge.plans import fixtures as X
     df = X.ch_chat(spark, SMALL)
     p = plan_of(df)

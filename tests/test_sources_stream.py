@@ -4,7 +4,6 @@ import json
 import os
 import tempfile
 
-from pyspark.sql import functions as F
 
 from conftest import SMALL
 from pairforge.operators import metrics as M
