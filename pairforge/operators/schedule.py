@@ -123,11 +123,12 @@ def _chosen(te: DataFrame, ranked: DataFrame, seed) -> DataFrame:
 
 
 def progressive_pairs(ranked: DataFrame, schedule: str, epochs: int, seed: int = 0,
-                      val_counts: DataFrame | None = None) -> DataFrame:
+                      val_counts: DataFrame | None = None, exact: bool = False) -> DataFrame:
     """(task, epoch) -> chosen, rejected for one of the nine schedules.
 
     ``val_counts`` (from ``validation_counts_by_epoch``) is used by the two
     ``*_priority`` schedules; epochs without counts draw from the window only.
+    ``exact`` computes slice bounds in integers (see ``epoch_bounds``).
     """
     if schedule not in SCHEDULES:
         raise ValueError(f"unknown schedule {schedule}")
@@ -141,7 +142,7 @@ def progressive_pairs(ranked: DataFrame, schedule: str, epochs: int, seed: int =
         mode = "type" if schedule == "pvf_iter_type" else "type_reverse"
         fi = failure_index(ranked, types)
         te = te.join(task_type_counts(ranked, types), TASK)
-        ts, tt = epoch_bounds("epoch", "n_types", epochs, mode)
+        ts, tt = epoch_bounds("epoch", "n_types", epochs, mode, exact)
         te = te.withColumn("_ts", ts).withColumn("_tl", tt - 1)
         lo = types.select(*TASK, F.col("type_order").alias("_ts"), F.col("type_start").alias("lo"))
         hi = types.select(*TASK, F.col("type_order").alias("_tl"),
@@ -159,7 +160,7 @@ def progressive_pairs(ranked: DataFrame, schedule: str, epochs: int, seed: int =
         mode = {"pvf_iter": "iter", "pvf_iter_priority": "iter", "pvf_iter_expand": "expand",
                 "pvf_iter_reverse": "reverse", "pvf_iter_reverse_priority": "reverse",
                 "pvf_iter_reverse_expand": "reverse_expand"}[schedule]
-        lo, hi = epoch_bounds("epoch", "n_fail", epochs, mode)
+        lo, hi = epoch_bounds("epoch", "n_fail", epochs, mode, exact)
     te = te.withColumn("lo", lo).withColumn("hi", hi).withColumn("W", F.col("hi") - F.col("lo"))
     r = fails.select(*TASK, F.col("side_rank").alias("r_pos"), F.col("answer").alias("rejected"),
                      F.col("answer_id").alias("rejected_id"))
@@ -219,12 +220,12 @@ def replay_added(te: DataFrame, ranked: DataFrame, val_counts: DataFrame,
 
 
 def replay_weights(ranked: DataFrame, epochs: int, val_counts: DataFrame,
-                   reverse: bool = False) -> DataFrame:
+                   reverse: bool = False, exact: bool = False) -> DataFrame:
     """Exact probability that each failure is the rejected answer of its
     (task, epoch) under the replay schedules:
     P(i) = (1[i in window] + added_t(i) / n_t(i)) / (W + sum added)."""
     te = task_epochs(ranked, epochs)
-    lo, hi = epoch_bounds("epoch", "n_fail", epochs, "reverse" if reverse else "iter")
+    lo, hi = epoch_bounds("epoch", "n_fail", epochs, "reverse" if reverse else "iter", exact)
     te = te.withColumn("lo", lo).withColumn("hi", hi).withColumn("W", F.col("hi") - F.col("lo"))
     added = replay_added(te, ranked, val_counts)
     tot = added.groupBy(*TASK, "epoch").agg(F.sum("added").alias("A"))

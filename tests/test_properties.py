@@ -125,3 +125,18 @@ def test_replay_draws_match_weights(spark):
     exp = {r.answer_id: r.s for r in w.groupBy("answer_id").agg(F.sum("weight").alias("s")).collect()}
     for k, v in exp.items():
         assert abs(freq.get(k, 0) - v) < 4 * (v ** 0.5) + 3, (k, freq.get(k, 0), v)
+
+
+def test_exact_schedule_covers_every_failure(spark, r1_merge):
+    """With exact bounds and E <= n_fail, pvf_iter's windows partition the failures."""
+    ranked = r1_merge.ranked.filter(F.col("split") == "train")
+    E = 2
+    te = K.task_epochs(ranked, E)
+    lo, hi = K.epoch_bounds("epoch", "n_fail", E, "iter", exact=True)
+    w = te.select("task_id", "n_fail", "epoch", lo.alias("lo"), hi.alias("hi"))
+    per_task = w.groupBy("task_id", "n_fail").agg(F.sum(F.col("hi") - F.col("lo")).alias("covered"),
+                                                  F.min("lo").alias("first"), F.max("hi").alias("last"))
+    assert per_task.filter((F.col("covered") != F.col("n_fail")) | (F.col("first") != 0)
+                           | (F.col("last") != F.col("n_fail"))).count() == 0
+    out = K.progressive_pairs(ranked, "pvf_iter", E, seed=1, exact=True)
+    assert out.count() == E * ranked.select("task_id").distinct().count()
