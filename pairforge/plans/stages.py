@@ -53,9 +53,12 @@ def annotate_stage(spark: SparkSession, samples: DataFrame, problems: DataFrame,
 
 def merge_stage(spark: SparkSession, runs: DataFrame, ranked_path: str | None = None,
                 merged_path: str | None = None, report_path: str | None = None,
-                dedupe_scope: str = "split") -> DataFrame:
-    """Score, deduplicate, filter and rank. Returns the flat ranked table."""
+                dedupe_scope: str = "split", require_non_empty: bool = True) -> DataFrame:
+    """Score, deduplicate, filter and rank. Returns the flat ranked table.
+    Fails when no answer survives the filter (``require_non_empty``)."""
     m = G.merge_runs(runs, dedupe_scope=dedupe_scope)
+    if require_non_empty:
+        G.assert_non_empty(m.kept)
     ranked = m.ranked
     if ranked_path:
         ranked.write.mode("overwrite").partitionBy("split").parquet(ranked_path)

@@ -32,3 +32,10 @@ def test_stages_end_to_end(spark):
     assert S.pairs_stage(ranked, "one").count() == n_tasks
     assert S.pairs_stage(ranked, "sft").count() == n_tasks * 4
     assert S.pairs_stage(ranked, "pvf_iter", epochs=3).count() == n_tasks * 3
+
+
+def test_merge_stage_fails_when_nothing_survives(spark):
+    import pytest
+    r1 = X.r1_runs(spark, SMALL).filter(F.col("output") == "passed")  # no failures -> no contrastive task
+    with pytest.raises(ValueError, match="No available"):
+        S.merge_stage(spark, r1)
