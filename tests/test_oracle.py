@@ -19,7 +19,8 @@ SUBSET = ["attempts_correct", "pass_at_k_guarded", "error_counts", "error_freque
           "all_pairs_runs", "curriculum_pairs_desc", "one_pair", "pvf_iter_type", "pvf_iter_priority",
           "replay_weights", "truncate_at_stops", "entry_point", "first_def_line", "strip_echo",
           "annotate", "stdio_verdict", "stable_timing", "timeout_verdict", "orphan_samples",
-          "roundtrip_runs", "stream_error_counts"]
+          "roundtrip_runs", "stream_error_counts", "roundtrip_problems", "roundtrip_report", "metrics_report",
+          "sft_format_hook", "replay_latest"]
 NAMES = sorted(E.oracle_sql()) if os.environ.get("PAIRFORGE_FULL") else SUBSET
 
 
