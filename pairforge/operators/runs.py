@@ -31,9 +31,15 @@ def orphan_samples(samples: DataFrame, problems: DataFrame, key: str = "task_id"
                    .groupBy(key).agg(F.count(F.lit(1)).alias("n_samples")))
 
 
-def sampling_plan(problems: DataFrame, n_iter: int = 1, n_seq: int = 10,
-                  template: str = SYSTEM_PROMPT) -> DataFrame:
-    """One request row per problem x iteration x sequence with the formatted prompt."""
+def sampling_plan(problems: DataFrame, n_iter: int = 1, n_seq: int | None = 10,
+                  template: str = SYSTEM_PROMPT, eval_ks=None) -> DataFrame:
+    """One request row per problem x iteration x sequence with the formatted prompt.
+
+    With ``eval_ks`` (evaluation mode) the number of sequences per problem
+    is the largest k, so every pass@k can be estimated.
+    """
+    if eval_ks:
+        n_seq = max(int(k) for k in eval_ks)
     it = F.sequence(F.lit(0).cast("long"), F.lit(n_iter - 1).cast("long"))
     sq = F.sequence(F.lit(0).cast("long"), F.lit(n_seq - 1).cast("long"))
     return (problems.select("task_id", add_system_prompt(strip_text("prompt"), template).alias("request"))

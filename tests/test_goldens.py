@@ -144,3 +144,11 @@ def test_tokenize_udf_feeds_truncation(spark):
     p, c, r = T.truncate_pair_tokens(codepoints("p"), codepoints("c"), codepoints("r"), max_len=4, eos_id=0)
     row = df.select(p.alias("p"), c.alias("c"), r.alias("r")).first()
     assert row.p == [ord(x) for x in "cdef"] and row.c == [ord("x"), ord("y")] and row.r == [ord("z"), 0]
+
+
+def test_sampling_plan_eval_ks(spark):
+    from pairforge.operators.runs import sampling_plan
+    p = spark.createDataFrame([("1", "  solve it \n")], "task_id string, prompt string")
+    plan = sampling_plan(p, n_iter=2, eval_ks=(1, 5, 10))
+    assert plan.count() == 20
+    assert plan.first().request == T.SYSTEM_PROMPT.format("solve it")
