@@ -31,7 +31,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     master = master or os.environ.get("PAIRFORGE_MASTER", "local[8]")
     b = SparkSession.builder.master(master).appName(app_name)
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or 8)
+    conf["spark.sql.shuffle.partitions"] = str(
+        shuffle_partitions or int(os.environ.get("PAIRFORGE_SHUFFLE_PARTITIONS", "8")))
     conf.setdefault("spark.driver.memory", os.environ.get("PAIRFORGE_DRIVER_MEMORY", "16g"))
     conf.update(extra or {})
     for k, v in conf.items():
