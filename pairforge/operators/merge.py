@@ -169,6 +169,38 @@ def filter_report(averaged: DataFrame, kept: DataFrame) -> DataFrame:
              .withColumn("ratio_ans", round_ratio("filtered_ans", "total_ans")))
 
 
+# The report's text lines (label, column, decimals or None).
+REPORT_LINES = [
+    ("Problems (total): ", "total_prob", None),
+    ("Problems (filtered): ", "filtered_prob", None),
+    ("Problems (ratio): ", "ratio_prob", 2),
+    ("", None, None),
+    ("Answers (total): ", "total_ans", None),
+    ("Answers (filtered): ", "filtered_ans", None),
+    ("Answers (ratio): ", "ratio_ans", 2),
+]
+
+
+def report_lines(report: DataFrame) -> DataFrame:
+    """The filter report as text lines per split (line_no, line)."""
+    items = []
+    for i, (label, col, dec) in enumerate(REPORT_LINES):
+        if col is None:
+            text = F.lit(label)
+        elif dec is None:
+            text = F.concat(F.lit(label), F.col(col).cast("string"))
+        else:
+            text = F.concat(F.lit(label), F.format_string(f"%.{dec}f", F.col(col)))
+        items.append(F.struct(F.lit(i).cast("long").alias("line_no"), text.alias("line")))
+    return report.select("split", F.explode(F.array(*items)).alias("l")).select("split", "l.line_no", "l.line")
+
+
+def write_report_text(report: DataFrame, path: str) -> None:
+    """One text file per split, lines in order (a handful of rows per split)."""
+    (report_lines(report).repartition("split").sortWithinPartitions("split", "line_no")
+                         .select("split", "line").write.mode("overwrite").partitionBy("split").text(path))
+
+
 def assert_non_empty(df: DataFrame, what: str = "samples") -> DataFrame:
     if df.isEmpty():
         raise ValueError(f"No available {what}.")

@@ -165,3 +165,23 @@ def nest_answers(spark, sf_dir):
         r6(F.aggregate("answers", F.lit(0.0), lambda a, x: a + x["error_frequency"])).alias("sum_frequency"),
         F.col("time.count").alias("time_count"), r6("time.avg").alias("time_avg"),
         r6("time.std").alias("time_std"), r6("time.cov").alias("time_cov"))
+
+
+@register("report_text", R1_MERGE + _REPORT_SQL.replace("SELECT b.split,", ", rep AS (SELECT b.split,", 1)
+          + """)
+SELECT split, CAST(0 AS BIGINT) AS line_no, 'Problems (total): ' || CAST(total_prob AS VARCHAR) AS line FROM rep
+UNION ALL SELECT split, 1, 'Problems (filtered): ' || CAST(filtered_prob AS VARCHAR) FROM rep
+UNION ALL SELECT split, 2, 'Problems (ratio): ' || printf('%.2f', ratio_prob) FROM rep
+UNION ALL SELECT split, 3, '' FROM rep
+UNION ALL SELECT split, 4, 'Answers (total): ' || CAST(total_ans AS VARCHAR) FROM rep
+UNION ALL SELECT split, 5, 'Answers (filtered): ' || CAST(filtered_ans AS VARCHAR) FROM rep
+UNION ALL SELECT split, 6, 'Answers (ratio): ' || printf('%.2f', ratio_ans) FROM rep
+""")
+def report_text(spark, sf_dir):
+    from pairforge.session import scratch_path
+    path = scratch_path(spark, "report-text")
+    rep = merged(spark, sf_dir, "r1")["report"]
+    G.write_report_text(rep, path)
+    back = spark.read.option("basePath", path).text(path)
+    return G.report_lines(rep).select("split", "line_no", "line").join(
+        back.select("split", F.col("value").alias("line")).distinct(), ["split", "line"], "left_semi")
