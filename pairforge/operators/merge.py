@@ -119,7 +119,11 @@ def rank_answers(df: DataFrame, skew_safe: bool = True) -> DataFrame:
     """0-based position in the per-task ranked list (``rank``), plus the
     position among the task's passes or among its failures (``side_rank``)."""
     order = ["error_frequency", "answer_length", "answer_id", "output"]
-    df = group_rank(df, TASK, order, name="rank", skew_safe=skew_safe)
+    largest = None
+    if skew_safe and {"n_pass", "n_fail"} <= set(df.columns):
+        # Rows carry their task's size: the check is a max over two columns.
+        largest = int(df.agg(F.max(F.col("n_pass") + F.col("n_fail"))).first()[0] or 0)
+    df = group_rank(df, TASK, order, name="rank", skew_safe=skew_safe, largest=largest)
     # Passes score 0.0 and every failure scores above it, so all passes
     # come first: the position among failures is rank - n_pass.
     if "n_pass" not in df.columns:

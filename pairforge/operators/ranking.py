@@ -54,7 +54,7 @@ def largest_group(df: DataFrame, group_cols: list[str]) -> int:
 
 def group_rank(df: DataFrame, group_cols: list[str], order_cols: list, name: str = "rank",
                skew_safe: bool = True, num_partitions: int | None = None,
-               max_group_rows: int | None = None) -> DataFrame:
+               max_group_rows: int | None = None, largest: int | None = None) -> DataFrame:
     """Add ``name`` = 0-based position of each row inside its group.
 
     ``order_cols`` are column names or ``(name, ascending)`` pairs and must
@@ -64,13 +64,14 @@ def group_rank(df: DataFrame, group_cols: list[str], order_cols: list, name: str
     exceeds ``max_group_rows`` (default ``MAX_WINDOW_GROUP_ROWS``) a
     partitioned window is used, since no task can receive more than that
     bound; otherwise every group is numbered across range partitions.
+    ``largest`` passes a known size of the biggest group and skips the check.
     """
     spec = _order_spec(order_cols)
     limit = MAX_WINDOW_GROUP_ROWS if max_group_rows is None else max_group_rows
     if not skew_safe:
         w = Window.partitionBy(*group_cols).orderBy(*_sort_exprs(spec))
         return df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
-    if largest_group(df, group_cols) <= limit:
+    if (largest if largest is not None else largest_group(df, group_cols)) <= limit:
         # Both paths return a written table: positions are usually read by
         # several consumers, which then scan it instead of re-ranking.
         w = Window.partitionBy(*group_cols).orderBy(*_sort_exprs(spec))
