@@ -39,7 +39,7 @@ PERIOD = 1000
 ALPHA = 0.7
 BLOCK_ROWS = 16
 MAX_SOURCES = 100_000
-ROWS_PER_RANGE = 16_384
+ROWS_PER_RANGE = 4_096
 
 
 def shares(weights: dict, period: int) -> dict:
