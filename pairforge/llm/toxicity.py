@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pairforge.llm.registry import register, table
 from pairforge.llm.tokens import ALNUM, BYTE_CODE, STEP, U64, Words, chunks, mix
 
-TRAIN_DOCS = 20_000
+TRAIN_DOCS = 8_000
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 PREFIXES = (4, 5, 6, 7)
@@ -95,33 +95,30 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
     of = np.repeat(np.arange(len(keep)), [len(bags[i][1]) for i in keep])
     y = labels[keep].astype(np.float64)
     sizes = np.diff(np.append(first, len(ids)))
-    # Only buckets that occur take part: a compact numbering of them.
-    used, inverse = np.unique(ids, return_inverse=True)
-    inverse = inverse.reshape(ids.shape).astype(np.int32)
-    w = np.zeros(len(used))
-    fixed = used == BUCKETS
-    squares, bias_squares = np.full(len(used), 1e-12), 1e-12
-    n = len(y)
+    w = np.zeros(BUCKETS + 1, dtype=np.float32)
+    squares, bias_squares = np.full(BUCKETS + 1, 1e-12), 1e-12
+    n, columns = len(y), range(ids.shape[1])
     for _ in range(epochs):
-        z = np.add.reduceat(w[inverse].sum(axis=1), first) + bias
+        per_word = np.zeros(len(ids), dtype=np.float32)
+        for k in columns:
+            per_word += w[ids[:, k]]
+        z = np.add.reduceat(per_word, first).astype(np.float64) + bias
         total = np.maximum(np.bincount(of, weights=np.logaddexp(0, z), minlength=n), 1e-9)
         slope = np.where(y > 0, -1 / np.expm1(np.minimum(total, 500)), 1.0) / n
         gz = slope[of] / (1 + np.exp(-np.clip(z, -500, 500)))
         gw = np.repeat(gz, sizes)
-        g = np.zeros(len(used))
-        for k in range(inverse.shape[1]):
-            g += np.bincount(inverse[:, k], weights=gw, minlength=len(used))
+        g = np.zeros(BUCKETS + 1)
+        for k in columns:
+            g += np.bincount(ids[:, k], weights=gw, minlength=BUCKETS + 1)
         squares += g * g
         step = RATE / np.sqrt(squares)
-        w = w - step * g
-        w = np.sign(w) * np.maximum(np.abs(w) - step * L1, 0)
-        w[fixed] = 0
+        new = w - step * g
+        w = (np.sign(new) * np.maximum(np.abs(new) - step * L1, 0)).astype(np.float32)
+        w[BUCKETS] = 0
         gb = gz.sum()
         bias_squares += gb * gb
         bias -= 0.2 * gb / np.sqrt(bias_squares)
-    weights[used] = w
-    weights[BUCKETS] = 0
-    return weights, float(bias)
+    return w, float(bias)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
