@@ -1,6 +1,6 @@
 """All training-data queries, imported for their registration side effect."""
 
-from pairforge.llm import ann, decontam, html_text, mixing, secrets, sharding, toxicity, url_rules  # noqa: F401
+from pairforge.llm import ann, decontam, html_text, lm, mixing, secret_spans, sharding, toxicity, url_rules  # noqa: F401
 from pairforge.llm.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
