@@ -37,12 +37,12 @@ from pairforge.session import materialize
 
 K = 20
 TREES = 6
-LEAF_SAMPLE = 48
+LEAF_SAMPLE = 96
 SAMPLE_ROWS = 100_000
-SEARCH_SHARE = 0.16
+SEARCH_SHARE = 0.14
 SEARCH_LEAST = 12_000
 ROWS_PER_GROUP = 65_536
-LEAST_GROUPS = 32
+LEAST_GROUPS = 16
 
 
 class Tree:
@@ -141,11 +141,11 @@ class Best:
     def add(self, who: np.ndarray, start: int, end: int) -> None:
         """Rank the rows from ``start`` to ``end`` for the queries ``who``."""
         rough = self.b[who] @ self.a[start:end].T
-        q, r = np.nonzero(rough >= (self.bound[who] - 1e-9 * np.maximum(1, np.abs(self.bound[who])))[:, None]
-                          if np.isfinite(self.bound[who]).all() else np.ones(rough.shape, bool))
+        bound = self.bound[who]
+        q, r = np.nonzero(rough >= (bound - 1e-9 * np.maximum(1, np.abs(bound)))[:, None])
         self.parts.append((who[q], r + start))
         self.pending += len(q)
-        if self.pending > 500_000:
+        if self.pending > max(50_000, 40 * len(self.b)):
             self.shrink()
 
     def shrink(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,7 +183,7 @@ def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", ve
     # The limit is applied before the shuffle too (window group limit), so copies are thinned where they are read.
     w = Window.partitionBy("v").orderBy("id")
     kept = materialize(rows.distinct().withColumn("n", F.row_number().over(w)).where(F.col("n") <= k + 1)
-                       .withColumn("key", F.hex(F.sha2(F.concat_ws(",", F.transform("v", lambda x: x.cast("string"))), 256))), "ann-rows")
+                       .withColumn("key", F.substring(F.sha2(F.concat_ws(",", F.transform("v", lambda x: x.cast("string"))), 256), 1, 32)), "ann-rows")
     queries = rows.where(is_query("id")).select("id", "v").distinct()
     different = kept.where("n = 1")
     total = different.count()
@@ -230,9 +230,9 @@ def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", ve
                 out += [(g, key, v, ls) for g, ls in by.items()]
             yield pd.DataFrame(out, columns=["g", "q", "v", "leaves"])
 
-    vkey = F.hex(F.sha2(F.concat_ws(",", F.transform("v", lambda x: x.cast("string"))), 256))
+    vkey = F.substring(F.sha2(F.concat_ws(",", F.transform("v", lambda x: x.cast("string"))), 256), 1, 32)
     asked = materialize(queries.withColumn("q", vkey), "ann-queries")
-    visits = (asked.groupBy("q").agg(F.min("v").alias("v")).repartition("q")
+    visits = (asked.groupBy("q").agg(F.min("v").alias("v")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "q")
               .mapInPandas(visit, "g int, q string, v array<double>, leaves array<int>"))
 
     def rank(rows, asked):
