@@ -54,7 +54,7 @@ class EliasFano:
     def encode(values: np.ndarray, universe: int) -> bytes:
         n = len(values)
         values = values.astype(np.uint64)
-        bits = max(0, (max(1, universe) // max(1, n)).bit_length() - 1)
+        bits = min(63, max(0, (max(1, universe) // max(1, n)).bit_length() - 1))
         place = (values >> U64(bits)).astype(np.int64) + np.arange(n)
         high = np.zeros((int(place[-1]) + 8) // 8 * 8 if n else 0, np.uint8)
         high[place] = 1
@@ -93,6 +93,28 @@ class EliasFano:
         return at, value
 
 
+def pack_ascending(values: np.ndarray) -> bytes:
+    """Any non-decreasing 64-bit integers: the first one, then the differences from it."""
+    first = int(values[0]) if len(values) else 0
+    return struct.pack("<Q", first) + EliasFano.encode(values - U64(first), int(values[-1]) - first + 1 if len(values) else 1)
+
+
+def unpack_ascending(data: bytes) -> np.ndarray:
+    return EliasFano(np.frombuffer(data, np.uint8)[8:]).all() + U64(struct.unpack("<Q", data[:8])[0])
+
+
+def pack_small(values: np.ndarray, limit: int) -> bytes:
+    """Integers below ``limit`` in as many bits as the limit needs."""
+    bits = max(1, (limit - 1).bit_length())
+    return bytes([bits]) + _pack(values, bits)
+
+
+def unpack_small(data: bytes, count: int) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)[1:]
+    out = [_unpack(raw, data[0], i, min(65536, count - i)) for i in range(0, count, 65536)]
+    return np.concatenate(out).astype(np.int64) if out else np.empty(0, np.int64)
+
+
 SUCCESSOR_BITS = 24
 LEVELS = 65_535
 FLOOR = -24.0

@@ -44,7 +44,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.llm.elias_fano import SUCCESSOR_BITS, EliasFano, Trie
+from pairforge.llm.elias_fano import SUCCESSOR_BITS, EliasFano, Trie, pack_ascending, pack_small, unpack_ascending, unpack_small
 from pairforge.llm.registry import register, table
 from pairforge.llm.tokens import NONSPACE, U64, Words, chunks, mix
 from pairforge.session import materialize
@@ -99,7 +99,7 @@ def _word_rows(shards: int):
             counts = np.bincount(inverse[train], minlength=len(words)).astype("<u4")
             shard = (words >> U64(32)) * U64(shards) >> U64(32)  # ascending with the word
             cut = np.searchsorted(shard, np.arange(shards + 1).astype(np.uint64))
-            rows = [(s, name, words[a:b].tobytes(), counts[a:b].tobytes())
+            rows = [(s, name, pack_ascending(words[a:b]), counts[a:b].tobytes())
                     for s, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
             yield pd.DataFrame(rows, columns=["shard", "batch", "words", "counts"])
     return run
@@ -107,7 +107,7 @@ def _word_rows(shards: int):
 
 def _add_words(f):
     import pandas as pd
-    words = [np.frombuffer(x, np.uint64) for x in f["words"]]
+    words = [unpack_ascending(x) for x in f["words"]]
     kinds, inverse = np.unique(np.concatenate(words), return_inverse=True)
     total = np.bincount(inverse, weights=np.concatenate([np.frombuffer(x, "<u4") for x in f["counts"]]), minlength=len(kinds)).astype("<u8")
     answers = np.split(total[inverse], np.cumsum([len(x) for x in words])[:-1])
@@ -117,21 +117,16 @@ def _add_words(f):
 
 
 def _encode(kind):
-    """Per batch: ids, training flags, distinct words and the texts as numbers of words (frequent words first)."""
+    """Per batch: ids, training flags, distinct words and the texts as numbers of words."""
     def run(frames):
         import pandas as pd
         for name, f, texts in _batches(frames):
             tokens, first = _tokens(texts)
-            words, inverse, counts = np.unique(tokens, return_inverse=True, return_counts=True)
-            order = np.argsort(-counts, kind="stable")
-            rank = np.empty(len(order), np.uint32)
-            rank[order] = np.arange(len(order), dtype=np.uint32)
-            ids = rank[inverse]
+            words, ids = np.unique(tokens, return_inverse=True)
             yield pd.DataFrame({"batch": [name], "doc": [f["doc"].tolist()], "train": [np.packbits(f["train"].to_numpy(dtype=bool)).tobytes()],
-                                "sizes": [np.diff(first).astype("<u4").tobytes()], "words": [words[order].tobytes()],
-                                "low": [(ids & 0xFF).astype(np.uint8).tobytes()], "mid": [((ids >> 8) & 0xFF).astype(np.uint8).tobytes()],
-                                "high": [(ids >> 16).astype("<u2").tobytes()]})
-    return run, f"batch string, doc array<{kind}>, train binary, sizes binary, words binary, low binary, mid binary, high binary"
+                                "sizes": [np.diff(first).astype("<u4").tobytes()], "words": [pack_ascending(words)],
+                                "ids": [pack_small(ids, len(words))]})
+    return run, f"batch string, doc array<{kind}>, train binary, sizes binary, words binary, ids binary"
 
 
 def _score_base(shards: int, n: int, v: int):
@@ -142,12 +137,10 @@ def _score_base(shards: int, n: int, v: int):
             for r in f.itertuples(index=False):
                 if r.totals is None or not len(r.totals):
                     raise RuntimeError(f"batch {r.batch} has no word totals: the scan was split differently")
-                words = np.frombuffer(r.words, np.uint64)
-                total = np.empty(len(words), np.uint64)
-                total[np.argsort(words)] = np.concatenate([np.frombuffer(x["totals"], "<u8") for x in sorted(r.totals, key=lambda x: x["shard"])])
-                total = total.astype(np.float64)
+                words = unpack_ascending(r.words)
+                total = np.concatenate([np.frombuffer(x["totals"], "<u8") for x in sorted(r.totals, key=lambda x: x["shard"])]).astype(np.float64)
                 size = np.frombuffer(r.sizes, "<u4").astype(np.int64)
-                ids = np.frombuffer(r.low, np.uint8).astype(np.int64) | np.frombuffer(r.mid, np.uint8).astype(np.int64) << 8 | np.frombuffer(r.high, "<u2").astype(np.int64) << 16
+                ids = unpack_small(r.ids, int(size.sum()))
                 doc = np.repeat(np.arange(len(size)), size)
                 p = np.log10((total + ADD) / (n + ADD * (v + 1)))
                 base = np.bincount(doc, weights=p[ids], minlength=len(size))
@@ -174,14 +167,14 @@ def _score_base(shards: int, n: int, v: int):
                 at = order[new]
                 c2, c3 = _code(ctx_total[at]), _code(total[ids[at]])
                 counts = np.stack([c2 >> 4, c3 >> 4, (c2 & 15) << 4 | (c3 & 15)]).astype(np.uint8)
-                where = doc[order].astype("<u2")
+                where = doc[order]
                 mask = U64((1 << 48) - 1)
                 cut = np.searchsorted(both[new] >> U64(48), np.arange(shards + 1).astype(np.uint64))
                 ends_at = np.append(new, len(order))
                 for s, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
                     if b > a:
                         rows.append((s, r.batch, "bigrams", None, EliasFano.encode(both[new[a:b]] & mask, 1 << 48), seen[a:b].tobytes(),
-                                     posts[a:b].tobytes(), counts[:, a:b].tobytes(), where[ends_at[a]:ends_at[b]].tobytes()))
+                                     posts[a:b].tobytes(), counts[:, a:b].tobytes(), pack_small(where[ends_at[a]:ends_at[b]], len(size))))
                 yield pd.DataFrame(rows, columns=["shard", "batch", "kind", "doc", "a", "b", "c", "d", "e"])
     return run
 
@@ -215,7 +208,7 @@ def _score_bigrams(unigram_total: float, mu: float, keep_trie: bool):
             for batch, own, posts, where in zip(f["batch"], keys, f["c"], f["e"], strict=True):
                 g = np.repeat(gain[inverse[at:at + len(own)]], np.frombuffer(posts, "<u4"))
                 at += len(own)
-                docs, i = np.unique(np.frombuffer(where, "<u2"), return_inverse=True)
+                docs, i = np.unique(unpack_small(where, len(g)), return_inverse=True)
                 rows.append((batch, "sums", None, docs.astype("<u2").tobytes(), np.bincount(i, weights=g).astype("<f4").tobytes(), None))
             if keep_trie:
                 rows.append((None, "trie", None, data, None, None))
