@@ -47,6 +47,11 @@ DEF_PATTERN = r"(?md)^def" + WHITESPACE_CLASS + r"+([a-zA-Z_][a-zA-Z0-9_]*)"
 _STRIP_RE = f"^{WHITESPACE_CLASS}+|{WHITESPACE_CLASS}+$"
 
 
+def sql_literal(text: str) -> str:
+    """The text as a DuckDB string literal (line breaks may stand in it)."""
+    return "'" + text.replace("'", "''") + "'"
+
+
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

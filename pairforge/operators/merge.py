@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairforge.functions.text import PASS_SCALAR, cov, round_ratio
-from pairforge.operators.ranking import group_rank
+from pairforge.operators.ranking import group_rank, steps
+from pairforge.session import replace_partitions
 
 TASK = ["split", "task_id"]
 CHECK_KEYS = ["split", "task_id", "answer_id", "prompt", "answer", "output", "error_type"]
@@ -56,16 +57,20 @@ def max_length(df: DataFrame, by=("split",), text="answer") -> DataFrame:
     return df.groupBy(*by).agg(F.max(F.length(text)).cast("long").alias("max_length"))
 
 
-def score(averaged: DataFrame, freq: DataFrame) -> DataFrame:
+def score(averaged: DataFrame, freq: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
     """Attach error_frequency (0.0 for passes) and the length score.
 
+    ``lengths`` (split, max_length) is taken from the verdict rows where the
+    caller has them, so the averaging isn't run again for it; it has one row
+    per split and is read as one map by a scalar subquery, not joined.
+
     Passing answers score their length; failing ones score
     max(length in split) + 10000, so every failure sorts after every pass.
     """
-    # One row per split: a size bound that makes the broadcast safe.
-    lens = F.broadcast(max_length(averaged))
+    lens = lengths if lengths is not None else max_length(averaged)
+    per_split = lens.agg(F.map_from_entries(F.collect_list(F.struct("split", "max_length")))).scalar()
     scored = (averaged.join(freq, ["split", "task_id", "error_type"], "left")
-                      .join(lens, "split"))
+                      .withColumn("max_length", F.element_at(per_split, F.col("split"))))
     ef = (F.when(F.col("error_type") == "", F.lit(PASS_SCALAR))
            .otherwise(F.coalesce(F.col("frequency"), F.lit(float("inf")))))
     al = (F.when(F.col("output") == "passed", F.length("answer").cast("long"))
@@ -115,15 +120,13 @@ def keep_contrastive(df: DataFrame, min_pass: int = 2, min_fail: int = 2) -> Dat
     return df.join(counts, TASK, "inner")
 
 
-def rank_answers(df: DataFrame, skew_safe: bool = True) -> DataFrame:
+def rank_answers(df: DataFrame) -> DataFrame:
     """0-based position in the per-task ranked list (``rank``), plus the
     position among the task's passes or among its failures (``side_rank``)."""
     order = ["error_frequency", "answer_length", "answer_id", "output"]
-    largest = None
-    if skew_safe and {"n_pass", "n_fail"} <= set(df.columns):
-        # Rows carry their task's size: the check is a max over two columns.
-        largest = int(df.agg(F.max(F.col("n_pass") + F.col("n_fail"))).first()[0] or 0)
-    df = group_rank(df, TASK, order, name="rank", skew_safe=skew_safe, largest=largest)
+    # Failures of one type all have the same frequency and length: the answer id cuts them.
+    df = group_rank(df, TASK, order, name="rank",
+                    blocks=[F.col("error_frequency"), F.col("answer_length"), steps("answer_id")])
     # Passes score 0.0 and every failure scores above it, so all passes
     # come first: the position among failures is rank - n_pass.
     if "n_pass" not in df.columns:
@@ -201,8 +204,8 @@ def report_lines(report: DataFrame) -> DataFrame:
 
 def write_report_text(report: DataFrame, path: str) -> None:
     """One text file per split, lines in order (a handful of rows per split)."""
-    (report_lines(report).repartition("split").sortWithinPartitions("split", "line_no")
-                         .select("split", "line").write.mode("overwrite").partitionBy("split").text(path))
+    lines = report_lines(report).repartition("split").sortWithinPartitions("split", "line_no")
+    replace_partitions(lines.select("split", "line"), "split").text(path)
 
 
 def assert_non_empty(df: DataFrame, what: str = "samples") -> DataFrame:
@@ -214,18 +217,18 @@ def assert_non_empty(df: DataFrame, what: str = "samples") -> DataFrame:
 class MergeResult:
     """The merge stage's tables, built on first access.
 
-    ``kept`` and ``ranked`` are the stage's durable outputs: with
-    ``materialize`` they are written once as Parquet tables under
+    Without ``materialize`` every table is a lazy plan. Stage functions set
+    it: then ``kept`` and ``ranked`` are written once as Parquet tables under
     ``spark.checkpoint.dir`` and read back, so every later consumer
     (pairs, schedules, reports) scans them instead of re-running the
     merge, and a lost executor does not force recomputing the stage.
     """
 
     def __init__(self, runs: DataFrame, dedupe_scope: str = "split", min_pass: int = 2,
-                 min_fail: int = 2, skew_safe: bool = True, materialize: bool = True):
+                 min_fail: int = 2, materialize: bool = False):
         self.runs, self.dedupe_scope = runs, dedupe_scope
         self.min_pass, self.min_fail = min_pass, min_fail
-        self.skew_safe, self.materialize = skew_safe, materialize
+        self.materialize = materialize
         self._cache: dict[str, DataFrame] = {}
 
     def _get(self, name, build):
@@ -249,7 +252,8 @@ class MergeResult:
 
     @property
     def scored(self):
-        return self._get("scored", lambda: score(self.averaged, self.frequency))
+        return self._get("scored", lambda: score(
+            self.averaged, self.frequency, max_length(self.runs.dropna(subset=CHECK_KEYS))))
 
     @property
     def deduped(self):
@@ -262,9 +266,7 @@ class MergeResult:
 
     @property
     def ranked(self):
-        # The skew-safe ranking already returns a written table.
-        return self._get("ranked", lambda: rank_answers(self.kept, skew_safe=True) if self.skew_safe
-                         else self._store(rank_answers(self.kept, skew_safe=False), "ranked"))
+        return self._get("ranked", lambda: self._store(rank_answers(self.kept), "ranked"))
 
     @property
     def times(self):
@@ -279,29 +281,17 @@ class MergeResult:
 
 
 def merge_runs(runs: DataFrame, dedupe_scope: str = "split", min_pass: int = 2,
-               min_fail: int = 2, skew_safe: bool = True, materialize: bool = True) -> MergeResult:
+               min_fail: int = 2, materialize: bool = False) -> MergeResult:
     """The whole merge stage. Tables by name: frequency, averaged, scored,
     deduped, kept, ranked (the durable flat result), times, report."""
-    return MergeResult(runs, dedupe_scope, min_pass, min_fail, skew_safe, materialize)
-
+    return MergeResult(runs, dedupe_scope, min_pass, min_fail, materialize)
 
-def nest_answers(ranked: DataFrame, times: DataFrame, chunk: int = 1000) -> DataFrame:
-    """Sink form: one row per task (and per ``chunk`` answers) with the ordered
-    answer list and the task's time statistics.
 
-    A task never becomes one unbounded array: ``part`` numbers slices of
-    ``chunk`` ranked answers; tasks within the chunk size get one row, as in
-    the reference file format.
-    """
-    item = F.struct(F.col("rank"), F.col("answer").alias("text"), "error_frequency",
-                    "error_type", "answer_length")
-    nested = (ranked.withColumn("part", (F.col("rank") / chunk).cast("long"))
-                    .groupBy("split", "task_id", "prompt", "part")
-                    .agg(F.array_sort(F.collect_list(item)).alias("_items")))
-    answers = F.transform("_items", lambda x: F.struct(
-        x["text"].alias("text"), x["error_frequency"].alias("error_frequency"),
-        x["error_type"].alias("error_type"), x["answer_length"].alias("answer_length")))
+def nest_answers(ranked: DataFrame, times: DataFrame) -> DataFrame:
+    """Sink form: one row per answer with its place in the task's list and the
+    task's time statistics, so a task of any size is never one array."""
+    answer = F.struct(F.col("answer").alias("text"), "error_frequency", "error_type", "answer_length")
     t = F.struct(F.col("count").cast("long").alias("count"), "avg", "std", "cov")
-    return (nested.join(times, TASK, "left")
+    return (ranked.join(times, TASK, "left")
                   .select("split", F.col("task_id").alias("id"), F.col("prompt").alias("problem"),
-                          "part", answers.alias("answers"), t.alias("time")))
+                          "rank", answer.alias("answer"), t.alias("time")))

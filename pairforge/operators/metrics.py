@@ -6,7 +6,7 @@ map-side before the shuffle, so no task ever holds a whole group.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -70,11 +70,11 @@ def error_counts(runs: DataFrame, by=("split",)) -> DataFrame:
                 .orderBy(*by, F.desc("n"), "error_type"))
 
 
-def error_counts_map(counts: DataFrame, by=("split",)) -> DataFrame:
-    """Sink form: one map per group. Bounded by the number of distinct error types."""
-    return (counts.groupBy(*by)
-                  .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("error_type", "n"))))
-                       .alias("error_counts")))
+def ordered_error_counts(runs: DataFrame, by=("split",)) -> DataFrame:
+    """Error counts with their ``position`` in descending order of the count
+    (ties by name); one row per error type, so a group's window is small."""
+    w = Window.partitionBy(*by).orderBy(F.desc("n"), "error_type")
+    return error_counts(runs).withColumn("position", (F.row_number().over(w) - 1).cast("long"))
 
 
 def metrics_long(runs: DataFrame, ks=(1, 5, 10), by=("split",)) -> DataFrame:

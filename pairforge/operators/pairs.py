@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pairforge.functions.draws import index_draw
 from pairforge.functions.text import sft_text
-from pairforge.operators.ranking import group_rank
+from pairforge.operators.ranking import group_rank, steps
 
 TASK = ["split", "task_id"]
 PAIR_BLOCK = 256
@@ -88,7 +88,8 @@ def curriculum_pairs(ranked: DataFrame, increase: bool = True, block: int = PAIR
     if increase:
         f = f.withColumn("r_pos", F.col("side_rank"))
     else:
-        f = group_rank(f, TASK, [("error_frequency", False), ("side_rank", True)], name="r_pos")
+        f = group_rank(f, TASK, [("error_frequency", False), ("side_rank", True)], name="r_pos",
+                       blocks=[(F.col("error_frequency"), False), steps("side_rank")])
     r = f.select(*TASK, "n_pass", "r_pos", F.col("answer").alias("rejected"),
                  F.col("answer_id").alias("rejected_id"))
     j = _cross_in_blocks(c, r, "c_pos", "r_pos", "n_pass", "n_fail", block)

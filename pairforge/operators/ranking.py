@@ -2,96 +2,58 @@
 
 ``group_rank`` numbers the rows of each group 0, 1, 2, ... in a total
 order. A plain ``row_number().over(partitionBy(group))`` sends a whole
-group to one task; a group holding a third of all rows would then be a
-third of the job in one task. Here only the key columns are
-range-partitioned on (group, order), so a hot group is spread over many
-partitions; every partition numbers its rows locally, a small
-(group, partition) count table supplies the partition offsets, and the
-positions are joined back on the (unique) group+order key.
-
-The range bounds come from a seeded sample whose seed depends on the
-plan, so the numbered table is written once (a Parquet table under
-``spark.checkpoint.dir``) before its two consumers read it; otherwise
-they could see different partition boundaries.
+group to one task. Here the caller also names *blocks*: leading columns of
+the order, or monotone steps of them, so that one block of one group stays
+small (for example ``steps("pos", 65536)``). Rows are numbered per (group,
+block), and the blocks' row counts, partially aggregated, give each block's
+offset. The same plan holds at every size, nothing is written or sampled,
+and positions depend on the rows alone.
 """
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairforge.session import materialize
-
-
-def _order_spec(order_cols):
-    """[(name, ascending)] from names or (name, ascending) tuples."""
-    out = []
-    for c in order_cols:
-        if isinstance(c, str):
-            out.append((c, True))
-        else:
-            out.append((c[0], bool(c[1])))
-    return out
+BLOCK_ROWS = 65_536
 
 
-def _sort_exprs(spec):
-    return [F.col(n).asc_nulls_first() if a else F.col(n).desc_nulls_last() for n, a in spec]
+def steps(column: str, width: int = BLOCK_ROWS) -> Column:
+    """Blocks of ``width`` consecutive integers; with distinct values a block has at most that many rows."""
+    return F.floor(F.col(column) / F.lit(width)).cast("long")
 
 
-# Largest group a single window task may hold. Above it, a group is
-# numbered across range partitions instead. (The environment override
-# exists so checks can force the range path on small data.)
-MAX_WINDOW_GROUP_ROWS = int(os.environ.get("PAIRFORGE_MAX_WINDOW_GROUP_ROWS", 1_000_000))
+def _order(columns) -> list[Column]:
+    """Sort expressions from names or (name, ascending) pairs."""
+    pairs = [(c, True) if isinstance(c, str) else c for c in columns]
+    return [F.col(n).asc_nulls_first() if up else F.col(n).desc_nulls_last() for n, up in pairs]
 
 
-def largest_group(df: DataFrame, group_cols: list[str]) -> int:
-    """Row count of the biggest group (a partial-aggregated count; one number to the driver)."""
-    v = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    return int(v or 0)
-
-
-def group_rank(df: DataFrame, group_cols: list[str], order_cols: list, name: str = "rank",
-               skew_safe: bool = True, num_partitions: int | None = None,
-               max_group_rows: int | None = None, largest: int | None = None) -> DataFrame:
+def group_rank(df: DataFrame, group_cols: list[str], order_cols: list, name: str = "rank", blocks: list | None = None) -> DataFrame:
     """Add ``name`` = 0-based position of each row inside its group.
 
-    ``order_cols`` are column names or ``(name, ascending)`` pairs and must
-    make the order total inside a group, so positions are deterministic.
-
-    With ``skew_safe`` the group sizes are checked first: when no group
-    exceeds ``max_group_rows`` (default ``MAX_WINDOW_GROUP_ROWS``) a
-    partitioned window is used, since no task can receive more than that
-    bound; otherwise every group is numbered across range partitions.
-    ``largest`` passes a known size of the biggest group and skips the check.
+    ``order_cols`` are names or (name, ascending) pairs and make the order
+    total inside a group. ``blocks`` are columns or (column, ascending)
+    pairs that never decrease along that order; without them a group is one
+    block, which is right for groups of a small proven size only.
     """
-    spec = _order_spec(order_cols)
-    limit = MAX_WINDOW_GROUP_ROWS if max_group_rows is None else max_group_rows
-    if not skew_safe:
-        w = Window.partitionBy(*group_cols).orderBy(*_sort_exprs(spec))
+    if not blocks:
+        w = Window.partitionBy(*group_cols).orderBy(*_order(order_cols))
         return df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
-    if (largest if largest is not None else largest_group(df, group_cols)) <= limit:
-        # Both paths return a written table: positions are usually read by
-        # several consumers, which then scan it instead of re-ranking.
-        w = Window.partitionBy(*group_cols).orderBy(*_sort_exprs(spec))
-        return materialize(df.withColumn(name, (F.row_number().over(w) - 1).cast("long")), "ranked-rows")
-
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sort_keys = [F.col(g).asc_nulls_first() for g in group_cols] + _sort_exprs(spec)
-    numbered = (df.repartitionByRange(n, *sort_keys)
-                  .sortWithinPartitions(*sort_keys)
-                  .withColumn("_pf_pid", F.spark_partition_id())
-                  .withColumn("_pf_mid", F.monotonically_increasing_id()))
-    numbered = materialize(numbered, "ranked-rows")
-    stats = (numbered.groupBy(*group_cols, "_pf_pid")
-                     .agg(F.count(F.lit(1)).alias("_pf_cnt"), F.min("_pf_mid").alias("_pf_first")))
-    # One row per (group, partition the group touches): at most groups + partitions rows.
-    before = Window.partitionBy(*group_cols).orderBy("_pf_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (stats.withColumn("_pf_off", F.coalesce(F.sum("_pf_cnt").over(before), F.lit(0)))
-                    .drop("_pf_cnt"))
-    pos = (F.col("_pf_off") + F.col("_pf_mid") - F.col("_pf_first")).cast("long")
-    return (numbered.join(offsets, on=[*group_cols, "_pf_pid"], how="inner")
-                    .withColumn(name, pos)
-                    .drop("_pf_pid", "_pf_mid", "_pf_first", "_pf_off"))
+    pairs = [b if isinstance(b, tuple) else (b, True) for b in blocks]
+    names = [f"_pf_b{i}" for i in range(len(pairs))]
+    cut = df.withColumns(dict(zip(names, [c for c, _ in pairs])))
+    sizes = cut.groupBy(*group_cols, *names).agg(F.count(F.lit(1)).alias("_pf_n"))
+    before = (Window.partitionBy(*group_cols).orderBy(*_order([(n, up) for n, (_, up) in zip(names, pairs)]))
+              .rowsBetween(Window.unboundedPreceding, -1))
+    keys = [*group_cols, *names]
+    offsets = sizes.select(*[F.col(k).alias(f"_o{i}") for i, k in enumerate(keys)],
+                           F.coalesce(F.sum("_pf_n").over(before), F.lit(0)).alias("_pf_off"))
+    w = Window.partitionBy(*keys).orderBy(*_order(order_cols))
+    same = [F.col(k).eqNullSafe(F.col(f"_o{i}")) for i, k in enumerate(keys)]
+    on = same[0]
+    for s in same[1:]:
+        on = on & s
+    return (cut.withColumn("_pf_r", F.row_number().over(w) - 1).join(offsets, on)
+               .withColumn(name, (F.col("_pf_r") + F.col("_pf_off")).cast("long"))
+               .drop("_pf_r", "_pf_off", *names, *[f"_o{i}" for i in range(len(keys))]))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.functions.text import SYSTEM_PROMPT, add_system_prompt, strip_text
-from pairforge.operators.ranking import group_rank
+from pairforge.operators.ranking import group_rank, steps
 
 ROUND_KEY_OFFSET = 1 << 40
 
@@ -15,7 +15,13 @@ ROUND_KEY_OFFSET = 1 << 40
 def answer_ids(samples: DataFrame, task: str = "task_id", pos: str = "pos",
                extra_group=()) -> DataFrame:
     """answer_id = 0-based running counter per task in sample order (``pos``)."""
-    return group_rank(samples, [*extra_group, task], [pos], name="answer_id")
+    return group_rank(samples, [*extra_group, task], [pos], name="answer_id", blocks=[steps(pos)])
+
+
+def align_key_type(df: DataFrame, like: DataFrame, key: str = "task_id") -> DataFrame:
+    """``df`` with ``key`` in the type it has in ``like``, so that ids read as
+    numbers on one side and as text on the other join."""
+    return df.withColumn(key, F.col(key).cast(like.schema[key].dataType))
 
 
 def join_problems(samples: DataFrame, problems: DataFrame, key: str = "task_id") -> DataFrame:
@@ -36,10 +42,10 @@ def sampling_plan(problems: DataFrame, n_iter: int = 1, n_seq: int | None = 10,
     """One request row per problem x iteration x sequence with the formatted prompt.
 
     With ``eval_ks`` (evaluation mode) the number of sequences per problem
-    is the largest k, so every pass@k can be estimated.
+    is the last k of the list, so lists ascend for every pass@k to be estimated.
     """
     if eval_ks:
-        n_seq = max(int(k) for k in eval_ks)
+        n_seq = int(list(eval_ks)[-1])
     it = F.sequence(F.lit(0).cast("long"), F.lit(n_iter - 1).cast("long"))
     sq = F.sequence(F.lit(0).cast("long"), F.lit(n_seq - 1).cast("long"))
     return (problems.select("task_id", add_system_prompt(strip_text("prompt"), template).alias("request"))

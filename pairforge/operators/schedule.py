@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from pairforge.functions.draws import index_draw, unit_draw
 from pairforge.operators.merge import error_type_order
-from pairforge.operators.ranking import group_rank
+from pairforge.operators.ranking import group_rank, steps
 
 TASK = ["split", "task_id"]
 SCHEDULES = ("pvf", "pvf_iter", "pvf_iter_type", "pvf_iter_expand", "pvf_iter_priority",
@@ -84,7 +84,7 @@ def failure_index(ranked: DataFrame, types: DataFrame | None = None) -> DataFram
     type (``type_rank``) and inside the type-grouped list (``tpos``)."""
     fails = ranked.filter(~F.col("is_pass"))
     types = types if types is not None else error_type_order(ranked)
-    f = group_rank(fails, TASK + ["error_type"], ["side_rank"], name="type_rank")
+    f = group_rank(fails, TASK + ["error_type"], ["side_rank"], name="type_rank", blocks=[steps("side_rank")])
     f = f.join(types, TASK + ["error_type"])
     return f.withColumn("tpos", F.col("type_start") + F.col("type_rank"))
 
@@ -95,18 +95,30 @@ def task_type_counts(ranked: DataFrame, types: DataFrame | None = None) -> DataF
     return types.groupBy(*TASK).agg(F.count(F.lit(1)).alias("n_types"))
 
 
+def steps_in_force(metrics: DataFrame, epochs: int) -> DataFrame:
+    """(epoch, step): the validation step whose counts hold in each epoch.
+
+    Steps are numbered from the first one; step number p ran after epoch p
+    and holds from epoch p + 1 until a newer one replaces it, so steps may be
+    missing or spread out. Epoch 0 has none. The list of steps (one per
+    validation) is read as one array by a scalar subquery.
+    """
+    steps_array = metrics.agg(F.array_sort(F.collect_set("step"))).scalar()
+    table = metrics.sparkSession.range(1, max(1, epochs)).select(F.col("id").alias("epoch")).withColumn("_s", steps_array)
+    done = F.filter("_s", lambda x: x - F.get("_s", F.lit(0)) < F.col("epoch"))
+    return table.select("epoch", F.try_element_at(done, F.lit(-1)).alias("step")).filter(F.col("step").isNotNull())
+
+
 def validation_counts_by_epoch(metrics: DataFrame, epochs: int) -> DataFrame:
     """Validation error counts in force at each epoch.
 
-    ``metrics`` is long form (step, error_type, n). Steps are numbered from
-    the first one; epoch e >= 1 uses step e - 1 (the validation that ran
-    after epoch e - 1), epoch 0 has none. Passing rows ('' type) are
-    dropped. The result has at most epochs x types rows.
+    ``metrics`` is long form (step, error_type, n) and has at least one row
+    for every validation that ran (passing rows have the '' type), so a
+    validation without failures clears the replay. The result has at most
+    epochs x types rows.
     """
-    # The first step is a scalar subquery: evaluated once, no join.
-    first = metrics.select(F.min("step")).scalar()
-    m = metrics.filter(F.col("error_type") != "")
-    m = m.withColumn("epoch", F.col("step") - first + 1).filter(F.col("epoch") < epochs)
+    m = (metrics.filter((F.col("error_type") != "") & (F.col("n") > 0))
+                .join(steps_in_force(metrics, epochs), "step"))
     w = Window.partitionBy("epoch")
     return (m.select("epoch", "error_type", F.col("n").cast("long").alias("cnt"))
              .withColumn("least", F.min("cnt").over(w))
@@ -166,26 +178,24 @@ def progressive_pairs(ranked: DataFrame, schedule: str, epochs: int, seed: int =
                      F.col("answer_id").alias("rejected_id"))
 
     if schedule.endswith("_priority") and val_counts is not None:
-        added = replay_added(te, ranked, val_counts, types)
-        tot = added.groupBy(*TASK, "epoch").agg(F.sum("added").alias("A"))
-        te = te.join(tot, [*TASK, "epoch"], "left").fillna(0, ["A"])
-        te = te.withColumn("_p", F.floor(u * (F.col("W") + F.col("A"))).cast("long"))
-        in_window = te.filter(F.col("_p") < F.col("W")).withColumn("r_pos", F.col("lo") + F.col("_p"))
-        out_w = in_window.join(r, [*TASK, "r_pos"])
-        # Replay part: find the type block containing q = p - W, then a
-        # uniform member of that type.
-        rp = (te.filter(F.col("_p") >= F.col("W")).withColumn("_q", F.col("_p") - F.col("W"))
-                .join(added, [*TASK, "epoch"])
-                .filter((F.col("_q") >= F.col("cum_before")) & (F.col("_q") < F.col("cum_before") + F.col("added")))
-                .withColumn("type_rank", F.floor(
-                    unit_draw(seed, F.col("split"), F.col("task_id"), F.col("epoch"), "replay")
-                    * F.col("type_count")).cast("long")))
-        fi = failure_index(ranked, types).select(*TASK, "error_type", "type_rank", F.col("side_rank").alias("r_pos"),
-                                          F.col("answer").alias("rejected"),
-                                          F.col("answer_id").alias("rejected_id"))
-        out_r = rp.join(fi, [*TASK, "error_type", "type_rank"])
-        cols = [*TASK, "epoch", "prompt", "chosen", "chosen_id", "c_pos", "r_pos", "rejected", "rejected_id"]
-        return _finish(out_w.select(*cols).unionByName(out_r.select(*cols)), schedule)
+        # One frame of (task, epoch, replayed type) rows, with one row without a
+        # type where nothing is replayed; the window pick or the type whose
+        # block holds the draw leaves one row of it.
+        frame = replay_frame(te, val_counts, types).withColumn("_p", F.floor(u * (F.col("W") + F.col("A"))).cast("long"))
+        in_window = F.col("_p") < F.col("W")
+        q = F.col("_p") - F.col("W")
+        in_type = ~in_window & (q >= F.col("cum_before")) & (q < F.col("cum_before") + F.col("added"))
+        inside = F.floor(unit_draw(seed, F.col("split"), F.col("task_id"), F.col("epoch"), "replay") * F.col("type_count"))
+        pick = (frame.filter((in_window & (F.col("cum_before") == 0)) | in_type)
+                     .withColumn("by_type", ~in_window)
+                     .withColumn("pos", F.when(in_window, F.col("lo") + F.col("_p"))
+                                 .otherwise(F.col("type_start") + inside).cast("long")))
+        # Failures under both of their positions, ids only; texts are joined last.
+        place = failure_index(ranked, types).select(*TASK, F.col("side_rank").alias("r_pos"), F.explode(F.array(
+            F.struct(F.lit(False).alias("by_type"), F.col("side_rank").alias("pos")),
+            F.struct(F.lit(True).alias("by_type"), F.col("tpos").alias("pos")))).alias("_at"))
+        place = place.select(*TASK, "r_pos", "_at.by_type", "_at.pos")
+        return _finish(pick.join(place, [*TASK, "by_type", "pos"]).join(r, [*TASK, "r_pos"]), schedule)
 
     te = te.withColumn("r_pos", F.col("lo") + F.floor(u * F.col("W")).cast("long"))
     return _finish(te.join(r, [*TASK, "r_pos"]), schedule)
@@ -197,26 +207,31 @@ def _finish(df: DataFrame, schedule: str) -> DataFrame:
                      "chosen_id", "rejected_id", "c_pos", "r_pos")
 
 
-def replay_added(te: DataFrame, ranked: DataFrame, val_counts: DataFrame,
-                 types: DataFrame | None = None) -> DataFrame:
-    """Per (task, epoch, failing type present in both the task and the
-    validation counts): the number of replay draws added_t and the start of
-    its block (types ordered by count desc, then name).
+def replay_frame(te: DataFrame, val_counts: DataFrame, types: DataFrame) -> DataFrame:
+    """(task, epoch) rows with one row per failing type present in both the
+    task and the validation counts of the epoch, or one row without a type.
 
-    added_t = max(ceil(cnt_t / min cnt), floor(W * cnt_t / sum cnt)),
-    with min and sum over all validation failing types of that epoch.
+    added_t = max(ceil(cnt_t / min cnt), floor(W * cnt_t / sum cnt)), with min
+    and sum over all validation failing types of that epoch, is the number of
+    replay draws of a type; ``cum_before`` starts its block (types ordered by
+    count desc, then name) and ``A`` is the sum over the task's types.
     """
-    types = (types if types is not None else error_type_order(ranked)).select(*TASK, "error_type", "type_count")
-    # val_counts has at most epochs x types rows: a proven bound for broadcast.
-    a = (te.select(*TASK, "epoch", "W").join(F.broadcast(val_counts), "epoch")
-           .join(types, TASK + ["error_type"]))
-    a = a.withColumn("added", F.greatest(
-        F.col("least_cnt"),
-        F.floor(F.col("W").cast("double") * (F.col("cnt") / F.col("total"))).cast("long")))
-    w = (Window.partitionBy(*TASK, "epoch").orderBy(F.desc("cnt"), "error_type")
-               .rowsBetween(Window.unboundedPreceding, -1))
-    return (a.withColumn("cum_before", F.coalesce(F.sum("added").over(w), F.lit(0)).cast("long"))
-             .select(*TASK, "epoch", "error_type", "type_count", "cnt", "added", "cum_before"))
+    known = types.select(*TASK, "error_type", "type_count", "type_start")
+    held = val_counts.select("epoch", "error_type", "cnt", "total", "least_cnt")
+    both = known.join(held, "error_type")  # at most types x epochs rows a task
+    added = F.greatest(F.col("least_cnt"), F.floor(F.col("W").cast("double") * (F.col("cnt") / F.col("total"))).cast("long"))
+    group = Window.partitionBy(*TASK, "epoch")
+    run = group.orderBy(F.desc("cnt"), "error_type").rowsBetween(Window.unboundedPreceding, -1)
+    return (te.join(both, [*TASK, "epoch"], "left").withColumn("added", F.coalesce(added, F.lit(0)).cast("long"))
+              .withColumn("cum_before", F.coalesce(F.sum("added").over(run), F.lit(0)).cast("long"))
+              .withColumn("A", F.sum("added").over(group).cast("long")))
+
+
+def replay_added(te: DataFrame, ranked: DataFrame, val_counts: DataFrame, types: DataFrame | None = None) -> DataFrame:
+    """The replayed types of each (task, epoch) with their draws and blocks (see ``replay_frame``)."""
+    types = types if types is not None else error_type_order(ranked)
+    return (replay_frame(te.select(*TASK, "epoch", "W"), val_counts, types).filter(F.col("error_type").isNotNull())
+            .select(*TASK, "epoch", "error_type", "type_count", "cnt", "added", "cum_before"))
 
 
 def replay_weights(ranked: DataFrame, epochs: int, val_counts: DataFrame,
@@ -227,13 +242,16 @@ def replay_weights(ranked: DataFrame, epochs: int, val_counts: DataFrame,
     te = task_epochs(ranked, epochs)
     lo, hi = epoch_bounds("epoch", "n_fail", epochs, "reverse" if reverse else "iter", exact)
     te = te.withColumn("lo", lo).withColumn("hi", hi).withColumn("W", F.col("hi") - F.col("lo"))
-    added = replay_added(te, ranked, val_counts)
-    tot = added.groupBy(*TASK, "epoch").agg(F.sum("added").alias("A"))
-    te = te.join(tot, [*TASK, "epoch"], "left").fillna(0, ["A"])
+    # Weights are worked out per (task, epoch, failing type) and for the window;
+    # expanding them to answers is a join on the type, not on the task alone.
+    types = error_type_order(ranked)
+    wa = replay_frame(te, val_counts, types)
+    total = wa.select(*TASK, "epoch", "lo", "hi", "W", "A").distinct()
+    per_type = (total.join(types.select(*TASK, "error_type", "type_count"), TASK)
+                .join(wa.filter(F.col("error_type").isNotNull()).select(*TASK, "epoch", "error_type", "added"),
+                      [*TASK, "epoch", "error_type"], "left"))
     fails = ranked.filter(~F.col("is_pass")).select(*TASK, "side_rank", "error_type", "answer_id")
-    x = (te.select(*TASK, "epoch", "lo", "hi", "W", "A").join(fails, TASK)
-           .join(added.select(*TASK, "epoch", "error_type", "added", "type_count"),
-                 [*TASK, "epoch", "error_type"], "left"))
+    x = per_type.join(fails, [*TASK, "error_type"])
     inw = F.when((F.col("side_rank") >= F.col("lo")) & (F.col("side_rank") < F.col("hi")), 1.0).otherwise(0.0)
     extra = F.coalesce(F.col("added") / F.col("type_count"), F.lit(0.0))
     return x.select("split", "task_id", "epoch", "side_rank", "answer_id",

@@ -30,12 +30,3 @@ def tokenize_udf(fn):
 
     return apply
 
-
-def bpe_tokenizer(encoding: str = "cl100k_base"):
-    """A tiktoken BPE encoder when its encoding files are available, else None."""
-    try:
-        import tiktoken
-        enc = tiktoken.get_encoding(encoding)
-    except Exception:  # noqa: BLE001 - optional dependency / offline data
-        return None
-    return lambda text: enc.encode(text, disallowed_special=())

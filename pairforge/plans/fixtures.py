@@ -17,13 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def r1_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict rows from ``events``: one task per user, a purchase passes."""
+def r1_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict rows from ``events`` without answer ids: one task per user, a purchase passes."""
     ev = table(spark, sf_dir, "events")
     passed = F.col("event_type") == "purchase"
     task = F.col("user_id").cast("string")
     answer = F.concat_ws("|", "event_type", "props", (F.col("user_id") % 25).cast("string"))
-    df = ev.select(
+    return ev.select(
         task.alias("task_id"),
         F.when(F.col("user_id") % 5 == 0, "validation").otherwise("train").alias("split"),
         "event_id", "ts",
@@ -37,7 +37,12 @@ def r1_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(~passed, F.concat(F.lit("Traceback: "), F.col("event_type"), F.lit(" at event "),
                                  F.col("event_id").cast("string"))).alias("error_trace"),
     )
-    return group_rank(df, ["split", "task_id"], ["ts", "event_id"], name="answer_id")
+
+
+def r1_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R1 with answer ids: the order of a task's events, cut into days."""
+    return group_rank(r1_rows(spark, sf_dir), ["split", "task_id"], ["ts", "event_id"], name="answer_id",
+                      blocks=[F.to_date("ts")])
 
 
 def r1x2_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +101,7 @@ def r4_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def v1_metrics(spark: SparkSession, sf_dir: str, r1: DataFrame | None = None) -> DataFrame:
     """Validation error counts per step (= day of the event), long form."""
-    r1 = (r1 if r1 is not None else r1_runs(spark, sf_dir)).filter(F.col("split") == "validation")
+    r1 = (r1 if r1 is not None else r1_rows(spark, sf_dir)).filter(F.col("split") == "validation")
     step = F.unix_date(F.to_date("ts")).cast("long")
     return (r1.groupBy(step.alias("step"), "error_type")
               .agg(F.count(F.lit(1)).alias("n")))
@@ -111,14 +116,16 @@ def tm_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def x1_raw_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw generations: a document head plus a tail that exercises the stop strings."""
+    """Raw generations: whole documents with stop strings put in their middle."""
     d = table(spark, sf_dir, "documents")
     tail = (F.when(F.col("doc_id") % 4 == 0, F.lit("\n```rest"))
              .when(F.col("doc_id") % 4 == 1, F.lit("\nprint(1)\n#x"))
              .when(F.col("doc_id") % 4 == 2, F.lit(""))
              .otherwise(F.lit("</s>z")))
     head = F.when(F.col("doc_id") % 10 == 0, F.lit("</s>")).otherwise(F.lit(""))
-    return d.select("doc_id", F.concat(head, F.substring("text", 1, 200), tail).alias("raw"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    return d.select("doc_id", F.concat(head, F.substr("text", F.lit(1), half), tail,
+                                       F.substr("text", half + 1, F.length("text"))).alias("raw"))
 
 
 def x2_code(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,9 +163,9 @@ def p1_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     points past the table for the last 20 items (orphans)."""
     b = table(spark, sf_dir, "benchmark")
     first = b.select(F.col("item_id").cast("string").alias("task_id"),
-                     F.substring("text", 1, 40).alias("answer"),
+                     F.col("text").alias("answer"),
                      (F.col("item_id") * 2).alias("pos"))
     second = b.select((F.col("item_id") + 20).cast("string").alias("task_id"),
-                      F.reverse(F.substring("text", 1, 40)).alias("answer"),
+                      F.concat(F.lit("second "), F.col("text")).alias("answer"),
                       (F.col("item_id") * 2 + 1).alias("pos"))
     return first.unionByName(second)

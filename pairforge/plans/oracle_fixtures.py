@@ -74,10 +74,11 @@ FROM lineitem
 X1 = """
 SELECT doc_id,
        CASE WHEN doc_id % 10 = 0 THEN '</s>' ELSE '' END
-       || left(text, 200)
+       || left(text, length(text) // 2)
        || CASE doc_id % 4 WHEN 0 THEN chr(10) || '```rest'
                           WHEN 1 THEN chr(10) || 'print(1)' || chr(10) || '#x'
-                          WHEN 2 THEN '' ELSE '</s>z' END AS raw
+                          WHEN 2 THEN '' ELSE '</s>z' END
+       || substr(text, length(text) // 2 + 1) AS raw
 FROM documents
 """
 
@@ -108,9 +109,9 @@ FROM benchmark
 """
 
 P1_SAMPLES = """
-SELECT CAST(item_id AS VARCHAR) AS task_id, left(text, 40) AS answer, item_id * 2 AS pos FROM benchmark
+SELECT CAST(item_id AS VARCHAR) AS task_id, text AS answer, item_id * 2 AS pos FROM benchmark
 UNION ALL
-SELECT CAST(item_id + 20 AS VARCHAR) AS task_id, reverse(left(text, 40)) AS answer, item_id * 2 + 1 AS pos
+SELECT CAST(item_id + 20 AS VARCHAR) AS task_id, 'second ' || text AS answer, item_id * 2 + 1 AS pos
 FROM benchmark
 """
 

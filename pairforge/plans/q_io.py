@@ -32,7 +32,7 @@ def roundtrip_runs(spark, sf_dir):
 
 
 @register("roundtrip_merged", R2_MERGE + """
-SELECT split, task_id AS id, rank // 1000 AS part, rank % 1000 AS pos, md5(answer) AS text_md5,
+SELECT split, task_id AS id, rank, md5(answer) AS text_md5,
        error_type, answer_length, round(error_frequency, 6) AS error_frequency
 FROM ranked
 """)
@@ -41,10 +41,9 @@ def roundtrip_merged(spark, sf_dir):
     path = scratch_path(spark, "merged")
     IO.write_merged(G.nest_answers(m["ranked"], m["times"]), path)
     back = IO.read_merged(spark, path)
-    return back.select("split", "id", "part", F.posexplode("answers").alias("pos", "a")).select(
-        "split", "id", "part", F.col("pos").cast("long").alias("pos"), F.md5("a.text").alias("text_md5"),
-        F.col("a.error_type").alias("error_type"), F.col("a.answer_length").alias("answer_length"),
-        r6("a.error_frequency").alias("error_frequency"))
+    return back.select("split", "id", "rank", F.md5("answer.text").alias("text_md5"),
+                       F.col("answer.error_type").alias("error_type"), F.col("answer.answer_length").alias("answer_length"),
+                       r6("answer.error_frequency").alias("error_frequency"))
 
 
 @register("roundtrip_arrow", O.with_ctes(("p1", O.P1_PROBLEMS)) + """
@@ -74,7 +73,7 @@ def stream_error_counts(spark, sf_dir):
     runs_dir, out_dir, ck = (scratch_path(spark, n) for n in ("stream-in", "stream-out", "stream-ck"))
     cols = [f.name for f in ST.STREAM_RUNS.fields]
     # Verdict files arrive as several files (one per task of this write).
-    X.r1_runs(spark, sf_dir).select(*cols).write.json(runs_dir)
+    X.r1_rows(spark, sf_dir).withColumn("answer_id", F.col("event_id")).select(*cols).write.json(runs_dir)
     q = ST.stream_error_counts(spark, runs_dir, out_dir, ck, max_files_per_trigger=2)
     q.awaitTermination()
     return ST.latest_counts(spark, out_dir)

@@ -3,6 +3,7 @@ dedupe, contrastive filter, ranking, type order, time stats, nesting)."""
 
 from pyspark.sql import functions as F
 
+from pairforge.functions.text import sql_literal
 from pairforge.operators import merge as G
 from pairforge.plans import fixtures as X
 from pairforge.plans import oracle_fixtures as O
@@ -21,7 +22,7 @@ def merged(spark, sf_dir, which="r1"):
 SELECT split, task_id, error_type, round(frequency, 6) AS frequency FROM freq
 """)
 def error_frequency(spark, sf_dir):
-    f = G.error_frequency(X.r1_runs(spark, sf_dir))
+    f = G.error_frequency(X.r1_rows(spark, sf_dir))
     return f.select("split", "task_id", "error_type", r6("frequency").alias("frequency"))
 
 
@@ -140,48 +141,41 @@ def time_stats(spark, sf_dir):
 
 
 @register("nest_answers", R2_MERGE + """
-, nested AS (
-  SELECT split, task_id, prompt, rank // 1000 AS part, count(*) AS n_answers,
-         md5(string_agg(answer || '|' || error_type || '|' || CAST(answer_length AS VARCHAR), chr(1)
-                        ORDER BY rank)) AS digest,
-         round(sum(error_frequency), 6) AS sum_frequency
-  FROM ranked GROUP BY ALL),
-times AS (
+, times AS (
   SELECT split, task_id, CAST(count_if(error_frequency = 0) AS BIGINT) AS count, round(avg(avg_time), 6) AS avg,
          round(stddev_samp(avg_time), 6) AS std, round(stddev_samp(avg_time) / avg(avg_time), 6) AS cov
   FROM kept GROUP BY ALL)
-SELECT n.split, n.task_id AS id, n.prompt AS problem, n.part, n.n_answers, n.digest, n.sum_frequency,
+SELECT n.split, n.task_id AS id, n.prompt AS problem, n.rank, md5(n.answer) AS text_md5, n.error_type,
+       n.answer_length, round(n.error_frequency, 6) AS error_frequency,
        t.count AS time_count, t.avg AS time_avg, t.std AS time_std, t.cov AS time_cov
-FROM nested n LEFT JOIN times t ON n.split = t.split AND n.task_id = t.task_id
+FROM ranked n LEFT JOIN times t ON n.split = t.split AND n.task_id = t.task_id
 """)
 def nest_answers(spark, sf_dir):
     m = merged(spark, sf_dir, "r2")
     nest = G.nest_answers(m["ranked"], m["times"])
-    flat = F.transform("answers", lambda x: F.concat_ws(
-        "|", x["text"], x["error_type"], x["answer_length"].cast("string")))
     return nest.select(
-        "split", "id", "problem", "part", F.size("answers").cast("long").alias("n_answers"),
-        F.md5(F.array_join(flat, "\u0001")).alias("digest"),
-        r6(F.aggregate("answers", F.lit(0.0), lambda a, x: a + x["error_frequency"])).alias("sum_frequency"),
+        "split", "id", "problem", "rank", F.md5("answer.text").alias("text_md5"),
+        F.col("answer.error_type").alias("error_type"), F.col("answer.answer_length").alias("answer_length"),
+        r6("answer.error_frequency").alias("error_frequency"),
         F.col("time.count").alias("time_count"), r6("time.avg").alias("time_avg"),
         r6("time.std").alias("time_std"), r6("time.cov").alias("time_cov"))
 
 
-@register("report_text", R1_MERGE + _REPORT_SQL.replace("SELECT b.split,", ", rep AS (SELECT b.split,", 1)
-          + """)
-SELECT split, CAST(0 AS BIGINT) AS line_no, 'Problems (total): ' || CAST(total_prob AS VARCHAR) AS line FROM rep
-UNION ALL SELECT split, 1, 'Problems (filtered): ' || CAST(filtered_prob AS VARCHAR) FROM rep
-UNION ALL SELECT split, 2, 'Problems (ratio): ' || printf('%.2f', ratio_prob) FROM rep
-UNION ALL SELECT split, 3, '' FROM rep
-UNION ALL SELECT split, 4, 'Answers (total): ' || CAST(total_ans AS VARCHAR) FROM rep
-UNION ALL SELECT split, 5, 'Answers (filtered): ' || CAST(filtered_ans AS VARCHAR) FROM rep
-UNION ALL SELECT split, 6, 'Answers (ratio): ' || printf('%.2f', ratio_ans) FROM rep
-""")
+def _report_lines_sql() -> str:
+    """The report's lines from its labels (``merge.REPORT_LINES``)."""
+    rows = []
+    for i, (label, col, dec) in enumerate(G.REPORT_LINES):
+        value = "''" if col is None else f"CAST({col} AS VARCHAR)" if dec is None else f"printf('%.{dec}f', {col})"
+        rows.append(f"SELECT split, CAST({i} AS BIGINT) AS line_no, {sql_literal(label)} || {value} AS line FROM rep")
+    return "\nUNION ALL ".join(rows)
+
+
+@register("report_text", R1_MERGE + _REPORT_SQL.replace("SELECT b.split,", ", rep AS (SELECT b.split,", 1) + ")\n" + _report_lines_sql())
 def report_text(spark, sf_dir):
     from pairforge.session import scratch_path
     path = scratch_path(spark, "report-text")
-    rep = merged(spark, sf_dir, "r1")["report"]
-    G.write_report_text(rep, path)
-    back = spark.read.option("basePath", path).text(path)
-    return G.report_lines(rep).select("split", "line_no", "line").join(
-        back.select("split", F.col("value").alias("line")).distinct(), ["split", "line"], "left_semi")
+    G.write_report_text(merged(spark, sf_dir, "r1")["report"], path)
+    # One small file per split: its line numbers come from the file itself.
+    whole = spark.read.option("basePath", path).text(path, wholetext=True)
+    lines = whole.select("split", F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("line_no", "line"))
+    return lines.select("split", F.col("line_no").cast("long").alias("line_no"), "line")

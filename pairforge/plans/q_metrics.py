@@ -26,7 +26,7 @@ SELECT split, k, round(avg(p), 6) AS pass_at_k FROM pt GROUP BY ALL
 SELECT split, task_id, count(*) AS n, CAST(count_if(output = 'passed') AS BIGINT) AS c FROM r1 GROUP BY ALL
 """)
 def attempts_correct(spark, sf_dir):
-    return M.attempts_and_correct(X.r1_runs(spark, sf_dir))
+    return M.attempts_and_correct(X.r1_rows(spark, sf_dir))
 
 
 @register("pass_at_k", _PASSK_SQL)
@@ -50,7 +50,7 @@ SELECT split,
 FROM r1 GROUP BY ALL
 """)
 def pass_time_length(spark, sf_dir):
-    out = M.pass_time_and_length(X.r1_runs(spark, sf_dir))
+    out = M.pass_time_and_length(X.r1_rows(spark, sf_dir))
     return out.select("split", r6("avg_answer_length").alias("avg_answer_length"),
                       r6("avg_time").alias("avg_time"))
 
@@ -59,4 +59,4 @@ def pass_time_length(spark, sf_dir):
 SELECT split, error_type, count(*) AS n FROM r1 GROUP BY ALL
 """)
 def error_counts(spark, sf_dir):
-    return M.error_counts(X.r1_runs(spark, sf_dir))
+    return M.error_counts(X.r1_rows(spark, sf_dir))

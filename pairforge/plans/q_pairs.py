@@ -3,15 +3,15 @@
 from pyspark.sql import functions as F
 
 from pairforge.functions.draws import sql_unit_draw
-from pairforge.functions.text import add_system_prompt
+from pairforge.functions.text import SFT_TEMPLATE, SYSTEM_PROMPT, add_system_prompt, sql_literal
 from pairforge.operators import pairs as P
 from pairforge.plans import oracle_fixtures as O
 from pairforge.plans.q_merge import R2_MERGE, merged
 from pairforge.plans.registry import register
 
 SEED = 7
-SYS_HEAD = "'Please provide a Python script that solves the following problem. ' || chr(10) || chr(10)"
-SYS_TAIL = "chr(10) || chr(10) || '```python' || chr(10)"
+SYS_HEAD, SYS_TAIL = (sql_literal(part) for part in SYSTEM_PROMPT.split("{}"))
+SFT_QUESTION, SFT_ANSWER = (sql_literal(part) for part in SFT_TEMPLATE)
 
 
 def _pair_cols(df):
@@ -103,7 +103,7 @@ def select_pass(spark, sf_dir):
 
 @register("sft_texts", R2_MERGE + f"""
 SELECT split, task_id AS id, answer_id, side_rank,
-       md5('### Question: ' || {SYS_HEAD} || prompt || {SYS_TAIL} || chr(10) || ' ### Answer: ' || answer)
+       md5({SFT_QUESTION} || {SYS_HEAD} || prompt || {SYS_TAIL} || {SFT_ANSWER} || answer)
        AS text_md5
 FROM ranked WHERE is_pass
 """)
@@ -117,7 +117,7 @@ def sft_texts(spark, sf_dir):
 , t AS (SELECT *, CAST(floor({sql_unit_draw(SEED, 'split', 'task_id', "'sft'")} * n_pass) AS BIGINT) AS c_pos
         FROM tasks)
 SELECT t.split, t.task_id AS id, c.answer_id,
-       md5('### Question: ' || {SYS_HEAD} || t.prompt || {SYS_TAIL} || chr(10) || ' ### Answer: ' || c.answer)
+       md5({SFT_QUESTION} || {SYS_HEAD} || t.prompt || {SYS_TAIL} || {SFT_ANSWER} || c.answer)
        AS text_md5
 FROM t JOIN ranked c ON c.split = t.split AND c.task_id = t.task_id AND c.is_pass AND c.side_rank = t.c_pos
 """)
@@ -129,12 +129,12 @@ def sft_one_answer(spark, sf_dir):
 
 def _sft_format(row):
     """A user formatting function: one SFT text for the row's answer."""
-    return [f"### Question: {row['problem']}\n ### Answer: {row['answer']}"]
+    return [SFT_TEMPLATE[0] + row["problem"] + SFT_TEMPLATE[1] + row["answer"]]
 
 
 @register("sft_format_hook", R2_MERGE + f"""
 SELECT split, task_id AS id, answer_id,
-       md5('### Question: ' || {SYS_HEAD} || prompt || {SYS_TAIL} || chr(10) || ' ### Answer: ' || answer)
+       md5({SFT_QUESTION} || {SYS_HEAD} || prompt || {SYS_TAIL} || {SFT_ANSWER} || answer)
        AS text_md5
 FROM ranked WHERE is_pass
 """)

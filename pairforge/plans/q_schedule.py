@@ -1,5 +1,7 @@
 """Registered queries: per-epoch progressive pairs over the R1 train merge,
-with validation feedback from V1 (error counts per day)."""
+with validation feedback from V1 (error counts per day). Validations are
+spread over the epochs with gaps, and every seventh one has no failure, so
+that feedback stays in force, is replaced and is cleared."""
 
 from pyspark.sql import functions as F
 
@@ -9,8 +11,12 @@ from pairforge.operators import schedule as K
 from pairforge.plans import fixtures as X
 from pairforge.plans import oracle_fixtures as O
 from pairforge.plans.registry import r6, register
+from pairforge.session import scratch_path
+from pairforge.streaming import stream as ST
 
 EPOCHS = 5
+# The 30 days of validation end at step 29 + 29 // 3 = 38.
+REPLAY_EPOCHS = 40
 SEED = 11
 
 
@@ -19,14 +25,14 @@ def _u(tag, t=""):
     return sql_unit_draw(SEED, f"{q}split", f"{q}task_id", f"{q}epoch", f"'{tag}'")
 
 
-def _fs(k, n):
-    return f"CAST(floor(CAST({k} AS DOUBLE) * (CAST({n} AS DOUBLE) / CAST({EPOCHS} AS DOUBLE))) AS BIGINT)"
+def _fs(k, n, epochs):
+    return f"CAST(floor(CAST({k} AS DOUBLE) * (CAST({n} AS DOUBLE) / CAST({epochs} AS DOUBLE))) AS BIGINT)"
 
 
-def sql_bounds(mode, n):
+def sql_bounds(mode, n, epochs=EPOCHS):
     e = "epoch"
     if mode in ("iter", "expand", "reverse", "type"):
-        s, t0 = _fs(e, n), _fs(f"{e} + 1", n)
+        s, t0 = _fs(e, n, epochs), _fs(f"{e} + 1", n, epochs)
         t = f"(CASE WHEN {t0} = {s} THEN least({s} + 1, {n}) ELSE {t0} END)"
         if mode in ("iter", "type"):
             return s, t
@@ -34,15 +40,27 @@ def sql_bounds(mode, n):
             return "CAST(0 AS BIGINT)", t
         return f"({n} - {t})", f"({n} - {s})"
     if mode == "reverse_expand":
-        return _fs(f"{EPOCHS} - {e} - 1", n), n
+        return _fs(f"{epochs} - {e} - 1", n, epochs), n
     if mode == "type_reverse":
-        s = f"least({_fs(f'{EPOCHS} - {e} - 1', n)}, {n} - 1)"
-        t = f"least({_fs(f'{EPOCHS} - {e}', n)}, {n})"
+        s = f"least({_fs(f'{epochs} - {e} - 1', n, epochs)}, {n} - 1)"
+        t = f"least({_fs(f'{epochs} - {e}', n, epochs)}, {n})"
         return s, f"greatest({s} + 1, {t})"
     raise ValueError(mode)
 
 
-BASE = O.merge_over("SELECT * FROM r1", ("r1", O.R1)) + f"""
+_SPREAD_SQL = """first AS (SELECT min(step) AS f FROM v1),
+v2 AS (SELECT (step - f) + (step - f) // 3 AS p,
+              CASE WHEN (step - f) % 7 = 6 THEN '' ELSE error_type END AS error_type, n FROM v1, first),
+v3 AS (SELECT p, error_type, CAST(sum(n) AS BIGINT) AS cnt FROM v2 GROUP BY ALL),
+"""
+_LATEST_SQL = """v3 AS (SELECT CAST(0 AS BIGINT) AS p, error_type, CAST(n AS BIGINT) AS cnt FROM v1
+       WHERE step = (SELECT max(step) FROM v1)),
+"""
+
+
+def base_sql(epochs, latest=False):
+    held = _LATEST_SQL if latest else _SPREAD_SQL
+    return O.merge_over("SELECT * FROM r1", ("r1", O.R1)) + f"""
 , rk AS (SELECT * FROM ranked WHERE split = 'train'),
 tasks AS (SELECT DISTINCT split, task_id, prompt, n_pass, n_fail FROM rk),
 types AS (
@@ -54,26 +72,30 @@ types AS (
         FROM rk WHERE NOT is_pass GROUP BY ALL)),
 ntypes AS (SELECT split, task_id, count(*) AS n_types FROM types GROUP BY ALL),
 fi AS (
-  SELECT f.split, f.task_id, f.error_type, f.side_rank, f.answer_id, t.type_order, t.type_start, t.type_count,
+  SELECT f.split, f.task_id, f.error_type, f.side_rank, f.answer_id, md5(f.answer) AS rejected_md5, t.type_order, t.type_start, t.type_count,
          row_number() OVER (PARTITION BY f.split, f.task_id, f.error_type ORDER BY f.side_rank) - 1 AS type_rank
   FROM rk f JOIN types t ON f.split = t.split AND f.task_id = t.task_id AND f.error_type = t.error_type
   WHERE NOT f.is_pass),
 te0 AS (SELECT t.*, CAST(e.epoch AS BIGINT) AS epoch
-        FROM tasks t, (SELECT unnest(range(0, {EPOCHS})) AS epoch) e),
+        FROM tasks t, (SELECT unnest(range(0, {epochs})) AS epoch) e),
 te AS (
-  SELECT te0.*, c.answer_id AS chosen_id, c.side_rank AS c_pos
+  SELECT te0.*, c.answer_id AS chosen_id, c.side_rank AS c_pos, md5(c.answer) AS chosen_md5
   FROM te0 JOIN rk c ON c.split = te0.split AND c.task_id = te0.task_id AND c.is_pass
    AND c.side_rank = CAST(floor({_u('chosen', 'te0')} * te0.n_pass) AS BIGINT)),
 v1 AS ({O.V1}),
-vc0 AS (SELECT step - (SELECT min(step) FROM v1) + 1 AS epoch, error_type, n AS cnt
-        FROM v1 WHERE error_type <> ''),
+{held}force AS (SELECT e.epoch, max(v3.p) AS p FROM (SELECT unnest(range(1, {epochs})) AS epoch) e JOIN v3 ON v3.p <= e.epoch - 1
+          GROUP BY e.epoch),
 vc AS (SELECT epoch, error_type, cnt,
               CAST(sum(cnt) OVER (PARTITION BY epoch) AS BIGINT) AS total,
               CAST(ceil(cnt / min(cnt) OVER (PARTITION BY epoch)) AS BIGINT) AS least_cnt
-       FROM vc0 WHERE epoch < {EPOCHS})
+       FROM force JOIN v3 USING (p) WHERE error_type <> '')
 """
 
-OUT = "SELECT split, task_id AS id, epoch, '{name}' AS schedule, c_pos, r_pos, chosen_id, rejected_id FROM picked"
+
+BASE, REPLAY_BASE = base_sql(EPOCHS), base_sql(REPLAY_EPOCHS)
+
+OUT = """SELECT split, task_id AS id, epoch, '{name}' AS schedule, c_pos, r_pos, chosen_id, rejected_id,
+       chosen_md5, rejected_md5 FROM picked"""
 
 
 def window_sql(name, mode):
@@ -84,7 +106,7 @@ def window_sql(name, mode):
     return BASE + f"""
 , w AS (SELECT te.*, {lo} AS lo, {hi} AS hi FROM te),
 picked AS (
-  SELECT w.*, f.side_rank AS r_pos, f.answer_id AS rejected_id
+  SELECT w.*, f.side_rank AS r_pos, f.answer_id AS rejected_id, f.rejected_md5
   FROM w JOIN fi f ON f.split = w.split AND f.task_id = w.task_id
    AND f.side_rank = w.lo + CAST(floor({_u('rejected', 'w')} * (w.hi - w.lo)) AS BIGINT))
 """ + OUT.format(name=name)
@@ -99,14 +121,14 @@ w AS (SELECT w1.*, a.type_start AS lo, b.type_start + b.type_count AS hi
       FROM w1 JOIN types a ON a.split = w1.split AND a.task_id = w1.task_id AND a.type_order = w1.t_lo
               JOIN types b ON b.split = w1.split AND b.task_id = w1.task_id AND b.type_order = w1.t_last),
 picked AS (
-  SELECT w.*, f.side_rank AS r_pos, f.answer_id AS rejected_id
+  SELECT w.*, f.side_rank AS r_pos, f.answer_id AS rejected_id, f.rejected_md5
   FROM w JOIN fi f ON f.split = w.split AND f.task_id = w.task_id
    AND f.type_start + f.type_rank = w.lo + CAST(floor({_u('rejected', 'w')} * (w.hi - w.lo)) AS BIGINT))
 """ + OUT.format(name=name)
 
 
-def replay_ctes(mode):
-    lo, hi = sql_bounds(mode, "n_fail")
+def replay_ctes(mode, epochs=REPLAY_EPOCHS):
+    lo, hi = sql_bounds(mode, "n_fail", epochs)
     return f"""
 , w AS (SELECT te.*, {lo} AS lo, {hi} AS hi, {hi} - {lo} AS W FROM te),
 added0 AS (
@@ -124,11 +146,11 @@ wa AS (SELECT w.*, coalesce(tot.A, 0) AS A FROM w LEFT JOIN tot
 """
 
 
-def priority_sql(name, mode):
-    return BASE + replay_ctes(mode) + f"""
+def priority_sql(name, mode, base=None, epochs=REPLAY_EPOCHS):
+    return (base or REPLAY_BASE) + replay_ctes(mode, epochs) + f"""
 , wp AS (SELECT wa.*, CAST(floor({_u('rejected')} * (W + A)) AS BIGINT) AS p FROM wa),
 pick_w AS (
-  SELECT wp.*, f.side_rank AS r_pos, f.answer_id AS rejected_id
+  SELECT wp.*, f.side_rank AS r_pos, f.answer_id AS rejected_id, f.rejected_md5
   FROM wp JOIN fi f ON f.split = wp.split AND f.task_id = wp.task_id AND f.side_rank = wp.lo + wp.p
   WHERE wp.p < wp.W),
 pick_t AS (
@@ -138,32 +160,44 @@ pick_t AS (
   FROM wp JOIN added a ON a.split = wp.split AND a.task_id = wp.task_id AND a.epoch = wp.epoch
   WHERE wp.p >= wp.W AND wp.p - wp.W >= a.cum_before AND wp.p - wp.W < a.cum_before + a.added),
 pick_r AS (
-  SELECT pick_t.*, f.side_rank AS r_pos, f.answer_id AS rejected_id
+  SELECT pick_t.*, f.side_rank AS r_pos, f.answer_id AS rejected_id, f.rejected_md5
   FROM pick_t JOIN fi f ON f.split = pick_t.split AND f.task_id = pick_t.task_id
    AND f.error_type = pick_t.rtype AND f.type_rank = pick_t.rt),
 picked AS (
-  SELECT split, task_id, epoch, c_pos, r_pos, chosen_id, rejected_id FROM pick_w
+  SELECT split, task_id, epoch, c_pos, r_pos, chosen_id, rejected_id, chosen_md5, rejected_md5 FROM pick_w
   UNION ALL
-  SELECT split, task_id, epoch, c_pos, r_pos, chosen_id, rejected_id FROM pick_r)
+  SELECT split, task_id, epoch, c_pos, r_pos, chosen_id, rejected_id, chosen_md5, rejected_md5 FROM pick_r)
 """ + OUT.format(name=name)
 
 
-def _inputs(spark, sf_dir):
-    r1 = X.r1_runs(spark, sf_dir)
-    ranked = G.merge_runs(r1).ranked.filter(F.col("split") == "train")
-    val = K.validation_counts_by_epoch(X.v1_metrics(spark, sf_dir, r1), EPOCHS)
-    return ranked, val
+def _ranked(spark, sf_dir):
+    return G.merge_runs(X.r1_runs(spark, sf_dir)).ranked.filter(F.col("split") == "train")
+
+
+def _feedback(spark, sf_dir):
+    """Validation counts by epoch from V1, spread with gaps; every seventh validation has no failure."""
+    m = X.v1_metrics(spark, sf_dir)
+    first = m.select(F.min("step")).scalar()
+    day = F.col("step") - first
+    m = (m.select(day.alias("day"), "error_type", "n")
+          .select((F.col("day") + F.floor(F.col("day") / 3)).cast("long").alias("step"),
+                  F.when(F.col("day") % 7 == 6, "").otherwise(F.col("error_type")).alias("error_type"), "n")
+          .groupBy("step", "error_type").agg(F.sum("n").alias("n")))
+    return K.validation_counts_by_epoch(m, REPLAY_EPOCHS)
 
 
 def _pick_cols(df):
-    return df.select("split", "id", "epoch", "schedule", "c_pos", "r_pos", "chosen_id", "rejected_id")
+    return df.select("split", "id", "epoch", "schedule", "c_pos", "r_pos", "chosen_id", "rejected_id",
+                     F.md5("chosen").alias("chosen_md5"), F.md5("rejected").alias("rejected_md5"))
 
 
 def _register_schedule(name, sql):
     @register(name, sql)
     def q(spark, sf_dir):
-        ranked, val = _inputs(spark, sf_dir)
-        return _pick_cols(K.progressive_pairs(ranked, name, EPOCHS, seed=SEED, val_counts=val))
+        replay = name.endswith("_priority")
+        val = _feedback(spark, sf_dir) if replay else None
+        return _pick_cols(K.progressive_pairs(_ranked(spark, sf_dir), name, REPLAY_EPOCHS if replay else EPOCHS,
+                                              seed=SEED, val_counts=val))
     q.__name__ = name
     return q
 
@@ -179,6 +213,16 @@ _register_schedule("pvf_iter_priority", priority_sql("pvf_iter_priority", "iter"
 _register_schedule("pvf_iter_reverse_priority", priority_sql("pvf_iter_reverse_priority", "reverse"))
 
 
+@register("pvf_iter_streamed", priority_sql("pvf_iter_priority", "iter", base_sql(EPOCHS, latest=True), EPOCHS))
+def pvf_iter_streamed(spark, sf_dir):
+    """Replay from the metrics a stream has kept: the newest validation holds from epoch 1 on."""
+    metrics_dir, state_dir, ck = (scratch_path(spark, n) for n in ("feedback-in", "feedback-state", "feedback-ck"))
+    X.v1_metrics(spark, sf_dir).repartition(4, "step").write.json(metrics_dir)
+    ST.stream_latest_metrics(spark, metrics_dir, state_dir, ck, max_files_per_trigger=1).awaitTermination()
+    val = K.validation_counts_by_epoch(ST.current_state(spark, state_dir), EPOCHS)
+    return _pick_cols(K.progressive_pairs(_ranked(spark, sf_dir), "pvf_iter_priority", EPOCHS, seed=SEED, val_counts=val))
+
+
 _B = {m: sql_bounds(m, "n_fail") for m in ("iter", "expand", "reverse", "reverse_expand")}
 _T = {m: sql_bounds(m, "n_types") for m in ("type", "type_reverse")}
 
@@ -192,7 +236,7 @@ SELECT te0.split, te0.task_id, te0.epoch, te0.n_fail, nt.n_types,
 FROM te0 JOIN ntypes nt ON nt.split = te0.split AND nt.task_id = te0.task_id
 """)
 def epoch_bounds(spark, sf_dir):
-    ranked, _ = _inputs(spark, sf_dir)
+    ranked = _ranked(spark, sf_dir)
     te = K.task_epochs(ranked, EPOCHS).join(K.task_type_counts(ranked), ["split", "task_id"])
     b = {m: K.epoch_bounds("epoch", "n_fail", EPOCHS, m) for m in ("iter", "expand", "reverse", "reverse_expand")}
     t = {m: K.epoch_bounds("epoch", "n_types", EPOCHS, m) for m in ("type", "type_reverse")}
@@ -204,7 +248,7 @@ def epoch_bounds(spark, sf_dir):
                      t["type_reverse"][0].alias("trev_lo"), t["type_reverse"][1].alias("trev_hi"))
 
 
-@register("replay_weights", BASE + replay_ctes("iter") + """
+@register("replay_weights", REPLAY_BASE + replay_ctes("iter") + """
 SELECT wa.split, wa.task_id, wa.epoch, f.side_rank, f.answer_id,
        round((CASE WHEN f.side_rank >= wa.lo AND f.side_rank < wa.hi THEN 1.0 ELSE 0.0 END
               + coalesce(CAST(a.added AS DOUBLE) / a.type_count, 0.0)) / (wa.W + wa.A), 6) AS weight
@@ -213,6 +257,5 @@ LEFT JOIN added a ON a.split = wa.split AND a.task_id = wa.task_id AND a.epoch =
  AND a.error_type = f.error_type
 """)
 def replay_weights(spark, sf_dir):
-    ranked, val = _inputs(spark, sf_dir)
-    w = K.replay_weights(ranked, EPOCHS, val)
+    w = K.replay_weights(_ranked(spark, sf_dir), REPLAY_EPOCHS, _feedback(spark, sf_dir))
     return w.select("split", "task_id", "epoch", "side_rank", "answer_id", r6("weight").alias("weight"))

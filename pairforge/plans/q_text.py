@@ -12,14 +12,9 @@ from pairforge.operators import pairs as P
 from pairforge.plans.registry import register
 
 NL = "chr(10)"
-SYS_HEAD = f"'Please provide a Python script that solves the following problem. ' || {NL} || {NL}"
-SYS_TAIL = f"{NL} || {NL} || '```python' || {NL}"
-# SQL literals of the stop strings, in order.
-_STOPS_SQL = ["'<|endoftext|>'", "'<|endofmask|>'", "'<｜end▁of▁sentence｜>'", "'<[PAD▁TOKEN]>'", "'</s>'",
-              f"{NL} || 'if __name__'", f"{NL} || 'def main('", f"{NL} || 'print('", f"{NL} || '#'",
-              f"{NL} || '```'"]
-_WS = (r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}"
-       r"\x{205F}\x{3000}]")
+SYS_HEAD, SYS_TAIL = (T.sql_literal(part) for part in T.SYSTEM_PROMPT.split("{}"))
+_STOPS_SQL = [T.sql_literal(stop) for stop in T.STOP_STRINGS]
+_WS = T.WHITESPACE_CLASS
 
 
 def sql_truncate_chain(src_cte: str, col: str, keep: str) -> str:
@@ -56,7 +51,7 @@ def entry_point(spark, sf_dir):
 @register("first_def_line", O.with_ctes(("x2", O.X2)) + rf"""
 SELECT task_id,
        list_filter(list_transform(
-           regexp_split_to_array(code, '\r\n|[\n\r\x{{B}}\x{{C}}\x{{1C}}\x{{1D}}\x{{1E}}\x{{85}}\x{{2028}}\x{{2029}}]'),
+           regexp_split_to_array(code, {T.sql_literal(T.LINE_BREAK_PATTERN)}),
            lambda x: {sql_strip('x')}), lambda x: starts_with(x, 'def '))[1] AS def_line
 FROM x2
 """)
@@ -68,7 +63,7 @@ def first_def_line(spark, sf_dir):
 @register("rename_entry_point", O.with_ctes(("x2", O.X2)) + f"""
 , ep AS (SELECT task_id, code,
                 regexp_extract_all(code, '(?m)^def{_WS}+([a-zA-Z_][a-zA-Z0-9_]*)', 1)[-1] AS ep FROM x2)
-SELECT task_id, CASE WHEN ep IS NOT NULL AND NOT contains(code, 'solver') THEN replace(code, ep, 'solver')
+SELECT task_id, CASE WHEN ep IS NOT NULL AND NOT contains(code, {T.sql_literal(T.ENTRY_NAME)}) THEN replace(code, ep, {T.sql_literal(T.ENTRY_NAME)})
                      ELSE code END AS code
 FROM ep
 """)
@@ -109,7 +104,8 @@ def strip_echo(spark, sf_dir):
     return c.select("conv_id", "turn", answer.alias("answer"))
 
 
-MAX_LEN = 10
+# Long enough that short answers keep their end token and long ones are cut.
+MAX_LEN = 800
 EOS_ID = 0
 
 

@@ -38,11 +38,9 @@ ANSWER = T.StructType([
     _f("text", S), _f("error_frequency", D), _f("error_type", S), _f("answer_length", L),
 ])
 TIME_STATS = T.StructType([_f("count", L), _f("avg", D), _f("std", D), _f("cov", D)])
-# Nested sink form of the ranked table; ``part`` numbers the chunks of a
-# task whose answer list is longer than one row may hold.
+# Sink form of the ranked table: one row per answer, in the order of ``rank``.
 MERGED = T.StructType([
-    _f("id", S), _f("problem", S), _f("part", L), _f("answers", T.ArrayType(ANSWER)),
-    _f("time", TIME_STATS),
+    _f("id", S), _f("problem", S), _f("rank", L), _f("answer", ANSWER), _f("time", TIME_STATS),
 ])
 
 PAIRS = T.StructType([

@@ -69,11 +69,13 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder below the shared checkpoint root."""
-    root = checkpoint_root(spark).rstrip("/")
-    if root.startswith("file:"):
-        # Local folder: a plain path also works for Python-side writers.
-        root = "/" + root[len("file:"):].lstrip("/")
-    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def replace_partitions(df, *by: str):
+    """A writer that replaces only the partitions ``df`` has rows for, whatever
+    the session's ``partitionOverwriteMode`` is."""
+    return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by)
 
 
 def materialize(df, name: str = "table"):

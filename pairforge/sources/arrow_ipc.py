@@ -19,7 +19,17 @@ from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourc
 FORMAT = "arrowipc"
 
 
+def _local(path: str) -> str:
+    """A mounted folder as the operating system names it; other stores are not for this format."""
+    if path.startswith("file:"):
+        return "/" + path[len("file:"):].lstrip("/")
+    if "://" in path:
+        raise ValueError(f"Arrow IPC files are read from mounted folders, not {path}")
+    return path
+
+
 def _files(path: str) -> list[str]:
+    path = _local(path)
     if os.path.isdir(path):
         found = [os.path.join(path, f) for f in sorted(os.listdir(path))
                  if f.endswith(".arrow") and not f.startswith(".")]
@@ -46,7 +56,7 @@ class _FilePartition(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, path: str, schema):
-        self.path = path
+        self.path = _local(path)
         self.schema = schema
 
     def partitions(self):
@@ -76,7 +86,7 @@ class _Writer(DataSourceArrowWriter):
     retried task never leaves a duplicate behind."""
 
     def __init__(self, path: str):
-        self.path = path
+        self.path = _local(path)
 
     def commit(self, messages):
         for m in messages:

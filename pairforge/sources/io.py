@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairforge import schemas as S
+from pairforge.session import replace_partitions
 from pairforge.sources import arrow_ipc
 
 RUN_CONFIG = ("dataset", "model", "temperature", "method", "epochs", "prefix")
@@ -47,7 +48,7 @@ def select_splits(df: DataFrame, splits=None, eval_mode: bool | None = None) ->
 def ingest_jsonl(spark: SparkSession, path: str, split: str, out: str) -> None:
     """JSONL problems -> parquet table with one named split (overwrites only that split)."""
     df = spark.read.schema(S.PROBLEMS).json(path).withColumn("split", F.lit(split))
-    df.write.mode("overwrite").partitionBy("split").parquet(out)
+    replace_partitions(df, "split").parquet(out)
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
@@ -80,8 +81,7 @@ RUNS_STORED = T.StructType(list(S.RUNS.fields) + [T.StructField("split", T.Strin
 def write_runs(df: DataFrame, path: str) -> None:
     """Verdict rows as JSONL, one directory per (split, check)."""
     cols = [f.name for f in S.RUNS.fields]
-    (df.select(*cols, "split", "check_id")
-       .write.mode("overwrite").partitionBy("split", "check_id").json(path))
+    replace_partitions(df.select(*cols, "split", "check_id"), "split", "check_id").json(path)
 
 
 def read_runs(spark: SparkSession, path: str, splits=None) -> DataFrame:
@@ -99,7 +99,7 @@ def read_runs_per_file(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def write_merged(nested: DataFrame, path: str) -> None:
-    nested.write.mode("overwrite").partitionBy("split").json(path)
+    replace_partitions(nested, "split").json(path)
 
 
 def read_merged(spark: SparkSession, path: str, splits=None) -> DataFrame:
@@ -109,11 +109,11 @@ def read_merged(spark: SparkSession, path: str, splits=None) -> DataFrame:
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
     """Metrics keyed by split and check (dynamic overwrite replaces only those)."""
-    metrics.write.mode("overwrite").partitionBy("split", "check_id").json(path)
+    replace_partitions(metrics, "split", "check_id").json(path)
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    report.write.mode("overwrite").partitionBy("split").json(path)
+    replace_partitions(report, "split").json(path)
 
 
 def run_layout(df: DataFrame, **config) -> DataFrame:
@@ -125,6 +125,16 @@ def run_layout(df: DataFrame, **config) -> DataFrame:
     return df.withColumns({k: F.lit(str(v)) for k, v in config.items()})
 
 
+def read_run_table(spark: SparkSession, path: str, **config) -> DataFrame:
+    """The outputs of all runs, or of those with the given settings (partition
+    pruning); settings are read as text, as they were written."""
+    df = spark.read.option("basePath", path).parquet(path)
+    df = df.withColumns({k: F.col(k).cast("string") for k in RUN_CONFIG if k in df.columns})
+    for k, v in config.items():
+        df = df.filter(F.col(k) == F.lit(str(v)))
+    return df
+
+
 def write_run_table(df: DataFrame, path: str, keys=RUN_CONFIG) -> None:
     present = [k for k in keys if k in df.columns]
-    df.write.mode("overwrite").partitionBy(*present).parquet(path)
+    replace_partitions(df, *present).parquet(path)

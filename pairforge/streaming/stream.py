@@ -8,6 +8,7 @@ restarted query resumes from its checkpoint.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +18,7 @@ from pairforge import schemas as S
 STREAM_RUNS = T.StructType(list(S.RUNS.fields) + [T.StructField("split", T.StringType())])
 METRIC_ROWS = T.StructType([T.StructField("step", T.LongType()), T.StructField("error_type", T.StringType()),
                             T.StructField("n", T.LongType())])
+STATE_ROWS = T.StructType([*METRIC_ROWS.fields, T.StructField("batch_id", T.LongType())])
 
 
 def stream_error_counts(spark: SparkSession, runs_dir: str, out_dir: str, checkpoint: str,
@@ -80,28 +82,31 @@ def stream_latest_metrics(spark: SparkSession, metrics_dir: str, state_dir: str,
     return w.start()
 
 
-def _batch_ids(spark: SparkSession, state_dir: str) -> list[int]:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(state_dir)
-    fs = path.getFileSystem(conf)
-    if not fs.exists(path):
-        return []
-    ids = []
-    for st in fs.listStatus(path):
-        name = st.getPath().getName()
-        if name.startswith("batch_id="):
-            ids.append(int(name.split("=", 1)[1]))
-    return sorted(ids)
+def _states(spark: SparkSession, state_dir: str) -> DataFrame | None:
+    """All states with their ``batch_id`` (a partition column); None before the first one."""
+    try:
+        return spark.read.schema(STATE_ROWS).parquet(state_dir)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def _state_before(states: DataFrame, batch_id: int | None) -> DataFrame:
+    """The newest state, of those before ``batch_id`` where one is given."""
+    if batch_id is not None:
+        states = states.filter(F.col("batch_id") < batch_id)
+    newest = states.select(F.max("batch_id")).scalar()
+    return states.filter(F.col("batch_id") == newest).select("step", "error_type", "n")
 
 
 def _previous_state(spark: SparkSession, state_dir: str, batch_id: int):
-    earlier = [b for b in _batch_ids(spark, state_dir) if b < batch_id]
-    if not earlier:
-        return None
-    return spark.read.parquet(f"{state_dir}/batch_id={earlier[-1]}").select("step", "error_type", "n")
+    states = _states(spark, state_dir)
+    return None if states is None else _state_before(states, batch_id)
 
 
 def current_state(spark: SparkSession, state_dir: str) -> DataFrame:
-    ids = _batch_ids(spark, state_dir)
-    return spark.read.parquet(f"{state_dir}/batch_id={ids[-1]}").select("step", "error_type", "n")
+    states = _states(spark, state_dir)
+    if states is None:
+        raise ValueError(f"no metrics have arrived in {state_dir}")
+    return _state_before(states, None)

@@ -11,20 +11,11 @@ from pairforge.operators import metrics as M
 from pairforge.operators import schedule as K
 
 
-def _ref_pass_at_k(n, c, k):
-    if n - c < k:
-        return 1.0
-    p = 1.0
-    for i in range(n - c + 1, n + 1):
-        p *= 1.0 - k / i
-    return 1.0 - p
-
-
 @pytest.mark.parametrize("n,c,k,want", [(5, 0, 1, 0.0), (5, 5, 1, 1.0), (3, 0, 5, 1.0),
                                         (10, 5, 5, 0.9960317460317460), (10, 0, 5, 0.0),
-                                        (10, 7, 2, _ref_pass_at_k(10, 7, 2)),
-                                        (1000, 900, 3, _ref_pass_at_k(1000, 900, 3)),
-                                        (53, 20, 1, _ref_pass_at_k(53, 20, 1))])
+                                        (10, 7, 2, 1 - 3 / 45),
+                                        (1000, 900, 3, 1 - math.comb(100, 3) / math.comb(1000, 3)),
+                                        (53, 20, 1, 20 / 53)])
 def test_pass_at_k_expr(spark, n, c, k, want):
     df = spark.createDataFrame([(n, c, k)], "n long, c long, k int")
     got = df.select(M.pass_at_k_expr().alias("p")).first().p
@@ -69,28 +60,39 @@ def test_epoch_bounds_small_n(spark):
     assert got == [(0, 1), (0, 1), (1, 2), (1, 2), (2, 3)]
 
 
-def test_epoch_bounds_modes_match_python(spark):
-    def py(mode, e, E, n):
-        epe = n / E
-        if mode in ("iter", "expand", "reverse"):
-            s, t = int(math.floor(e * epe)), int(math.floor((e + 1) * epe))
-            if t == s:
-                t = min(s + 1, n)
-            return {"iter": (s, t), "expand": (0, t), "reverse": (n - t, n - s)}[mode]
-        if mode == "reverse_expand":
-            return int(math.floor((E - e - 1) * epe)), n
-        s = min(int(math.floor((E - e - 1) * epe)), n - 1)
-        t = min(int(math.floor((E - e) * epe)), n)
-        return s, max(s + 1, t)
-
-    E = 7
-    rows = [(e, n) for n in (1, 2, 6, 7, 13, 54) for e in range(E)]
-    df = spark.createDataFrame(rows, "epoch long, n long")
-    for mode in ("iter", "expand", "reverse", "reverse_expand", "type_reverse"):
-        s, t = K.epoch_bounds("epoch", "n", E, mode)
-        got = {(r.epoch, r.n): (r.s, r.t) for r in df.select("epoch", "n", s.alias("s"), t.alias("t")).collect()}
-        for e, n in rows:
-            assert got[(e, n)] == py(mode, e, E, n), (mode, e, n)
+# Four epochs over lists of 1, 3, 7 and 10 items: [start, end) of each epoch.
+BOUNDS = {
+    "iter": {1: [(0, 1), (0, 1), (0, 1), (0, 1)], 3: [(0, 1), (0, 1), (1, 2), (2, 3)],
+             7: [(0, 1), (1, 3), (3, 5), (5, 7)], 10: [(0, 2), (2, 5), (5, 7), (7, 10)]},
+    "expand": {1: [(0, 1), (0, 1), (0, 1), (0, 1)], 3: [(0, 1), (0, 1), (0, 2), (0, 3)],
+               7: [(0, 1), (0, 3), (0, 5), (0, 7)], 10: [(0, 2), (0, 5), (0, 7), (0, 10)]},
+    "reverse": {1: [(0, 1), (0, 1), (0, 1), (0, 1)], 3: [(2, 3), (2, 3), (1, 2), (0, 1)],
+                7: [(6, 7), (4, 6), (2, 4), (0, 2)], 10: [(8, 10), (5, 8), (3, 5), (0, 3)]},
+    "reverse_expand": {1: [(0, 1), (0, 1), (0, 1), (0, 1)], 3: [(2, 3), (1, 3), (0, 3), (0, 3)],
+                       7: [(5, 7), (3, 7), (1, 7), (0, 7)], 10: [(7, 10), (5, 10), (2, 10), (0, 10)]},
+    "type_reverse": {1: [(0, 1), (0, 1), (0, 1), (0, 1)], 3: [(2, 3), (1, 2), (0, 1), (0, 1)],
+                     7: [(5, 7), (3, 5), (1, 3), (0, 1)], 10: [(7, 10), (5, 7), (2, 5), (0, 2)]},
+}
+
+
+@pytest.mark.parametrize("mode", sorted(BOUNDS))
+def test_epoch_bounds_table(spark, mode):
+    df = spark.createDataFrame([(e, n) for n in BOUNDS[mode] for e in range(4)], "epoch long, n long")
+    s, t = K.epoch_bounds("epoch", "n", 4, mode)
+    got = {(r.n, r.epoch): (r.s, r.t) for r in df.select("epoch", "n", s.alias("s"), t.alias("t")).collect()}
+    assert got == {(n, e): b for n, bounds in BOUNDS[mode].items() for e, b in enumerate(bounds)}
+
+
+def test_feedback_stays_in_force_and_is_cleared(spark):
+    # Validations after epochs 0, 3 and 5; the one after epoch 3 has no failure.
+    rows = [(10, "A", 4), (10, "", 9), (13, "", 8), (15, "B", 2), (15, "A", 6)]
+    m = spark.createDataFrame(rows, "step long, error_type string, n long")
+    got = {}
+    for r in K.validation_counts_by_epoch(m, 9).collect():
+        got.setdefault(r.epoch, set()).add((r.error_type, r.cnt, r.total, r.least_cnt))
+    held, late = {("A", 4, 4, 1)}, {("A", 6, 8, 3), ("B", 2, 8, 1)}
+    assert got == {1: held, 2: held, 3: held, 6: late, 7: late, 8: late}
+    assert K.validation_counts_by_epoch(m.limit(0), 9).count() == 0
 
 
 def test_token_truncation(spark):
