@@ -217,15 +217,16 @@ def assert_non_empty(df: DataFrame, what: str = "samples") -> DataFrame:
 class MergeResult:
     """The merge stage's tables, built on first access.
 
-    Without ``materialize`` every table is a lazy plan. Stage functions set
-    it: then ``kept`` and ``ranked`` are written once as Parquet tables under
-    ``spark.checkpoint.dir`` and read back, so every later consumer
+    ``kept`` and ``ranked`` are the stage's durable outputs, read by several
+    consumers each (a schedule reads ``ranked`` five times; as one lazy plan it
+    would hold hundreds of exchanges): they are written once as Parquet tables under
+    ``spark.checkpoint.dir`` when first asked for and read back, so every later consumer
     (pairs, schedules, reports) scans them instead of re-running the
     merge, and a lost executor does not force recomputing the stage.
     """
 
     def __init__(self, runs: DataFrame, dedupe_scope: str = "split", min_pass: int = 2,
-                 min_fail: int = 2, materialize: bool = False):
+                 min_fail: int = 2, materialize: bool = True):
         self.runs, self.dedupe_scope = runs, dedupe_scope
         self.min_pass, self.min_fail = min_pass, min_fail
         self.materialize = materialize
@@ -281,7 +282,7 @@ class MergeResult:
 
 
 def merge_runs(runs: DataFrame, dedupe_scope: str = "split", min_pass: int = 2,
-               min_fail: int = 2, materialize: bool = False) -> MergeResult:
+               min_fail: int = 2, materialize: bool = True) -> MergeResult:
     """The whole merge stage. Tables by name: frequency, averaged, scored,
     deduped, kept, ranked (the durable flat result), times, report."""
     return MergeResult(runs, dedupe_scope, min_pass, min_fail, materialize)

@@ -64,17 +64,12 @@ def test_group_rank_hot_group_spans_tasks(spark):
     assert r.filter("r != id").count() == 0 and len(per_task) >= 4 and max(per_task) < 12_000
 
 
-def test_queries_are_lazy(spark):
-    """Building a plan of the merge, the ranking or a schedule runs no job."""
-    import __spark_entry__ as E
-    queries, tracker, seen = E.queries(), spark.sparkContext.statusTracker(), set()
-    for name in ("answer_id", "rank_answers_runs", "error_type_order", "curriculum_pairs_desc", "pvf_iter", "pvf_iter_priority", "replay_weights"):
-        spark.sparkContext.setJobGroup(f"lazy-{name}", name)
-        queries[name](spark, SMALL)
-        seen |= set(tracker.getJobIdsForGroup(f"lazy-{name}"))
-    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-    # Reading a table's schema from its footer is the only work left.
-    assert len(seen) <= 7 * 4
+def test_replay_plan_is_one_pass(spark, r1_merge):
+    """Over the ranked table, a replay schedule needs few exchanges."""
+    val = K.validation_counts_by_epoch(X.v1_metrics(spark, SMALL), 5)
+    df = K.progressive_pairs(r1_merge.ranked, "pvf_iter_priority", 5, val_counts=val)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 30
 
 
 def test_all_pairs_count_and_block_join(spark, r1_merge):
