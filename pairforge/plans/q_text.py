@@ -139,7 +139,8 @@ FROM tok
 def truncate_pair_tokens(spark, sf_dir):
     r = merged(spark, sf_dir, "r2")["ranked"]
     pr = P.one_pair(r, seed=7)
-    p, c, j = T.truncate_pair_tokens(T.hash_word_ids(T.add_system_prompt("prompt")), T.hash_word_ids("chosen"),
-                                     T.hash_word_ids("rejected"), MAX_LEN, EOS_ID)
+    p, c, j = T.truncate_pair_tokens(T.hash_word_ids(T.add_system_prompt("prompt"), last=MAX_LEN),
+                                     T.hash_word_ids("chosen", first=MAX_LEN // 2),
+                                     T.hash_word_ids("rejected", first=MAX_LEN // 2), MAX_LEN, EOS_ID)
     return pr.select("split", "id", F.array_join(p, ",").alias("prompt_ids"),
                      F.array_join(c, ",").alias("chosen_ids"), F.array_join(j, ",").alias("rejected_ids"))

@@ -133,6 +133,14 @@ def test_exact_bounds_partition_when_n_ge_epochs(spark):
     assert covered == set(range(n))
 
 
+def test_stdio_verdict_arrays(spark):
+    from pairforge.operators.runs import stdio_verdict_arrays
+    rows = [(["a", "b"], ["a", "b"]), (["a"], ["a", "b"]), (["a", "x"], ["a", "b"]), ([], []), ([None], [None])]
+    got = stdio_verdict_arrays(spark.createDataFrame(rows, "got array<string>, want array<string>")).collect()
+    assert [(r.output, r.error_type) for r in got] == [
+        ("passed", ""), ("failed", "AssertionError"), ("failed", "AssertionError"), ("passed", ""), ("passed", "")]
+
+
 def test_constant_columns(spark):
     from pairforge.operators.pairs import constant_columns
     df = constant_columns(spark.createDataFrame([(1,)], "x int"))
