@@ -226,8 +226,9 @@ class MergeResult:
     """
 
     def __init__(self, runs: DataFrame, dedupe_scope: str = "split", min_pass: int = 2,
-                 min_fail: int = 2, materialize: bool = True):
+                 min_fail: int = 2, materialize: bool = True, raw: DataFrame | None = None):
         self.runs, self.dedupe_scope = runs, dedupe_scope
+        self.raw = runs if raw is None else raw
         self.min_pass, self.min_fail = min_pass, min_fail
         self.materialize = materialize
         self._cache: dict[str, DataFrame] = {}
@@ -245,7 +246,7 @@ class MergeResult:
 
     @property
     def frequency(self):
-        return self._get("frequency", lambda: error_frequency(self.runs))
+        return self._get("frequency", lambda: error_frequency(self.raw))
 
     @property
     def averaged(self):
@@ -254,7 +255,8 @@ class MergeResult:
     @property
     def scored(self):
         return self._get("scored", lambda: score(
-            self.averaged, self.frequency, max_length(self.runs.dropna(subset=CHECK_KEYS))))
+            self.averaged, self.frequency,
+            max_length(self.raw.dropna(subset=[k for k in CHECK_KEYS if k in self.raw.columns]))))
 
     @property
     def deduped(self):
@@ -282,10 +284,13 @@ class MergeResult:
 
 
 def merge_runs(runs: DataFrame, dedupe_scope: str = "split", min_pass: int = 2,
-               min_fail: int = 2, materialize: bool = True) -> MergeResult:
+               min_fail: int = 2, materialize: bool = True, raw: DataFrame | None = None) -> MergeResult:
     """The whole merge stage. Tables by name: frequency, averaged, scored,
-    deduped, kept, ranked (the durable flat result), times, report."""
-    return MergeResult(runs, dedupe_scope, min_pass, min_fail, materialize)
+    deduped, kept, ranked (the durable flat result), times, report.
+
+    ``raw`` may name the same rows without computed answer ids: frequencies
+    and lengths, which need none, are then read from it."""
+    return MergeResult(runs, dedupe_scope, min_pass, min_fail, materialize, raw)
 
 
 def nest_answers(ranked: DataFrame, times: DataFrame) -> DataFrame:

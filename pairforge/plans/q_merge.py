@@ -14,8 +14,9 @@ R2_MERGE = O.merge_over(O.R2)
 
 
 def merged(spark, sf_dir, which="r1"):
-    runs = X.r1_runs(spark, sf_dir) if which == "r1" else X.r2_runs(spark, sf_dir)
-    return G.merge_runs(runs)
+    if which == "r1":
+        return G.merge_runs(X.r1_runs(spark, sf_dir), raw=X.r1_rows(spark, sf_dir))
+    return G.merge_runs(X.r2_runs(spark, sf_dir))
 
 
 @register("error_frequency", R1_MERGE + """

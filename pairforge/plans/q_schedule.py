@@ -6,10 +6,10 @@ that feedback stays in force, is replaced and is cleared."""
 from pyspark.sql import functions as F
 
 from pairforge.functions.draws import sql_unit_draw
-from pairforge.operators import merge as G
 from pairforge.operators import schedule as K
 from pairforge.plans import fixtures as X
 from pairforge.plans import oracle_fixtures as O
+from pairforge.plans.q_merge import merged
 from pairforge.plans.registry import r6, register
 from pairforge.session import scratch_path
 from pairforge.streaming import stream as ST
@@ -171,7 +171,7 @@ picked AS (
 
 
 def _ranked(spark, sf_dir):
-    return G.merge_runs(X.r1_runs(spark, sf_dir)).ranked.filter(F.col("split") == "train")
+    return merged(spark, sf_dir).ranked.filter(F.col("split") == "train")
 
 
 def _feedback(spark, sf_dir):

@@ -2,7 +2,8 @@
 
 For each query: number of shuffle exchanges, broadcast exchanges, join
 strategies, aggregate / window / sort operators, and the columns each
-Parquet scan reads. Usage: python scripts/plan_summary.py [sf_dir] > PLANS.md
+Parquet scan reads; first for the stage tables the query writes, then for
+the query that reads them. Usage: python scripts/plan_summary.py [sf_dir] > PLANS.md
 """
 
 from __future__ import annotations
@@ -45,7 +46,30 @@ def scans(plan: str) -> list[str]:
     return sorted(set(out))
 
 
+def report(title: str, df) -> None:
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    c = summarise(plan)
+    print(f"{title}\n")
+    print("| operator | count |\n|---|---|")
+    for op in [o.strip() for o in OPS] + ["codegen stages"]:
+        if c.get(op):
+            print(f"| {op} | {c[op]} |")
+    sc = scans(plan)
+    if sc:
+        print("\nSource scans (columns read):\n")
+        for s in sc:
+            print(f"- {s}")
+    print()
+
+
 def main():
+    import pairforge.session as session
+    written, write = [], session.materialize
+
+    def recorded(df, name="table"):
+        written.append((name, df))
+        return write(df, name)
+    session.materialize = recorded  # stages look it up when they write
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = get_session()
     print("# PLANS\n")
@@ -54,20 +78,12 @@ def main():
     print("`Exchange SinglePartition` entries are final merges of one-row global aggregates (scalar")
     print("subqueries such as the first validation step), not windows or joins.\n")
     for name in HEADLINE:
+        written.clear()
         df = QUERIES[name](spark, sf_dir)
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        c = summarise(plan)
         print(f"## {name}\n")
-        print("| operator | count |\n|---|---|")
-        for op in [o.strip() for o in OPS] + ["codegen stages"]:
-            if c.get(op):
-                print(f"| {op} | {c[op]} |")
-        sc = scans(plan)
-        if sc:
-            print("\nSource scans (columns read):\n")
-            for s in sc:
-                print(f"- {s}")
-        print()
+        for table, stage in written:
+            report(f"### stage table `{table}`", stage)
+        report("### query", df)
     spark.stop()
 
 

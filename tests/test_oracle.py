@@ -20,7 +20,8 @@ SUBSET = ["attempts_correct", "pass_at_k_guarded", "error_counts", "error_freque
           "replay_weights", "truncate_at_stops", "entry_point", "first_def_line", "strip_echo",
           "annotate", "stdio_verdict", "stable_timing", "timeout_verdict", "orphan_samples",
           "roundtrip_runs", "stream_error_counts", "roundtrip_problems", "roundtrip_report", "metrics_report",
-          "sft_format_hook", "replay_latest"]
+          "sft_format_hook", "replay_latest", "select_splits", "run_table", "annotate_rounds",
+          "training_rows", "pvf_iter_streamed", "error_counts_ordered", "assert_non_empty"]
 NAMES = sorted(E.oracle_sql()) if os.environ.get("PAIRFORGE_FULL") else SUBSET
 
 
