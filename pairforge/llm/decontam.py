@@ -30,7 +30,7 @@ from pairforge.llm.tokens import ALNUM, U64, Words, chunks, windows
 from pairforge.session import materialize
 
 WINDOW = 10
-MAX_BROADCAST_BYTES = 64_000_000
+MAX_BROADCAST_BYTES = 4_000_000  # of text; its windows take about 60 times that in a worker
 BITS = 22
 
 

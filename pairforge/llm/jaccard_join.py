@@ -38,12 +38,13 @@ import hashlib
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.llm.components import components
 from pairforge.llm.registry import register, table
 from pairforge.llm.tokens import NONSPACE, U64, Words, chunks, mix, windows
+from pairforge.operators.ranking import group_rank, steps
 from pairforge.session import materialize
 
 TILE = 2048
@@ -319,8 +320,10 @@ def classes(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id",
     found = components(edges).withColumnRenamed("node", "sid").withColumnRenamed("root", "comp")
     members = materialize(sets.select("sid", "size").join(found, "sid"), "jaccard-members")
     counts = members.groupBy("comp").agg(F.count(F.lit(1)).alias("c"))
-    large = (members.join(counts.where(F.col("c") > TILE), "comp")
-             .withColumn("i", F.floor((F.row_number().over(Window.partitionBy("comp").orderBy("size", "sid")) - 1) / TILE).cast("int")))
+    # Numbered in blocks, so that a component of any size is spread over tasks.
+    large = group_rank(members.join(counts.where(F.col("c") > TILE), "comp"), ["comp"], ["size", "sid"], "n",
+                       blocks=[F.col("size"), steps("sid")])
+    large = large.withColumn("i", F.floor(F.col("n") / TILE).cast("int")).drop("n")
     bands = large.groupBy("comp", "i").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
     other = bands.select("comp", F.col("i").alias("j"), F.col("lo").alias("lo2"))
     pairs = bands.join(other, "comp").where(f"i <= j and hi * {den} >= lo2 * {num}").select("comp", "i", "j")
