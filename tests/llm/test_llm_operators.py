@@ -343,6 +343,13 @@ def test_main_text():
     assert html_text.extract("<p>just <i>this", wrapper) == "just this" or html_text.extract("<p>just <i>this", wrapper) == ""
 
 
+def test_broken_markup_is_no_text():
+    broken = page("<p>one <a title=\"x>two</a> three<p>1 < 2 &lt; 3<!-- never closed")
+    assert html_text.extract(broken, None).startswith("T\none")
+    assert "title" not in html_text.extract(broken, None) and "closed" not in html_text.extract(broken, None)
+    assert html_text.extract("<article><p>" + "<a '\"" * 3000, None) == ""
+
+
 def test_wrapper_alignment_finds_optional_and_repeated_parts():
     a, b = page("<p>a1</p><p>a2</p>"), page("<div class='note'>n</div><p>b1</p>")
     regex = html_text.infer([a, b])["regex"]
