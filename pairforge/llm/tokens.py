@@ -46,7 +46,7 @@ def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(p)
 
 
-def chunks(texts, max_bytes: int = 4_000_000):
+def chunks(texts, max_bytes: int = 2_000_000):
     """Cut a list of texts into runs of about ``max_bytes`` UTF-8 bytes: (first index, list of bytes).
 
     A text is never split; one larger than the bound forms its own run. None counts as empty.
