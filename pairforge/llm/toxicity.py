@@ -31,10 +31,10 @@ TRAIN_DOCS = 8_000
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 PREFIXES = (4, 5, 6, 7)
-EPOCHS = 60
-RATE = 0.5
-L1 = 1e-4
-BIAS = -6.0
+EPOCHS = 100
+RATE = 1.0
+L1 = 2e-4
+BIAS = -10.0
 THRESHOLD = 0.5
 ENDS = np.zeros(256, dtype=bool)
 ENDS[[ord(c) for c in ".!?\n"]] = True
