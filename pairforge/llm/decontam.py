@@ -8,7 +8,8 @@ verifies each hit on the words themselves. Nothing is shuffled.
 The set is broadcast only up to ``max_bytes`` of benchmark text. A larger
 benchmark is cut by hash into parts below that size, and the documents pass
 the parts one after another (each pass written to the shared scratch folder,
-with the words hit so far), so the result is the same at any size.
+with the words hit so far), so the result is the same at any size. Cutting
+waits for the words hit by all parts, and goes on in rounds over all parts.
 
 Defined results: null or wordless texts have no words and no hits; null or
 wordless items have no windows; items that repeat an id count once; an item
@@ -79,6 +80,16 @@ class NgramSet:
         return np.cumsum(edge[:-1]) > 0, found
 
 
+def _cut(text: bytes, w: Words, hit: np.ndarray) -> bytes:
+    """The text of ``w`` without its hit runs of words, each replaced by a space."""
+    edge = np.diff(hit.astype(np.int8), prepend=0, append=0)
+    out, at = [], 0
+    for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1, strict=True):
+        out.append(text[at:w.start[a]])
+        at = int(w.end[b])
+    return b" ".join([*out, text[at:]])
+
+
 def remove_spans(text: bytes, grams: NgramSet) -> tuple[bytes, int]:
     """The text without its hit runs of words, each replaced by a space, until no window occurs; words removed."""
     removed = 0
@@ -88,12 +99,7 @@ def remove_spans(text: bytes, grams: NgramSet) -> tuple[bytes, int]:
         if not hit.any():
             return text, removed
         removed += int(hit.sum())
-        edge = np.diff(hit.astype(np.int8), prepend=0, append=0)
-        out, at = [], 0
-        for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1, strict=True):
-            out.append(text[at:w.start[a]])
-            at = int(w.end[b])
-        text = b" ".join([*out, text[at:]])
+        text = _cut(text, w, hit)
 
 
 def _parts(benchmark: DataFrame, id_col: str, text_col: str, max_bytes: int):
@@ -146,44 +152,84 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     Texts without a hit stay as they are, nulls too. A document of which no
     word is left goes. ``length_col``, if the table has it, is set to the new
-    length in characters of the texts that changed. A benchmark in several
-    parts is removed part by part.
+    length in characters of the texts that changed. With a benchmark in
+    several parts, the words hit by all parts are gathered first and cut at
+    once; texts that were cut pass all parts again until none hits.
     """
     schema = docs.schema
     cols = docs.columns
     sc = docs.sparkSession.sparkContext
-    out = docs
-    for last, part in _parts(benchmark, item_col, text_col, max_bytes):
-        grams = sc.broadcast(NgramSet(part, n))
+    mark = "_cover"
+    while mark in cols:
+        mark = "_" + mark
+
+    def replaced(f, new, gone):
+        """The rows with the new texts and lengths, without those that are gone."""
+        f = f.copy()
+        texts = f[text_col].tolist()
+        for i, t in new.items():
+            texts[i] = t
+        f[text_col] = texts
+        if length_col in cols:
+            lens = f[length_col].tolist()
+            for i, t in new.items():
+                lens[i] = len(t)
+            f[length_col] = lens
+        return f[~gone]
 
-        def run(frames, grams=grams):
+    def whole(grams):
+        def run(frames):
             for f in frames:
-                texts = f[text_col].tolist()
                 gone, new = np.zeros(len(f), dtype=bool), {}
-                for at, run_of in chunks(texts):
+                for at, run_of in chunks(f[text_col].tolist()):
                     w = Words(run_of, ALNUM)
                     hit, _ = grams.value.cover(w)
                     for i in np.unique(w.text_of_word()[hit]):
                         clean, _ = remove_spans(run_of[i], grams.value)
                         new[at + int(i)] = clean.decode("utf-8", "surrogatepass")
                         gone[at + i] = not len(Words([clean], ALNUM).hash)
-                if new:
-                    f = f.copy()
-                    for i, t in new.items():
-                        texts[i] = t
-                    f[text_col] = texts
-                    if length_col in cols:
-                        lens = f[length_col].tolist()
-                        for i, t in new.items():
-                            lens[i] = len(t)
-                        f[length_col] = lens
-                    f = f[~gone]
-                yield f
-
-        out = out.mapInPandas(run, schema)
-        if not last:
-            out = materialize(out, "decontam-pass")
-    return out.select(*cols)
+                yield replaced(f, new, gone) if new else f
+        return run
+
+    def gather(grams, last):
+        """Adds the words hit by a part; the last part cuts, and marks the rows that were cut."""
+        def run(frames):
+            for f in frames:
+                gone, new = np.zeros(len(f), dtype=bool), {}
+                cover = f[mark].tolist()
+                for at, run_of in chunks(f[text_col].tolist()):
+                    w = Words(run_of, ALNUM)
+                    hit, _ = grams.value.cover(w)
+                    for i in range(len(run_of)):
+                        own = hit[w.first[i]:w.first[i + 1]]
+                        if cover[at + i]:
+                            own = own | np.unpackbits(np.frombuffer(cover[at + i], np.uint8), count=len(own)).astype(bool)
+                        cover[at + i] = np.packbits(own).tobytes() if own.any() else None
+                        if last and cover[at + i]:
+                            clean = _cut(run_of[i], Words([run_of[i]], ALNUM), own)
+                            new[at + i] = clean.decode("utf-8", "surrogatepass")
+                            gone[at + i] = not len(Words([clean], ALNUM).hash)
+                f = f.copy()
+                f[mark] = cover
+                yield replaced(f, new, gone) if new else f
+        return run
+
+    done, live = [], docs.withColumn(mark, F.lit(None).cast("binary"))
+    while True:
+        for number, (last, part) in enumerate(_parts(benchmark, item_col, text_col, max_bytes)):
+            grams = sc.broadcast(NgramSet(part, n))
+            if last and not number:  # a single part
+                return docs.mapInPandas(whole(grams), schema).select(*cols)
+            live = materialize(live.mapInPandas(gather(grams, last), live.schema), "decontam-pass")
+        done.append(live.where(F.col(mark).isNull()).select(*cols))
+        cut = live.where(F.col(mark).isNotNull())
+        if cut.isEmpty():
+            break
+        live = cut.withColumn(mark, F.lit(None).cast("binary"))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 SQL = r"""

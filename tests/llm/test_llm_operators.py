@@ -165,6 +165,23 @@ def test_removal_leaves_no_window():
     assert removed == 20 and text.split() == [b"x", b"y"]
 
 
+def test_cutting_is_the_same_in_parts(shipped, make_docs):
+    w = [f"v{i}" for i in range(60)]
+    nested = w[40:45] + w[50:60] + w[45:50]  # cutting 50 to 59 joins the window 40 to 49
+    texts = [*ODD, " ".join(w[:36]), " ".join(["x", *nested, "y"]), " ".join(w[:35]), "plain text stays"]
+    docs = make_docs(texts).withColumn("_cover", F.lit("clash"))
+    items = [("a", " ".join(w[:30])), ("b", " ".join(w[24:35])), ("c", " ".join(w[40:50])), ("d", " ".join(w[50:60]))]
+    bench = shipped.createDataFrame(items, "item_id string, text string")
+    assert sum(1 for _ in decontam._parts(bench, "item_id", "text", 40)) > 4
+    one = sorted(map(str, decontam.decontaminate(docs, bench).collect()))
+    parts = decontam.decontaminate(docs, bench, max_bytes=40)
+    assert parts.columns == docs.columns and sorted(map(str, parts.collect())) == one
+    got = {r.doc_id: r for r in parts.collect()}
+    at = len(ODD)
+    assert got[at].text.split() == ["v35"] and got[at + 1].text.split() == ["x", "y"] and at + 2 not in got
+    assert all(r.n_chars == len(r.text) for r in got.values() if r.text is not None)
+
+
 # Sharding
 
 def test_sharding_hot_text_and_odd_rows(shipped):
