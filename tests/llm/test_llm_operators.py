@@ -228,6 +228,47 @@ def test_period_schedule_meets_deadlines():
             assert abs(sum(x < t for x in ts) - share[s] * t / 1000) < 1
 
 
+@pytest.mark.parametrize("weights", [None, {"s0": 0.70001, "s1": 0.29998, "s2": 0.00001}, {"s0": 1, "s1": 1 / 3, "s2": 0.0123}])
+def test_mixing_keeps_target_weights_over_long_runs(shipped, weights):
+    from fractions import Fraction
+    if weights is None:
+        size = {f"s{i}": 600 + 37 * i for i in range(15)} | {"hot": 20_000}
+        target = {s: Fraction(c ** mixing.ALPHA) for s, c in size.items()}
+    else:
+        size = {"s0": 9000, "s1": 4000, "s2": 1}
+        target = {s: Fraction(w) for s, w in weights.items()}
+    total = sum(target.values())
+    rows = [(i, s) for s in size for i in range(size[s])]
+    got = mixing.pfair_mix(shipped.createDataFrame(rows, "doc_id long, source string"), weights, block_rows=1, chunk_slots=500)
+    by_slot = dict(got.groupBy("mix_slot").agg(F.first("source")).collect())
+    assert got.count() == len(by_slot) and sorted(by_slot) == list(range(len(by_slot)))
+    used = dict.fromkeys(size, 0)
+    for t in range(len(by_slot)):
+        used[by_slot[t]] += 1
+        s = by_slot[t]
+        assert abs(used[s] - target[s] / total * (t + 1)) < 1
+        if t % 97 == 0:
+            assert all(abs(used[s] - target[s] / total * (t + 1)) < 1 for s in size)
+    assert all(used[s] >= size[s] for s in size)
+    uses = {tuple(r) for r in got.select("source", F.expr("mix_block + mix_epoch").alias("m")).where("source = 's0' and mix_epoch = 0").collect()}
+    assert uses == {("s0", m) for m in range(size["s0"])}
+
+
+def test_chunks_join_for_random_weights():
+    rng = random.Random(12)
+    for _ in range(60):
+        weights = mixing.whole_weights([rng.random() ** rng.choice([1, 4, 9]) + 1e-6 for _ in range(rng.randrange(1, 12))])
+        total, length, used = sum(weights), rng.choice([3, 17, 64]), [0] * len(weights)
+        early = [False] * len(weights)
+        for t1 in range(0, 12 * length, length):
+            late = mixing.next_end(t1, t1 + length, weights, early, *mixing.end_caps(t1, t1 + length, weights))
+            for t, (s, j) in enumerate(mixing.chunk_schedule(t1, t1 + length, weights, early, late), t1 + 1):
+                assert j == used[s]
+                used[s] += 1
+                assert all(abs(u * total - a * t) < total for u, a in zip(used, weights, strict=True))
+            early = late
+
+
 def test_mixing_odd_rows(shipped):
     rows = [(i, "t", None if i % 5 == 0 else f"s{i % 5}" if i % 5 < 3 else "s1") for i in range(200)] + [(None, None, "s1")] * 4
     docs = shipped.createDataFrame(rows, "doc_id long, text string, source string").withColumn("mix_slot", F.lit("clash"))
