@@ -21,10 +21,14 @@ of n-grams) and has no cap:
    ``TILE`` sets; pairs of tiles whose size bands can hold a link meet in one
    group. Inside, parity bitmaps bound the symmetric difference from below,
    and so the overlap from above; pairs that pass are verified by exact
-   intersection of the sorted arrays. Only links that connect two groups not
-   yet connected are looked for and returned, so a group of near copies gives
-   one link fewer than it has sets.
-4. The components of the verified links are the classes.
+   intersection. Every pair is verified and counted in one group; a group
+   returns the number of links of each set and the links that connect its sets,
+   so its output does not grow with the square of its size. Where only the
+   classes are asked for (:func:`drop_near_duplicates`), links inside a
+   connected group are not looked for.
+4. The components of the verified links are the classes; the links of a
+   document are those of its set, each as often as the partner has copies, and
+   its own copies.
 
 Defined results: null, empty and wordless texts have an empty set and form
 classes of their own; texts of fewer than ``n`` words are one n-gram; a null
@@ -244,17 +248,23 @@ def _chain(num: int, den: int):
     return run
 
 
+def _signatures(sets: list[np.ndarray], size: np.ndarray) -> np.ndarray:
+    """Parity bitmap of each set."""
+    bits = int(min(4096, max(64, 2 ** math.ceil(math.log2(max(1, float(np.median(size))))))))
+    signs = np.zeros((len(sets), bits // 64), np.uint64)
+    for i, s in enumerate(sets):  # parity of the n-grams in each bit
+        odd = np.bincount((s % U64(bits)).astype(np.int64), minlength=bits) & 1
+        signs[i] = np.packbits(odd.astype(np.uint8)).view(np.uint64)
+    return signs
+
+
 def link_sets(sid: list[int], sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """Links that connect the sets as all their links do (a spanning forest)."""
     size = np.array([len(s) for s in sets], np.int64)
     order = np.argsort(size, kind="stable")
     sets, size, sid = [sets[i] for i in order], size[order], [sid[i] for i in order]
     n = len(sets)
-    bits = int(min(4096, max(64, 2 ** math.ceil(math.log2(max(1, float(np.median(size))))))))
-    signs = np.zeros((n, bits // 64), np.uint64)
-    for i, s in enumerate(sets):  # parity of the n-grams in each bit
-        odd = np.bincount((s % U64(bits)).astype(np.int64), minlength=bits) & 1
-        signs[i] = np.packbits(odd.astype(np.uint8)).view(np.uint64)
+    signs = _signatures(sets, size)
     rest = np.arange(n)  # sets not reached yet, ascending by size
     out = []
     while len(rest):
@@ -282,20 +292,76 @@ def link_sets(sid: list[int], sets: list[np.ndarray], num: int, den: int) -> lis
     return out
 
 
-def _verify(num: int, den: int):
+def count_links(sid: list[int], sets: list[np.ndarray], copies: list[int], second: list[bool], num: int, den: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """All links of the sets, or of the sets of one tile with those of a ``second``: a spanning forest of them, and per set
+    (in the order given) the copies of the sets it is linked with."""
+    size = np.array([len(s) for s in sets], np.int64)
+    order = np.lexsort((np.array(sid), size, np.array(second)))  # ascending by size in each tile
+    sets, size, sid = [sets[i] for i in order], size[order], [sid[i] for i in order]
+    weight = np.array(copies, np.int64)[order]
+    n, split = len(sets), int(len(second) - sum(second))
+    two = split < n
+    signs = _signatures(sets, size)
+    word = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    first = np.concatenate([[0], np.cumsum(size)])
+    mark = np.zeros(len(word), bool)
+    label, linked, out = np.arange(n), np.zeros(n, np.int64), []
+    for x in range(split):
+        start = split if two else x + 1
+        own = size[start:]
+        lo = start + int(np.searchsorted(own, -(-size[x] * num // den)))
+        hi = start + int(np.searchsorted(own, size[x] * den // num, side="right"))
+        if lo >= hi:
+            continue
+        apart = np.bitwise_count(signs[lo:hi] ^ signs[x]).sum(axis=1, dtype=np.int64)
+        both = size[lo:hi] + size[x]
+        fits = lo + np.flatnonzero(apart <= both - 2 * -(-both * num // (num + den)))
+        if not len(fits):
+            continue
+        mine = word[first[x]:first[x + 1]]
+        mark[mine] = True
+        if 4 * len(fits) > hi - lo:
+            same = np.add.reduceat(mark[word[first[lo]:first[hi]]], first[lo:hi] - first[lo], dtype=np.int64)[fits - lo]
+        else:
+            same = np.array([np.count_nonzero(mark[word[first[y]:first[y + 1]]]) for y in fits], np.int64)
+        mark[mine] = False
+        got = fits[den * same >= num * (size[x] + size[fits] - same)]
+        linked[x] += weight[got].sum()
+        linked[got] += weight[x]
+        new, at = np.unique(label[got], return_index=True)
+        for old, y in zip(new.tolist(), got[at].tolist(), strict=True):
+            if old != label[x]:
+                out.append((sid[x], sid[y]))
+                label[label == old] = label[x]
+    back = np.empty(n, np.int64)
+    back[order] = linked
+    return out, back
+
+
+def _verify(num: int, den: int, links: bool):
+    """Connecting links (a, b); with ``links`` also rows (a, null, number of links in this pair of tiles)."""
     def run(f):
         import pandas as pd
         out = []
-        for _, g in f.groupby(["comp", "i", "j"], sort=True):
+        for (_, i, j), g in f.groupby(["comp", "i", "j"], sort=True):
             g = g.drop_duplicates("sid")
-            if len(g) > 1:
-                out += link_sets(g["sid"].tolist(), [np.frombuffer(x, np.uint64) for x in g["set"]], num, den)
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+            if len(g) < 2:
+                continue
+            sid, sets = g["sid"].tolist(), [np.frombuffer(x, np.uint64) for x in g["set"]]
+            if links:
+                found, linked = count_links(sid, sets, g["copies"].tolist(), [i != j and o == j for o in g["own"]], num, den)
+                out += [(a, b, None) for a, b in found] + [(s, None, c) for s, c in zip(sid, linked.tolist(), strict=True) if c]
+            else:
+                out += [(a, b, None) for a, b in link_sets(sid, sets, num, den)]
+        return pd.DataFrame(out, columns=["a", "b", "n"]).astype("Int64")
     return run
 
 
-def classes(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``id``, ``xh`` (64-bit hash of the text), ``size`` (of the set), ``cls``: equal for rows of one class, null for empty sets."""
+def classes(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", links: bool = False) -> DataFrame:
+    """Per row: ``id``, ``xh`` (64-bit hash of the text), ``size`` (of the set), ``cls``: equal for rows of one class, null for empty sets.
+
+    With ``links`` also ``n_links``: the number of other rows whose sets reach the similarity.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("xh"), F.col(text_col).alias("text"))
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
@@ -312,8 +378,14 @@ def classes(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id",
             .withColumn("sid", F.monotonically_increasing_id()))
     sets = materialize(sets, "jaccard-sets")  # the numbers are fixed by writing
     n_sets, total = sets.agg(F.count(F.lit(1)), F.sum("size")).first()
+    if links:
+        copies = marked.where("size > 0").groupBy("u").agg(F.count(F.lit(1)).alias("copies"))
     if not n_sets:
-        return marked.select("id", "xh", "size", F.when(F.col("size") > 0, F.hex("u")).alias("cls"))
+        none = marked.select("id", "xh", "size", F.when(F.col("size") > 0, F.hex("u")).alias("cls"), "u")
+        if links:
+            again = copies.where("copies > 1").select(F.col("u").alias("v"), "copies")
+            none = none.join(again, F.col("u") == F.col("v"), "left").withColumn("n_links", F.coalesce(F.col("copies") - 1, F.lit(0)))
+        return none.select("id", "xh", "size", "cls", *(["n_links"] if links else []))
     parts = max(1, math.ceil(total * (1 - num / den) / KEYS_PER_SHARD))
     edges = (sets.mapInPandas(_prefix_rows(num, den, parts), "shard int, k binary, sid binary, size binary")
              .groupBy("shard").applyInPandas(_chain(num, den), "a long, b long"))
@@ -329,26 +401,36 @@ def classes(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id",
     pairs = bands.join(other, "comp").where(f"i <= j and hi * {den} >= lo2 * {num}").select("comp", "i", "j")
     sides = pairs.select("comp", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("own"))
     tiled = (large.withColumnRenamed("i", "own").join(sides, ["comp", "own"])
-             .select("sid", "comp", "i", "j", F.xxhash64("comp", "i", "j").alias("g")))
+             .select("sid", "comp", "i", "j", "own", F.xxhash64("comp", "i", "j").alias("g")))
     buckets = max(1, math.ceil(n_sets / SETS_PER_BUCKET))
     small = (members.join(counts.where(F.col("c") <= TILE), "comp")
-             .select("sid", "comp", F.lit(0).alias("i"), F.lit(0).alias("j"), F.pmod(F.xxhash64("comp"), F.lit(buckets)).alias("g")))
-    links = (sets.select("sid", "set").join(tiled.unionByName(small), "sid")
-             .groupBy("g").applyInPandas(_verify(num, den), "a long, b long"))
-    joined = components(links)
+             .select("sid", "comp", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("own"), F.pmod(F.xxhash64("comp"), F.lit(buckets)).alias("g")))
+    held = sets.select("sid", "set", "u").join(copies, "u").drop("u") if links else sets.select("sid", "set")
+    found = (held.join(tiled.unionByName(small), "sid")
+             .groupBy("g").applyInPandas(_verify(num, den, links), "a long, b long, n long"))
+    if links:
+        found = materialize(found, "jaccard-links")
+    joined = components(found.select("a", "b"))
     cls = (sets.select("u", "sid").join(joined, F.col("sid") == F.col("node"))
            .select(F.col("u").alias("v"), F.concat(F.lit("c"), F.col("root")).alias("c")))
-    return (marked.join(cls, F.col("u") == F.col("v"), "left")
-            .select("id", "xh", "size", F.when(F.col("size") > 0, F.coalesce("c", F.hex("u"))).alias("cls")))
+    if links:
+        per_set = found.where("b is null").groupBy(F.col("a").alias("sid")).agg(F.sum("n").alias("n"))
+        near = sets.select("u", "sid").join(per_set, "sid").select(F.col("u").alias("v"), "n")
+        again = copies.where("copies > 1").select(F.col("u").alias("v"), (F.col("copies") - 1).alias("n"))
+        number = near.unionByName(again).groupBy("v").agg(F.sum("n").alias("n_links"))
+        cls = cls.join(number, "v", "full")
+    out = marked.join(cls, F.col("u") == F.col("v"), "left")
+    return out.select("id", "xh", "size", F.when(F.col("size") > 0, F.coalesce("c", F.hex("u"))).alias("cls"),
+                      *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if links else []))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, ``n_shingles``, ``component_id`` (smallest id of its class; its own for an empty set)."""
-    rows = materialize(classes(docs, n, num, den, id_col, text_col), "jaccard-classes")
+    """Per row: id, ``n_shingles``, ``component_id`` (smallest id of its class; its own for an empty set), ``n_links`` (other rows it is linked with)."""
+    rows = materialize(classes(docs, n, num, den, id_col, text_col, links=True), "jaccard-classes")
     least = rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("least"))
     return (rows.join(least, "cls", "left")
             .select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"),
-                    F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id")))
+                    F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"), "n_links"))
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -378,4 +460,5 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM r G
 
 @register("op6_jaccard_tiles", SQL)
 def op6(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, num=9, den=10)
+    out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, num=9, den=10)
+    return out.select("doc_id", "n_shingles", "component_id")  # the columns of the contract

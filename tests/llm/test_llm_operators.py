@@ -109,6 +109,30 @@ def test_jaccard_classes_match_brute_force(make_docs, n, num, den, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
 
 
+@pytest.mark.parametrize("tile", [8, 2048])
+def test_jaccard_counts_every_link(make_docs, tile, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
+    rng = random.Random(tile)
+    texts = [*ODD, "only copies here", "only copies here"]
+    for size, many in ((40, 30), (90, 20), (25, 3), (4, 6)):
+        base = words(rng, size).split()
+        for _ in range(many):
+            copy = list(base[:size - rng.randrange(1 + size // 12)])
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                copy[rng.randrange(len(copy))] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        k = min(3, len(w))
+        sets.append({tuple(w[i:i + k]) for i in range(len(w) - k + 1)} if w else set())
+    want = [sum(i != j and bool(a & b) and 5 * len(a & b) >= 4 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    got = {r.doc_id: r.n_links for r in jaccard_join.near_duplicates(make_docs(texts), 3, 4, 5).collect()}
+    assert max(want) > 10 and [got[i] for i in range(len(texts))] == want
+    few = make_docs(["a b c d", "a b c d", "q r s t", None, None])
+    assert sorted(r.n_links for r in jaccard_join.near_duplicates(few, 3, 4, 5).collect()) == [0, 0, 0, 1, 1]
+
+
 def test_jaccard_rows_that_repeat_and_null_ids(shipped):
     rows = [(None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (None, "q r s t"), (7, None), (7, None), (None, "")]
     docs = shipped.createDataFrame(rows, "doc_id long, text string")
