@@ -24,14 +24,14 @@ def tables(spark):
 
 
 def test_one_query_for_each_operator():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_oracle(shipped, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMALL}/{t}.parquet')")
     df = QUERIES[name](shipped, SMALL)
     res = con.execute(ORACLE[name])
@@ -150,3 +150,10 @@ def test_mixture_keeps_its_shares(shipped, tables):
     for t in range(len(by_slot)):
         used[by_slot[t][0]] += 1
         assert all(abs(used[s] - share[s] * (t + 1)) < 1 for s in share)
+
+
+def test_spelling_variants_by_brute_force(shipped, tables):
+    import test_variants
+    got = {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in QUERIES["op12_gram_spelling"](shipped, SMALL).collect()}
+    assert got == test_variants.brute_forms(test_variants.brute_words([(r.doc_id, r.text) for r in tables["documents"]], 31))
+    assert sum(v[0] is not None for v in got.values()) >= 5
