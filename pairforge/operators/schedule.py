@@ -6,13 +6,15 @@ ranked failures that moves with the epoch (``epoch_bounds``); two
 schedules add *replay*: extra draws of the error types that the latest
 validation run still produced, weighted by their counts.
 
-Everything is computed per (task, epoch) row: epochs are exploded on
-tasks (not answers), draws are counter-based (``functions.draws``), and
-the drawn positions are joined to the answers last. The replay pool is
-never materialised: a uniform pick from "window + added draws" is a pick
-of the window with probability W/L, else of error type t with
-probability added_t/L followed by a uniform pick inside type t, which is
-exactly the pool's distribution.
+Everything is computed on (task, epoch) rows without a join: epochs are
+exploded on tasks (not answers), draws are counter-based
+(``functions.draws``), a task's failing types are an array of its row, and the
+validation counts in force (epochs x error types) are read as one map by a
+scalar subquery. Only the drawn positions are looked up, in tables bucketed by
+position (``ranked_store``). The replay pool is never materialised: a uniform
+pick from "window + added draws" is a pick of the window with probability W/L,
+else of error type t with probability added_t/L followed by a uniform pick
+inside type t, which is exactly the pool's distribution.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from pairforge.functions.draws import index_draw, unit_draw
 from pairforge.operators.merge import error_type_order
-from pairforge.operators.ranking import group_rank, steps
+from pairforge.operators.ranked_store import RankedStore, from_ranked, type_positions
 
 TASK = ["split", "task_id"]
 SCHEDULES = ("pvf", "pvf_iter", "pvf_iter_type", "pvf_iter_expand", "pvf_iter_priority",
@@ -82,11 +84,7 @@ def failure_index(ranked: DataFrame, types: DataFrame | None = None) -> DataFram
     """Failures with their position among failures (``side_rank``), the
     first-appearance order of their type, and their position inside the
     type (``type_rank``) and inside the type-grouped list (``tpos``)."""
-    fails = ranked.filter(~F.col("is_pass"))
-    types = types if types is not None else error_type_order(ranked)
-    f = group_rank(fails, TASK + ["error_type"], ["side_rank"], name="type_rank", blocks=[steps("side_rank")])
-    f = f.join(types, TASK + ["error_type"])
-    return f.withColumn("tpos", F.col("type_start") + F.col("type_rank"))
+    return type_positions(ranked, types if types is not None else error_type_order(ranked))
 
 
 def task_type_counts(ranked: DataFrame, types: DataFrame | None = None) -> DataFrame:
@@ -126,133 +124,157 @@ def validation_counts_by_epoch(metrics: DataFrame, epochs: int) -> DataFrame:
              .withColumn("least_cnt", F.ceil(F.col("cnt") / F.col("least")).cast("long")))
 
 
-def _chosen(te: DataFrame, ranked: DataFrame, seed) -> DataFrame:
-    c_pos = index_draw("n_pass", seed, F.col("split"), F.col("task_id"), F.col("epoch"), "chosen")
-    c = ranked.filter(F.col("is_pass")).select(*TASK, F.col("side_rank").alias("c_pos"),
-                                               F.col("answer").alias("chosen"),
-                                               F.col("answer_id").alias("chosen_id"))
-    return te.withColumn("c_pos", c_pos).join(c, [*TASK, "c_pos"])
+def counts_in_force(val_counts: DataFrame) -> Column:
+    """Map of epoch -> (error_type, cnt, total, least_cnt) structs by count desc, then name.
 
+    At most one entry per error class and epoch; read by a scalar subquery.
+    """
+    entry = F.struct((-F.col("cnt")).alias("_o"), "error_type", "cnt", "total", "least_cnt")
+    per_epoch = val_counts.groupBy("epoch").agg(F.array_sort(F.collect_list(entry)).alias("held"))
+    return per_epoch.agg(F.map_from_entries(F.collect_list(F.struct("epoch", "held")))).scalar()
 
-def progressive_pairs(ranked: DataFrame, schedule: str, epochs: int, seed: int = 0,
-                      val_counts: DataFrame | None = None, exact: bool = False) -> DataFrame:
-    """(task, epoch) -> chosen, rejected for one of the nine schedules.
 
-    ``val_counts`` (from ``validation_counts_by_epoch``) is used by the two
-    ``*_priority`` schedules; epochs without counts draw from the window only.
-    ``exact`` computes slice bounds in integers (see ``epoch_bounds``).
+def _added(types: Column, held: Column, width: Column) -> Column:
+    """The replayed types of a (task, epoch) row: types of the task that the validation counts in force hold.
+
+    added_t = max(ceil(cnt_t / min cnt), floor(W * cnt_t / sum cnt)), with min
+    and sum over all validation failing types of that epoch, is the number of
+    replay draws of a type; ``cum_before`` starts its block (types ordered by
+    count desc, then name).
     """
+    known = F.map_from_entries(F.transform(types, lambda t: F.struct(t["error_type"], t)))
+    kind = "array<struct<error_type: string, type_count: bigint, type_start: bigint, cnt: bigint, added: bigint, cum_before: bigint>>"
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.expr(f"cast(array() as {kind})").alias("out"))
+
+    def step(acc, h):
+        t = F.element_at(known, h["error_type"])
+        added = F.greatest(h["least_cnt"], F.floor(width.cast("double") * (h["cnt"] / h["total"])).cast("long"))
+        one = F.struct(h["error_type"].alias("error_type"), t["type_count"].alias("type_count"), t["type_start"].alias("type_start"),
+                       h["cnt"].alias("cnt"), added.alias("added"), acc["sum"].alias("cum_before"))
+        return F.struct((acc["sum"] + added).alias("sum"), F.concat(acc["out"], F.array(one)).alias("out"))
+    own = F.filter(held, lambda h: F.map_contains_key(known, h["error_type"]))
+    return F.coalesce(F.aggregate(own, start, step, lambda acc: acc["out"]), F.expr(f"cast(array() as {kind})"))
+
+
+def _with_replay(te: DataFrame, val_counts: DataFrame | None) -> DataFrame:
+    """Adds ``replayed`` (see ``_added``) and ``A``, its draws in all, to (task, epoch) rows with ``types`` and ``W``."""
+    held = F.lit(None) if val_counts is None else F.try_element_at(counts_in_force(val_counts), F.col("epoch"))
+    kind = "array<struct<_o: bigint, error_type: string, cnt: bigint, total: bigint, least_cnt: bigint>>"
+    te = te.withColumn("_held", held.cast(kind)).withColumn("replayed", _added(F.col("types"), F.col("_held"), F.col("W"))).drop("_held")
+    zero = F.lit(0).cast("long")
+    return te.withColumn("A", F.aggregate("replayed", zero, lambda acc, t: acc + t["added"]))
+
+
+def _epochs_of(store: RankedStore, epochs: int) -> DataFrame:
+    return store.tasks.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(epochs - 1).cast("long"))))
+
+
+MODES = {"pvf_iter": "iter", "pvf_iter_priority": "iter", "pvf_iter_expand": "expand", "pvf_iter_reverse": "reverse",
+         "pvf_iter_reverse_priority": "reverse", "pvf_iter_reverse_expand": "reverse_expand"}
+
+
+def drawn_positions(store: RankedStore | DataFrame, schedule: str, epochs: int, seed: int = 0,
+                    val_counts: DataFrame | None = None, exact: bool = False) -> DataFrame:
+    """(task, epoch) rows with the drawn positions: ``c_pos`` among passes, and either ``r_pos`` among failures or
+    ``tpos`` in the type-grouped list. No join and no shuffle."""
     if schedule not in SCHEDULES:
         raise ValueError(f"unknown schedule {schedule}")
-    te = task_epochs(ranked, epochs)
-    te = _chosen(te, ranked, seed)
-    fails = ranked.filter(~F.col("is_pass"))
-    u = unit_draw(seed, F.col("split"), F.col("task_id"), F.col("epoch"), "rejected")
-
-    types = error_type_order(ranked)
+    keys = [F.col("split"), F.col("task_id"), F.col("epoch")]
+    u = unit_draw(seed, *keys, "rejected")
+    te = _epochs_of(from_ranked(store), epochs).withColumn("c_pos", index_draw("n_pass", seed, *keys, "chosen")).filter("c_pos is not null")
+    none = F.lit(None).cast("long")
     if schedule in ("pvf_iter_type", "pvf_iter_type_reverse"):
-        mode = "type" if schedule == "pvf_iter_type" else "type_reverse"
-        fi = failure_index(ranked, types)
-        te = te.join(task_type_counts(ranked, types), TASK)
-        ts, tt = epoch_bounds("epoch", "n_types", epochs, mode, exact)
-        te = te.withColumn("_ts", ts).withColumn("_tl", tt - 1)
-        lo = types.select(*TASK, F.col("type_order").alias("_ts"), F.col("type_start").alias("lo"))
-        hi = types.select(*TASK, F.col("type_order").alias("_tl"),
-                          (F.col("type_start") + F.col("type_count")).alias("hi"))
-        te = te.join(lo, [*TASK, "_ts"]).join(hi, [*TASK, "_tl"])
-        te = te.withColumn("tpos", F.col("lo") + F.floor(u * (F.col("hi") - F.col("lo"))).cast("long"))
-        r = fi.select(*TASK, "tpos", F.col("side_rank").alias("r_pos"), F.col("answer").alias("rejected"),
-                      F.col("answer_id").alias("rejected_id"))
-        out = te.join(r, [*TASK, "tpos"])
-        return _finish(out, schedule)
-
-    if schedule == "pvf":
-        lo, hi = F.lit(0).cast("long"), F.col("n_fail")
-    else:
-        mode = {"pvf_iter": "iter", "pvf_iter_priority": "iter", "pvf_iter_expand": "expand",
-                "pvf_iter_reverse": "reverse", "pvf_iter_reverse_priority": "reverse",
-                "pvf_iter_reverse_expand": "reverse_expand"}[schedule]
-        lo, hi = epoch_bounds("epoch", "n_fail", epochs, mode, exact)
+        te = te.withColumn("n_types", F.size("types").cast("long")).filter("n_types > 0")
+        first, past = epoch_bounds("epoch", "n_types", epochs, "type" if schedule == "pvf_iter_type" else "type_reverse", exact)
+        te = te.withColumn("_first", F.get("types", first.cast("int"))).withColumn("_last", F.get("types", (past - 1).cast("int")))
+        lo, hi = F.col("_first.type_start"), F.col("_last.type_start") + F.col("_last.type_count")
+        te = te.withColumn("tpos", (lo + F.floor(u * (hi - lo))).cast("long")).withColumn("r_pos", none)
+        return te.select(*TASK, "epoch", "c_pos", "r_pos", "tpos")
+    lo, hi = (F.lit(0).cast("long"), F.col("n_fail")) if schedule == "pvf" else epoch_bounds("epoch", "n_fail", epochs, MODES[schedule], exact)
     te = te.withColumn("lo", lo).withColumn("hi", hi).withColumn("W", F.col("hi") - F.col("lo"))
-    r = fails.select(*TASK, F.col("side_rank").alias("r_pos"), F.col("answer").alias("rejected"),
-                     F.col("answer_id").alias("rejected_id"))
-
-    if schedule.endswith("_priority") and val_counts is not None:
-        # One frame of (task, epoch, replayed type) rows, with one row without a
-        # type where nothing is replayed; the window pick or the type whose
-        # block holds the draw leaves one row of it.
-        frame = replay_frame(te, val_counts, types).withColumn("_p", F.floor(u * (F.col("W") + F.col("A"))).cast("long"))
-        in_window = F.col("_p") < F.col("W")
-        q = F.col("_p") - F.col("W")
-        in_type = ~in_window & (q >= F.col("cum_before")) & (q < F.col("cum_before") + F.col("added"))
-        inside = F.floor(unit_draw(seed, F.col("split"), F.col("task_id"), F.col("epoch"), "replay") * F.col("type_count"))
-        pick = (frame.filter((in_window & (F.col("cum_before") == 0)) | in_type)
-                     .withColumn("by_type", ~in_window)
-                     .withColumn("pos", F.when(in_window, F.col("lo") + F.col("_p"))
-                                 .otherwise(F.col("type_start") + inside).cast("long")))
-        # Failures under both of their positions, ids only; texts are joined last.
-        place = failure_index(ranked, types).select(*TASK, F.col("side_rank").alias("r_pos"), F.explode(F.array(
-            F.struct(F.lit(False).alias("by_type"), F.col("side_rank").alias("pos")),
-            F.struct(F.lit(True).alias("by_type"), F.col("tpos").alias("pos")))).alias("_at"))
-        place = place.select(*TASK, "r_pos", "_at.by_type", "_at.pos")
-        return _finish(pick.join(place, [*TASK, "by_type", "pos"]).join(r, [*TASK, "r_pos"]), schedule)
-
-    te = te.withColumn("r_pos", F.col("lo") + F.floor(u * F.col("W")).cast("long"))
-    return _finish(te.join(r, [*TASK, "r_pos"]), schedule)
-
-
-def _finish(df: DataFrame, schedule: str) -> DataFrame:
-    return df.select("split", F.col("task_id").alias("id"), "epoch", F.lit(schedule).alias("schedule"),
+    if not schedule.endswith("_priority") or val_counts is None:
+        te = te.withColumn("r_pos", F.col("lo") + F.floor(u * F.col("W")).cast("long"))
+        return te.select(*TASK, "epoch", "c_pos", "r_pos", none.alias("tpos"))
+    te = _with_replay(te, val_counts).withColumn("_p", F.floor(u * (F.col("W") + F.col("A"))).cast("long"))
+    q = F.col("_p") - F.col("W")
+    te = te.withColumn("_type", F.get(F.filter("replayed", lambda t: (q >= t["cum_before"]) & (q < t["cum_before"] + t["added"])), F.lit(0)))
+    inside = F.floor(unit_draw(seed, *keys, "replay") * F.col("_type.type_count"))
+    return te.select(*TASK, "epoch", "c_pos", F.when(q < 0, F.col("lo") + F.col("_p")).alias("r_pos"),
+                     F.when(q >= 0, F.col("_type.type_start") + inside).cast("long").alias("tpos"))
+
+
+def progressive_pairs(ranked: DataFrame | RankedStore, schedule: str, epochs: int, seed: int = 0,
+                      val_counts: DataFrame | None = None, exact: bool = False) -> DataFrame:
+    """(task, epoch) -> chosen, rejected for one of the nine schedules.
+
+    ``ranked`` is a ranked table, or better a store written once
+    (``ranked_store.save_store``): each look-up then shuffles the (task, epoch)
+    rows alone. ``val_counts`` (from ``validation_counts_by_epoch``) is used by
+    the two ``*_priority`` schedules; epochs without counts draw from the window
+    only. ``exact`` computes slice bounds in integers (see ``epoch_bounds``).
+    """
+    store = from_ranked(ranked)
+    te = drawn_positions(store, schedule, epochs, seed, val_counts, exact)
+    if schedule in ("pvf_iter_type", "pvf_iter_type_reverse") or schedule.endswith("_priority") and val_counts is not None:
+        te = store.place(te).withColumn("r_pos", F.coalesce("r_pos", "placed")).drop("placed")
+    te = store.look_up(te.drop("tpos"), "r_pos", False, {"answer": "rejected", "answer_id": "rejected_id"})
+    te = store.look_up(te, "c_pos", True, {"answer": "chosen", "answer_id": "chosen_id", "prompt": "prompt"})
+    return te.select("split", F.col("task_id").alias("id"), "epoch", F.lit(schedule).alias("schedule"),
                      F.col("prompt").alias("problem"), "prompt", "chosen", "rejected",
                      "chosen_id", "rejected_id", "c_pos", "r_pos")
 
 
-def replay_frame(te: DataFrame, val_counts: DataFrame, types: DataFrame) -> DataFrame:
-    """(task, epoch) rows with one row per failing type present in both the
-    task and the validation counts of the epoch, or one row without a type.
+def replay_added(te: DataFrame, ranked: DataFrame | RankedStore, val_counts: DataFrame) -> DataFrame:
+    """The replayed types of each (task, epoch, ``W``) row with their draws and blocks."""
+    frame = _with_replay(te.select(*TASK, "epoch", "W").join(from_ranked(ranked).tasks, TASK), val_counts)
+    return frame.select(*TASK, "epoch", F.explode("replayed").alias("t")).select(
+        *TASK, "epoch", "t.error_type", "t.type_count", "t.cnt", "t.added", "t.cum_before")
 
-    added_t = max(ceil(cnt_t / min cnt), floor(W * cnt_t / sum cnt)), with min
-    and sum over all validation failing types of that epoch, is the number of
-    replay draws of a type; ``cum_before`` starts its block (types ordered by
-    count desc, then name) and ``A`` is the sum over the task's types.
+
+def _weighted(store: RankedStore, epochs: int, val_counts: DataFrame, reverse: bool, exact: bool) -> DataFrame:
+    lo, hi = epoch_bounds("epoch", "n_fail", epochs, "reverse" if reverse else "iter", exact)
+    te = _epochs_of(store, epochs).withColumn("lo", lo).withColumn("hi", hi).withColumn("W", F.col("hi") - F.col("lo"))
+    return _with_replay(te, val_counts)
+
+
+def replay_runs(ranked: DataFrame | RankedStore, epochs: int, val_counts: DataFrame,
+                reverse: bool = False, exact: bool = False) -> DataFrame:
+    """The probabilities of the replay schedules as intervals: one run per (task, epoch) for the window, over positions
+    among failures (``by`` = 'rank'), and one per replayed type, over the type-grouped list (``by`` = 'type').
+
+    A failure's probability is the sum of the ``weight`` of the runs [start, end) that hold its positions. The number
+    of rows depends on tasks, epochs and error classes, not on the number of failures. No join and no shuffle.
     """
-    known = types.select(*TASK, "error_type", "type_count", "type_start")
-    held = val_counts.select("epoch", "error_type", "cnt", "total", "least_cnt")
-    both = known.join(held, "error_type")  # at most types x epochs rows a task
-    added = F.greatest(F.col("least_cnt"), F.floor(F.col("W").cast("double") * (F.col("cnt") / F.col("total"))).cast("long"))
-    group = Window.partitionBy(*TASK, "epoch")
-    run = group.orderBy(F.desc("cnt"), "error_type").rowsBetween(Window.unboundedPreceding, -1)
-    return (te.join(both, [*TASK, "epoch"], "left").withColumn("added", F.coalesce(added, F.lit(0)).cast("long"))
-              .withColumn("cum_before", F.coalesce(F.sum("added").over(run), F.lit(0)).cast("long"))
-              .withColumn("A", F.sum("added").over(group).cast("long")))
-
-
-def replay_added(te: DataFrame, ranked: DataFrame, val_counts: DataFrame, types: DataFrame | None = None) -> DataFrame:
-    """The replayed types of each (task, epoch) with their draws and blocks (see ``replay_frame``)."""
-    types = types if types is not None else error_type_order(ranked)
-    return (replay_frame(te.select(*TASK, "epoch", "W"), val_counts, types).filter(F.col("error_type").isNotNull())
-            .select(*TASK, "epoch", "error_type", "type_count", "cnt", "added", "cum_before"))
+    te = _weighted(from_ranked(ranked), epochs, val_counts, reverse, exact)
+    pool = (F.col("W") + F.col("A")).cast("double")
+    window = F.struct(F.lit("rank").alias("by"), F.lit(None).cast("string").alias("error_type"), F.col("lo").alias("start"),
+                      F.col("hi").alias("end"), (F.lit(1.0) / pool).alias("weight"))
+    runs = F.transform("replayed", lambda t: F.struct(
+        F.lit("type").alias("by"), t["error_type"].alias("error_type"), t["type_start"].alias("start"),
+        (t["type_start"] + t["type_count"]).alias("end"), (t["added"] / t["type_count"] / pool).alias("weight")))
+    return te.select(*TASK, "epoch", F.explode(F.concat(F.array(window), runs)).alias("r")).select(*TASK, "epoch", "r.*")
 
 
-def replay_weights(ranked: DataFrame, epochs: int, val_counts: DataFrame,
+def expand_runs(runs: DataFrame, ranked: DataFrame | RankedStore) -> DataFrame:
+    """Runs -> one row per (task, epoch, failure) with its ``weight`` (0 where no run holds it).
+
+    The rows are epochs x failures of the tasks in ``runs`` by definition: ask for the tasks and epochs needed.
+    """
+    store = from_ranked(ranked)
+    # A (task, epoch) has one run for the window and at most one per error class.
+    per = runs.groupBy(*TASK, "epoch").agg(F.collect_list(F.struct("by", "start", "end", "weight")).alias("runs"))
+    fails = store.answers.filter("slot < 0").select(*TASK, (-1 - F.col("slot")).alias("side_rank"), "answer_id")
+    fails = fails.join(store.places.withColumnRenamed("r_pos", "side_rank"), [*TASK, "side_rank"])
+    at = lambda r: F.when(r["by"] == "rank", F.col("side_rank")).otherwise(F.col("tpos"))
+    weight = F.aggregate(F.filter("runs", lambda r: (at(r) >= r["start"]) & (at(r) < r["end"])), F.lit(0.0), lambda acc, r: acc + r["weight"])
+    return fails.join(per, TASK).select(*TASK, "epoch", "side_rank", "answer_id", weight.alias("weight"))
+
+
+def replay_weights(ranked: DataFrame | RankedStore, epochs: int, val_counts: DataFrame,
                    reverse: bool = False, exact: bool = False) -> DataFrame:
     """Exact probability that each failure is the rejected answer of its
     (task, epoch) under the replay schedules:
-    P(i) = (1[i in window] + added_t(i) / n_t(i)) / (W + sum added)."""
-    te = task_epochs(ranked, epochs)
-    lo, hi = epoch_bounds("epoch", "n_fail", epochs, "reverse" if reverse else "iter", exact)
-    te = te.withColumn("lo", lo).withColumn("hi", hi).withColumn("W", F.col("hi") - F.col("lo"))
-    # Weights are worked out per (task, epoch, failing type) and for the window;
-    # expanding them to answers is a join on the type, not on the task alone.
-    types = error_type_order(ranked)
-    wa = replay_frame(te, val_counts, types)
-    total = wa.select(*TASK, "epoch", "lo", "hi", "W", "A").distinct()
-    per_type = (total.join(types.select(*TASK, "error_type", "type_count"), TASK)
-                .join(wa.filter(F.col("error_type").isNotNull()).select(*TASK, "epoch", "error_type", "added"),
-                      [*TASK, "epoch", "error_type"], "left"))
-    fails = ranked.filter(~F.col("is_pass")).select(*TASK, "side_rank", "error_type", "answer_id")
-    x = per_type.join(fails, [*TASK, "error_type"])
-    inw = F.when((F.col("side_rank") >= F.col("lo")) & (F.col("side_rank") < F.col("hi")), 1.0).otherwise(0.0)
-    extra = F.coalesce(F.col("added") / F.col("type_count"), F.lit(0.0))
-    return x.select("split", "task_id", "epoch", "side_rank", "answer_id",
-                    ((inw + extra) / (F.col("W") + F.col("A"))).alias("weight"))
+    P(i) = (1[i in window] + added_t(i) / n_t(i)) / (W + sum added),
+    the expansion of ``replay_runs``."""
+    store = from_ranked(ranked)
+    return expand_runs(replay_runs(store, epochs, val_counts, reverse, exact), store)

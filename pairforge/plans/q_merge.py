@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pairforge.functions.text import sql_literal
 from pairforge.operators import merge as G
+from pairforge.operators.ranked_store import save_store
 from pairforge.plans import fixtures as X
 from pairforge.plans import oracle_fixtures as O
 from pairforge.plans.registry import r6, register
@@ -19,6 +20,18 @@ def merged(spark, sf_dir, which="r1"):
     return G.merge_runs(X.r2_runs(spark, sf_dir))
 
 
+_STORES: dict = {}
+
+
+def stage_store(spark, sf_dir, which="r1"):
+    """The ranked store of a fixture, written once per session by the merge stage and read by every query
+    downstream of it, as the pipeline's stages do."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), which)
+    if key not in _STORES:
+        _STORES[key] = save_store(merged(spark, sf_dir, which).ranked)
+    return _STORES[key]
+
+
 @register("error_frequency", R1_MERGE + """
 SELECT split, task_id, error_type, round(frequency, 6) AS frequency FROM freq
 """)

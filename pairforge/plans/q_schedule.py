@@ -9,7 +9,7 @@ from pairforge.functions.draws import sql_unit_draw
 from pairforge.operators import schedule as K
 from pairforge.plans import fixtures as X
 from pairforge.plans import oracle_fixtures as O
-from pairforge.plans.q_merge import merged
+from pairforge.plans.q_merge import merged, stage_store
 from pairforge.plans.registry import r6, register
 from pairforge.session import scratch_path
 from pairforge.streaming import stream as ST
@@ -174,6 +174,11 @@ def _ranked(spark, sf_dir):
     return merged(spark, sf_dir).ranked.filter(F.col("split") == "train")
 
 
+def _store(spark, sf_dir):
+    """The stage tables of the train split (see ``stage_store``)."""
+    return stage_store(spark, sf_dir).of_split("train")
+
+
 def _feedback(spark, sf_dir):
     """Validation counts by epoch from V1, spread with gaps; every seventh validation has no failure."""
     m = X.v1_metrics(spark, sf_dir)
@@ -196,7 +201,7 @@ def _register_schedule(name, sql):
     def q(spark, sf_dir):
         replay = name.endswith("_priority")
         val = _feedback(spark, sf_dir) if replay else None
-        return _pick_cols(K.progressive_pairs(_ranked(spark, sf_dir), name, REPLAY_EPOCHS if replay else EPOCHS,
+        return _pick_cols(K.progressive_pairs(_store(spark, sf_dir), name, REPLAY_EPOCHS if replay else EPOCHS,
                                               seed=SEED, val_counts=val))
     q.__name__ = name
     return q
@@ -220,7 +225,7 @@ def pvf_iter_streamed(spark, sf_dir):
     X.v1_metrics(spark, sf_dir).repartition(4, "step").write.json(metrics_dir)
     ST.stream_latest_metrics(spark, metrics_dir, state_dir, ck, max_files_per_trigger=1).awaitTermination()
     val = K.validation_counts_by_epoch(ST.current_state(spark, state_dir), EPOCHS)
-    return _pick_cols(K.progressive_pairs(_ranked(spark, sf_dir), "pvf_iter_priority", EPOCHS, seed=SEED, val_counts=val))
+    return _pick_cols(K.progressive_pairs(_store(spark, sf_dir), "pvf_iter_priority", EPOCHS, seed=SEED, val_counts=val))
 
 
 _B = {m: sql_bounds(m, "n_fail") for m in ("iter", "expand", "reverse", "reverse_expand")}
@@ -257,5 +262,18 @@ LEFT JOIN added a ON a.split = wa.split AND a.task_id = wa.task_id AND a.epoch =
  AND a.error_type = f.error_type
 """)
 def replay_weights(spark, sf_dir):
-    w = K.replay_weights(_ranked(spark, sf_dir), REPLAY_EPOCHS, _feedback(spark, sf_dir))
+    w = K.replay_weights(_store(spark, sf_dir), REPLAY_EPOCHS, _feedback(spark, sf_dir))
     return w.select("split", "task_id", "epoch", "side_rank", "answer_id", r6("weight").alias("weight"))
+
+
+@register("replay_runs", REPLAY_BASE + replay_ctes("iter") + """
+SELECT split, task_id, epoch, 'rank' AS by, CAST(NULL AS VARCHAR) AS error_type, lo AS start, hi AS "end",
+       round(1.0 / (W + A), 6) AS weight FROM wa
+UNION ALL
+SELECT a.split, a.task_id, a.epoch, 'type', a.error_type, t.type_start, t.type_start + t.type_count,
+       round(CAST(a.added AS DOUBLE) / a.type_count / (wa.W + wa.A), 6)
+FROM added a JOIN wa USING (split, task_id, epoch) JOIN types t USING (split, task_id, error_type)
+""")
+def replay_runs(spark, sf_dir):
+    runs = K.replay_runs(_store(spark, sf_dir), REPLAY_EPOCHS, _feedback(spark, sf_dir))
+    return runs.select("split", "task_id", "epoch", "by", "error_type", "start", "end", r6("weight").alias("weight"))
