@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from pairforge.functions.text import PASS_SCALAR, cov, round_ratio
 from pairforge.operators.ranking import group_rank, steps
+from pairforge.operators.texts import dictionary, resolve, with_digests
 from pairforge.session import replace_partitions
 
 TASK = ["split", "task_id"]
@@ -46,15 +47,25 @@ def error_frequency(runs: DataFrame, keys=TASK) -> DataFrame:
 
 
 def average_checks(runs: DataFrame, keys=CHECK_KEYS) -> DataFrame:
-    """Collapse repeated checks of one answer: mean of avg_time and std_time."""
+    """Collapse repeated checks of one answer: mean of avg_time and std_time.
+
+    Where ``runs`` holds digests instead of texts (``texts.with_digests``), those are the keys and the answer's
+    length rides along.
+    """
+    extra = [F.max("answer_chars").alias("answer_chars")] if "answer_chars" in runs.columns else []
     return (runs.dropna(subset=list(keys))
                 .groupBy(*keys)
-                .agg(F.avg("avg_time").alias("avg_time"), F.avg("std_time").alias("std_time")))
+                .agg(*extra, F.avg("avg_time").alias("avg_time"), F.avg("std_time").alias("std_time")))
+
+
+def answer_chars(df: DataFrame):
+    """Length of the answer: a column of its own beside a digest, else that of the text."""
+    return F.col("answer_chars") if "answer_chars" in df.columns else F.length("answer").cast("long")
 
 
-def max_length(df: DataFrame, by=("split",), text="answer") -> DataFrame:
+def max_length(df: DataFrame, by=("split",)) -> DataFrame:
     """Longest answer per split (one row per split)."""
-    return df.groupBy(*by).agg(F.max(F.length(text)).cast("long").alias("max_length"))
+    return df.groupBy(*by).agg(F.max(answer_chars(df)).cast("long").alias("max_length"))
 
 
 def score(averaged: DataFrame, freq: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
@@ -73,7 +84,7 @@ def score(averaged: DataFrame, freq: DataFrame, lengths: DataFrame | None = None
                       .withColumn("max_length", F.element_at(per_split, F.col("split"))))
     ef = (F.when(F.col("error_type") == "", F.lit(PASS_SCALAR))
            .otherwise(F.coalesce(F.col("frequency"), F.lit(float("inf")))))
-    al = (F.when(F.col("output") == "passed", F.length("answer").cast("long"))
+    al = (F.when(F.col("output") == "passed", answer_chars(averaged))
            .otherwise(F.col("max_length") + OVER_LARGE_PAD))
     return (scored.withColumn("error_frequency", ef)
                   .withColumn("answer_length", al)
@@ -217,20 +228,28 @@ def assert_non_empty(df: DataFrame, what: str = "samples") -> DataFrame:
 class MergeResult:
     """The merge stage's tables, built on first access.
 
-    ``kept`` and ``ranked`` are the stage's durable outputs, read by several
-    consumers each (a schedule reads ``ranked`` five times; as one lazy plan it
-    would hold hundreds of exchanges): they are written once as Parquet tables under
-    ``spark.checkpoint.dir`` when first asked for and read back, so every later consumer
-    (pairs, schedules, reports) scans them instead of re-running the
-    merge, and a lost executor does not force recomputing the stage.
+    All work is done on digests (``texts.with_digests``): no shuffle of the
+    merge carries a prompt or an answer. ``slim`` holds the tables with digests
+    (``averaged``, ``scored``, ``deduped``, ``kept``, ``ranked``); the same names
+    on the result itself have the texts put back. Use ``slim`` where texts are
+    not wanted.
+
+    ``kept`` (with digests) and ``ranked`` (with texts) are the stage's durable
+    tables, read by several consumers each: they are written once as Parquet
+    under ``spark.checkpoint.dir`` when first asked for and read back, so a lost
+    executor does not force recomputing the stage.
     """
 
+    TEXTS = ("prompt", "answer")
+
     def __init__(self, runs: DataFrame, dedupe_scope: str = "split", min_pass: int = 2,
                  min_fail: int = 2, materialize: bool = True, raw: DataFrame | None = None):
-        self.runs, self.dedupe_scope = runs, dedupe_scope
-        self.raw = runs if raw is None else raw
-        self.min_pass, self.min_fail = min_pass, min_fail
+        self.texts = dictionary(runs, [c for c in self.TEXTS if c in runs.columns])
+        self.runs = with_digests(runs, self.TEXTS)
+        self.raw = self.runs if raw is None else with_digests(raw, self.TEXTS)
+        self.dedupe_scope, self.min_pass, self.min_fail = dedupe_scope, min_pass, min_fail
         self.materialize = materialize
+        self.slim = _Slim(self)
         self._cache: dict[str, DataFrame] = {}
 
     def _get(self, name, build):
@@ -244,44 +263,79 @@ class MergeResult:
         from pairforge.session import materialize
         return materialize(df, name)
 
+    def _texts(self, df):
+        return resolve(df.drop("answer_chars"), self.texts, self.TEXTS)
+
     @property
     def frequency(self):
         return self._get("frequency", lambda: error_frequency(self.raw))
 
     @property
     def averaged(self):
-        return self._get("averaged", lambda: average_checks(self.runs))
+        return self._get("averaged", lambda: self._texts(self.slim.averaged))
 
     @property
     def scored(self):
-        return self._get("scored", lambda: score(
-            self.averaged, self.frequency,
-            max_length(self.raw.dropna(subset=[k for k in CHECK_KEYS if k in self.raw.columns]))))
+        return self._get("scored", lambda: self._texts(self.slim.scored))
 
     @property
     def deduped(self):
-        return self._get("deduped", lambda: dedupe_keep_best(self.scored, self.dedupe_scope))
+        return self._get("deduped", lambda: self._texts(self.slim.deduped))
 
     @property
     def kept(self):
-        return self._get("kept", lambda: self._store(
-            keep_contrastive(self.deduped, self.min_pass, self.min_fail), "kept"))
+        return self._get("kept", lambda: self._texts(self.slim.kept))
 
     @property
     def ranked(self):
-        return self._get("ranked", lambda: self._store(rank_answers(self.kept), "ranked"))
+        return self._get("ranked", lambda: self._store(self._texts(self.slim.ranked), "ranked"))
 
     @property
     def times(self):
-        return self._get("times", lambda: time_stats(self.kept))
+        return self._get("times", lambda: time_stats(self.slim.kept))
 
     @property
     def report(self):
-        return self._get("report", lambda: filter_report(self.averaged, self.kept))
+        return self._get("report", lambda: filter_report(self.slim.averaged, self.slim.kept))
+
+    def __getitem__(self, name):
+        return getattr(self, name)
+
+
+class _Slim:
+    """The merge stage's tables with digests in place of texts."""
+
+    def __init__(self, result: MergeResult):
+        self._m = result
+
+    def _get(self, name, build):
+        return self._m._get("slim " + name, build)
 
     def __getitem__(self, name):
         return getattr(self, name)
 
+    @property
+    def averaged(self):
+        return self._get("averaged", lambda: average_checks(self._m.runs))
+
+    @property
+    def scored(self):
+        raw = self._m.raw
+        return self._get("scored", lambda: score(
+            self.averaged, self._m.frequency, max_length(raw.dropna(subset=[k for k in CHECK_KEYS if k in raw.columns]))))
+
+    @property
+    def deduped(self):
+        return self._get("deduped", lambda: dedupe_keep_best(self.scored, self._m.dedupe_scope))
+
+    @property
+    def kept(self):
+        return self._get("kept", lambda: self._m._store(keep_contrastive(self.deduped, self._m.min_pass, self._m.min_fail), "kept"))
+
+    @property
+    def ranked(self):
+        return self._get("ranked", lambda: rank_answers(self.kept))
+
 
 def merge_runs(runs: DataFrame, dedupe_scope: str = "split", min_pass: int = 2,
                min_fail: int = 2, materialize: bool = True, raw: DataFrame | None = None) -> MergeResult:

@@ -9,11 +9,12 @@ column where order is part of the meaning.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairforge.functions.draws import index_draw
 from pairforge.functions.text import sft_text
+from pairforge.operators.ranked_store import RankedStore, from_ranked
 from pairforge.operators.ranking import group_rank, steps
 
 TASK = ["split", "task_id"]
@@ -77,6 +78,71 @@ def all_pairs(ranked: DataFrame, with_problem: bool = True, block: int = PAIR_BL
     return j.select(*cols)
 
 
+def pair_rank(c_pos, r_pos, n_fail="n_fail") -> Column:
+    """Position of a pair in its task's list (chosen outer, rejected inner)."""
+    c, r, n = (F.col(x) if isinstance(x, str) else x for x in (c_pos, r_pos, n_fail))
+    return c * n + r
+
+
+def pair_unrank(pair_pos, n_fail="n_fail") -> tuple[Column, Column]:
+    """(position among passes, position among failures) of the pair at ``pair_pos``: the inverse of ``pair_rank``."""
+    p, n = (F.col(x) if isinstance(x, str) else x for x in (pair_pos, n_fail))
+    return _div(p, n), F.pmod(p, n).cast("long")
+
+
+def _div(a, b) -> Column:
+    """Whole quotient of non-negative numbers."""
+    return F.call_function("div", F.col(a) if isinstance(a, str) else a, b if isinstance(b, Column) else F.lit(b)).cast("long")
+
+
+def pair_space(ranked: DataFrame | RankedStore) -> DataFrame:
+    """Tasks with ``n_pairs`` and ``first``, the number of the task's first pair among all pairs of its split.
+
+    Tasks lie in the order of (first four digits of md5(task_id), task_id); offsets are sums over these
+    65 536 blocks and within them, so no task numbers all tasks.
+    """
+    t = from_ranked(ranked).tasks.select(*TASK, "n_pass", "n_fail", (F.col("n_pass") * F.col("n_fail")).alias("n_pairs"),
+                                         F.substring(F.md5("task_id"), 1, 4).alias("block"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("n_pairs").over(before(Window.partitionBy("split", "block").orderBy("task_id"))), F.lit(0))
+    blocks = t.groupBy("split", "block").agg(F.sum("n_pairs").alias("_n"))
+    offset = F.coalesce(F.sum("_n").over(before(Window.partitionBy("split").orderBy("block"))), F.lit(0))
+    return (t.withColumn("_in", inside).join(blocks.select("split", "block", offset.alias("_off")), ["split", "block"])
+             .select(*TASK, "n_pass", "n_fail", "n_pairs", (F.col("_off") + F.col("_in")).cast("long").alias("first")))
+
+
+def _numbers(df: DataFrame, low: str, past: str, name: str, width: int = 4096) -> DataFrame:
+    """One row per whole number of [low, past), unfolded in steps so that no array exceeds ``width`` entries (up to width**3)."""
+    at, end, size = F.col(low), F.col(past), width * width
+    df = df.filter(at < end).withColumns({"_a": at, "_e": end})
+    while size >= 1:
+        df = df.withColumn("_k", F.explode(F.sequence(_div("_a", size), _div(F.col("_e") - 1, size))))
+        lo, hi = F.greatest("_a", F.col("_k") * size), F.least("_e", (F.col("_k") + 1) * size)
+        df = df.withColumns({"_a": lo.cast("long"), "_e": hi.cast("long")}).drop("_k")
+        size //= width
+    return df.withColumn(name, F.col("_a")).drop("_a", "_e")
+
+
+def pair_range(ranked: DataFrame | RankedStore, split: str, start, end) -> DataFrame:
+    """The pairs numbered [start, end) among all pairs of a split (see ``pair_space``), built without the others.
+
+    ``start`` and ``end`` are integers or one-row columns. A pair's number gives its task, and inside it both
+    positions by division (``pair_unrank``); texts are looked up last. Rows: those asked for, with ``pair_no`` and
+    ``pair_pos``. All pairs of a range of tasks or of the whole split are ranges like any other.
+    """
+    store = from_ranked(ranked).of_split(split)
+    start, end = (F.lit(x).cast("long") if isinstance(x, int) else x for x in (start, end))
+    t = pair_space(store).withColumn("_lo", F.greatest(start - F.col("first"), F.lit(0).cast("long")))
+    t = t.withColumn("_hi", F.least(end - F.col("first"), F.col("n_pairs")))
+    rows = _numbers(t, "_lo", "_hi", "pair_pos")
+    c, r = pair_unrank("pair_pos")
+    rows = rows.select(*TASK, (F.col("first") + F.col("pair_pos")).alias("pair_no"), "pair_pos", c.alias("c_pos"), r.alias("r_pos"))
+    rows = store.look_up(rows, "r_pos", False, {"answer": "rejected", "answer_id": "rejected_id"})
+    rows = store.look_up(rows, "c_pos", True, {"answer": "chosen", "answer_id": "chosen_id", "prompt": "prompt"})
+    return rows.select("split", F.col("task_id").alias("id"), F.col("prompt").alias("problem"), "prompt", "chosen", "rejected",
+                       "chosen_id", "rejected_id", "pair_pos", "pair_no")
+
+
 def curriculum_pairs(ranked: DataFrame, increase: bool = True, block: int = PAIR_BLOCK) -> DataFrame:
     """All pairs in curriculum order: passes and failures sorted by error
     frequency (ascending or descending, ties in rank order); ``pair_pos``

@@ -19,7 +19,6 @@ buckets.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -29,6 +28,7 @@ from pyspark.sql import functions as F
 from pairforge.operators.merge import error_type_order
 from pairforge.operators.ranking import group_rank, steps
 from pairforge.session import scratch_path
+from pairforge.sources.bucketed import open_bucketed, write_bucketed
 
 TASK = ["split", "task_id"]
 ANSWER_KEY, PLACE_KEY = [*TASK, "slot"], [*TASK, "tpos"]
@@ -106,15 +106,6 @@ def from_ranked(ranked: DataFrame | RankedStore) -> RankedStore:
     return ranked if isinstance(ranked, RankedStore) else _Planned(ranked)
 
 
-def _write(df: DataFrame, path: str, keys: list[str], buckets: int) -> None:
-    name = f"pairforge_{uuid.uuid4().hex}"
-    # Dealt out as the buckets are: one sorted file a bucket (which spark.sql.legacy.bucketedTableScan.outputOrdering
-    # lets Spark read without another sort).
-    (df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
-       .option("path", path).mode("overwrite").format("parquet").saveAsTable(name))
-    df.sparkSession.sql(f"DROP TABLE {name}")  # external: the files stay, open_store names them again
-
-
 def save_store(ranked: DataFrame, path: str | None = None, buckets: int | None = None) -> RankedStore:
     """Writes the three tables below ``path`` (default: a new folder in the shared scratch folder) and opens them.
 
@@ -123,26 +114,14 @@ def save_store(ranked: DataFrame, path: str | None = None, buckets: int | None =
     """
     spark = ranked.sparkSession
     path = (path or scratch_path(spark, "ranked-store")).rstrip("/")
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     plan = from_ranked(ranked)
-    _write(plan.answers, f"{path}/answers", ANSWER_KEY, buckets)
-    _write(plan.places, f"{path}/places", PLACE_KEY, buckets)
+    write_bucketed(plan.answers, f"{path}/answers", ANSWER_KEY, buckets)
+    write_bucketed(plan.places, f"{path}/places", PLACE_KEY, buckets)
     plan.tasks.write.mode("overwrite").parquet(f"{path}/tasks")
-    spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/meta")
     return open_store(spark, path)
 
 
-def _open(spark: SparkSession, path: str, keys: list[str], buckets: int) -> DataFrame:
-    name = f"pairforge_{uuid.uuid4().hex}"
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema.fields)
-    by = ", ".join(keys)
-    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}'")
-    return spark.table(name)
-
-
 def open_store(spark: SparkSession, path: str) -> RankedStore:
     """A store written by :func:`save_store`, in this or another session."""
     path = path.rstrip("/")
-    buckets = spark.read.parquet(f"{path}/meta").first().buckets
-    return RankedStore(spark.read.parquet(f"{path}/tasks"), _open(spark, f"{path}/answers", ANSWER_KEY, buckets),
-                       _open(spark, f"{path}/places", PLACE_KEY, buckets))
+    return RankedStore(spark.read.parquet(f"{path}/tasks"), open_bucketed(spark, f"{path}/answers"), open_bucketed(spark, f"{path}/places"))

@@ -31,6 +31,28 @@ def roundtrip_runs(spark, sf_dir):
     return back.select(*RUN_COLS, "check_id", r6("avg_time").alias("avg_time"))
 
 
+@register("quarantined_runs", O.with_ctes(("r1", O.R1)) + """
+SELECT split, count_if(event_id % 97 <> 0)::BIGINT AS n_rows, count_if(event_id % 97 <> 0 AND output = 'passed')::BIGINT AS n_pass,
+       count(DISTINCT CASE WHEN event_id % 97 <> 0 THEN task_id END) AS n_tasks,
+       count_if(event_id % 97 = 0)::BIGINT AS n_broken, count(DISTINCT CASE WHEN event_id % 97 = 0 THEN split END) AS n_files
+FROM r1 GROUP BY split
+""")
+def quarantined_runs(spark, sf_dir):
+    """Verdict files of which some lines were cut off while writing: counts of the rows read, and the lines put aside."""
+    path, aside = scratch_path(spark, "runs-broken"), scratch_path(spark, "quarantine")
+    runs = X.r1_runs(spark, sf_dir)
+    line = F.to_json(F.struct(*[c for c in RUN_COLS if c != "split"], "avg_time", "std_time"))
+    cut = F.when(F.col("event_id") % 97 == 0, F.substr(line, F.lit(1), F.floor(F.length(line) / 2).cast("int"))).otherwise(line)
+    files = runs.select(cut.alias("value"), "split", F.lit(0).alias("check_id")).repartition("split")
+    files.write.partitionBy("split", "check_id").text(path)
+    good = IO.read_runs(spark, path, quarantine_path=aside)
+    counts = good.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("output") == "passed").alias("n_pass"),
+                                       F.countDistinct("task_id").alias("n_tasks"))
+    broken = (IO.quarantined(spark, aside).groupBy(F.regexp_extract("file", "split=([^/]+)/", 1).alias("split"))
+              .agg(F.sum("n_lines").alias("n_broken"), F.count(F.lit(1)).alias("n_files")))
+    return counts.join(broken, "split")
+
+
 @register("roundtrip_merged", R2_MERGE + """
 SELECT split, task_id AS id, rank, md5(answer) AS text_md5,
        error_type, answer_length, round(error_frequency, 6) AS error_frequency

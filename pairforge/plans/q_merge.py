@@ -4,11 +4,13 @@ dedupe, contrastive filter, ranking, type order, time stats, nesting)."""
 from pyspark.sql import functions as F
 
 from pairforge.functions.text import sql_literal
+from pairforge.operators import checks as C
 from pairforge.operators import merge as G
 from pairforge.operators.ranked_store import save_store
 from pairforge.plans import fixtures as X
 from pairforge.plans import oracle_fixtures as O
 from pairforge.plans.registry import r6, register
+from pairforge.session import scratch_path
 
 R1_MERGE = O.merge_over("SELECT * FROM r1", ("r1", O.R1))
 R2_MERGE = O.merge_over(O.R2)
@@ -46,7 +48,7 @@ SELECT split, task_id, answer_id, answer, output, error_type,
 FROM averaged
 """)
 def average_checks(spark, sf_dir):
-    a = G.average_checks(X.r1x2_runs(spark, sf_dir))
+    a = G.merge_runs(X.r1x2_runs(spark, sf_dir)).averaged
     return a.select("split", "task_id", "answer_id", "answer", "output", "error_type",
                     r6("avg_time").alias("avg_time"), r6("std_time").alias("std_time"))
 
@@ -55,7 +57,7 @@ def average_checks(spark, sf_dir):
 SELECT split, task_id, answer_id, answer_length, round(error_frequency, 6) AS error_frequency FROM scored
 """)
 def length_sentinel(spark, sf_dir):
-    s = merged(spark, sf_dir)["scored"]
+    s = merged(spark, sf_dir).slim["scored"]
     return s.select("split", "task_id", "answer_id", "answer_length",
                     r6("error_frequency").alias("error_frequency"))
 
@@ -75,7 +77,7 @@ SELECT split, task_id, answer_id, round(error_frequency, 6) AS error_frequency,
 FROM deduped
 """)
 def dedupe_keep_best_docs(spark, sf_dir):
-    d = merged(spark, sf_dir, "r2")["deduped"]
+    d = merged(spark, sf_dir, "r2").slim["deduped"]
     return d.select("split", "task_id", "answer_id", r6("error_frequency").alias("error_frequency"),
                     "answer_length")
 
@@ -84,7 +86,7 @@ def dedupe_keep_best_docs(spark, sf_dir):
 SELECT split, task_id, answer_id, error_type FROM kept
 """)
 def keep_contrastive(spark, sf_dir):
-    return merged(spark, sf_dir, "r2")["kept"].select("split", "task_id", "answer_id", "error_type")
+    return merged(spark, sf_dir, "r2").slim["kept"].select("split", "task_id", "answer_id", "error_type")
 
 
 _REPORT_SQL = """
@@ -114,7 +116,7 @@ def filter_report_runs(spark, sf_dir):
 SELECT split, task_id, answer_id, rank, side_rank, is_pass FROM ranked
 """)
 def rank_answers(spark, sf_dir):
-    return merged(spark, sf_dir, "r2")["ranked"].select(
+    return merged(spark, sf_dir, "r2").slim["ranked"].select(
         "split", "task_id", "answer_id", "rank", "side_rank", "is_pass")
 
 
@@ -122,7 +124,7 @@ def rank_answers(spark, sf_dir):
 SELECT split, task_id, answer_id, rank, side_rank, is_pass FROM ranked
 """)
 def rank_answers_runs(spark, sf_dir):
-    return merged(spark, sf_dir, "r1")["ranked"].select(
+    return merged(spark, sf_dir, "r1").slim["ranked"].select(
         "split", "task_id", "answer_id", "rank", "side_rank", "is_pass")
 
 
@@ -137,7 +139,7 @@ SELECT split, task_id, error_type, type_count,
 FROM per_type
 """)
 def error_type_order(spark, sf_dir):
-    r = merged(spark, sf_dir, "r1")["ranked"]
+    r = merged(spark, sf_dir, "r1").slim["ranked"]
     return G.error_type_order(r).select("split", "task_id", "error_type", "type_count",
                                         "type_order", "type_start")
 
@@ -186,10 +188,39 @@ def _report_lines_sql() -> str:
 
 @register("report_text", R1_MERGE + _REPORT_SQL.replace("SELECT b.split,", ", rep AS (SELECT b.split,", 1) + ")\n" + _report_lines_sql())
 def report_text(spark, sf_dir):
-    from pairforge.session import scratch_path
     path = scratch_path(spark, "report-text")
     G.write_report_text(merged(spark, sf_dir, "r1")["report"], path)
     # One small file per split: its line numbers come from the file itself.
     whole = spark.read.option("basePath", path).text(path, wholetext=True)
     lines = whole.select("split", F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("line_no", "line"))
     return lines.select("split", F.col("line_no").cast("long").alias("line_no"), "line")
+
+
+def _check_by_check(spark, sf_dir):
+    """States of R1's two checks, added one after the other; check 0 is added twice, as after a retry."""
+    path, runs = scratch_path(spark, "checks"), X.r1x2_runs(spark, sf_dir)
+    for check in (0, 0, 1):
+        C.add_check(runs.filter(F.col("check_id") == check), path)
+    return path
+
+
+_X2 = O.merge_over("SELECT * FROM r1x2", ("r1", O.R1), ("r1x2", O.R1X2))
+
+
+@register("checks_added_average", _X2 + """
+SELECT split, task_id, answer_id, answer, output, error_type,
+       round(avg_time, 6) AS avg_time, round(std_time, 6) AS std_time
+FROM averaged
+""")
+def checks_added_average(spark, sf_dir):
+    a = C.averaged_checks(spark, _check_by_check(spark, sf_dir))
+    return a.select("split", "task_id", "answer_id", "answer", "output", "error_type",
+                    r6("avg_time").alias("avg_time"), r6("std_time").alias("std_time"))
+
+
+@register("checks_added_frequency", _X2 + """
+SELECT split, task_id, error_type, round(frequency, 6) AS frequency FROM freq
+""")
+def checks_added_frequency(spark, sf_dir):
+    f = C.checked_frequency(spark, _check_by_check(spark, sf_dir))
+    return f.select("split", "task_id", "error_type", r6("frequency").alias("frequency"))

@@ -60,7 +60,7 @@ def align_key_type(spark, sf_dir):
 SELECT split, task_id AS id, answer_id, '' AS prompt, '' AS chosen, '' AS rejected FROM ranked
 """)
 def constant_columns(spark, sf_dir):
-    rows = merged(spark, sf_dir, "r2")["ranked"].select("split", F.col("task_id").alias("id"), "answer_id", "prompt")
+    rows = merged(spark, sf_dir, "r2").slim["ranked"].select("split", F.col("task_id").alias("id"), "answer_id", "prompt")
     return P.constant_columns(rows)
 
 
@@ -70,7 +70,7 @@ UNION ALL SELECT 'passing only', count(*), 'No available samples.' FROM kept WHE
 """)
 def assert_non_empty(spark, sf_dir):
     """The check on a table with rows and on one without."""
-    kept = merged(spark, sf_dir, "r2")["kept"]
+    kept = merged(spark, sf_dir, "r2").slim["kept"]
     out = None
     for which, df in (("kept", kept), ("passing only", kept.filter("error_frequency = 0 AND output <> 'passed'"))):
         try:

@@ -6,7 +6,7 @@ from pairforge.functions.draws import sql_unit_draw
 from pairforge.functions.text import SFT_TEMPLATE, SYSTEM_PROMPT, add_system_prompt, sql_literal
 from pairforge.operators import pairs as P
 from pairforge.plans import oracle_fixtures as O
-from pairforge.plans.q_merge import R2_MERGE, merged
+from pairforge.plans.q_merge import R1_MERGE, R2_MERGE, merged, stage_store
 from pairforge.plans.registry import register
 
 SEED = 7
@@ -145,3 +145,32 @@ def sft_format_hook(spark, sf_dir):
     return h.select("split", F.col("task_id").alias("id"), "answer_id",
                     F.explode("texts").alias("text")).select("split", "id", "answer_id",
                                                              F.md5("text").alias("text_md5"))
+
+
+RANGES = 4
+
+
+@register("pair_range", R1_MERGE + f"""
+, tasks AS (SELECT DISTINCT split, task_id, n_pass, n_fail FROM ranked WHERE split = 'train'),
+space AS (SELECT *, CAST(coalesce(sum(n_pass * n_fail) OVER (PARTITION BY split ORDER BY substr(md5(task_id), 1, 4), task_id
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM tasks),
+total AS (SELECT CAST(sum(n_pass * n_fail) AS BIGINT) AS t FROM tasks),
+pairs AS (SELECT c.split, c.task_id AS id, md5(c.prompt) AS prompt_md5, md5(c.answer) AS chosen_md5, md5(r.answer) AS rejected_md5,
+                 c.answer_id AS chosen_id, r.answer_id AS rejected_id, c.side_rank * c.n_fail + r.side_rank AS pair_pos,
+                 s.first + c.side_rank * c.n_fail + r.side_rank AS pair_no
+          FROM ranked c JOIN ranked r ON c.split = r.split AND c.task_id = r.task_id JOIN space s ON s.split = c.split AND s.task_id = c.task_id
+          WHERE c.is_pass AND NOT r.is_pass)
+SELECT pairs.*, k.part FROM pairs, total, (SELECT CAST(unnest(range({RANGES})) AS BIGINT) AS part) k
+WHERE pair_no >= t * k.part // {RANGES} AND pair_no < t * (k.part + 1) // {RANGES}
+""")
+def pair_range(spark, sf_dir):
+    """All pairs of the train split as consecutive ranges of equal size, each built from its pair numbers alone."""
+    store = stage_store(spark, sf_dir).of_split("train")
+    total = store.tasks.select(F.sum(F.col("n_pass") * F.col("n_fail"))).scalar()
+    at = lambda k: F.call_function("div", total * F.lit(k), F.lit(RANGES))
+    out = None
+    for k in range(RANGES):
+        part = P.pair_range(store, "train", at(k), at(k + 1)).withColumn("part", F.lit(k).cast("long"))
+        out = part if out is None else out.unionByName(part)
+    return out.select("split", "id", F.md5("prompt").alias("prompt_md5"), F.md5("chosen").alias("chosen_md5"), F.md5("rejected").alias("rejected_md5"),
+                      "chosen_id", "rejected_id", "pair_pos", "pair_no", "part")

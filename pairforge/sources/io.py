@@ -16,6 +16,8 @@ from pairforge import schemas as S
 from pairforge.session import replace_partitions
 from pairforge.sources import arrow_ipc
 
+CORRUPT = "_corrupt_record"
+PARTITIONS = {"split": "string", "check_id": "long"}
 RUN_CONFIG = ("dataset", "model", "temperature", "method", "epochs", "prefix")
 
 
@@ -23,6 +25,57 @@ def _with_split_schema(schema: T.StructType) -> T.StructType:
     return T.StructType(list(schema.fields) + [T.StructField("split", T.StringType())])
 
 
+def read_lines_checked(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """JSON lines as (rows, broken lines).
+
+    Every line is parsed against the whole ``schema``, whatever columns are used later, so a line is either a row in
+    every query or in none. A line is broken if it is no JSON object or a value doesn't fit its column; blank lines
+    are neither. Broken lines keep their text, file and partition (``split``, ``check_id``, where the schema has them).
+    """
+    own = [f for f in schema.fields if f.name not in PARTITIONS]
+    parts = [f for f in schema.fields if f.name in PARTITIONS]
+    # A folder layout names the partitions; where the files lie flat these columns are fields of the line.
+    lines = spark.read.option("basePath", path).text(path) if parts and not _is_pattern(path) else spark.read.text(path)
+    in_path = [f for f in parts if f.name in lines.columns]
+    body = T.StructType([*own, *[f for f in parts if f not in in_path], T.StructField(CORRUPT, T.StringType())])
+    parsed = F.from_json("value", body, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    rows = lines.where(F.trim(F.col("value")) != "").select(
+        "value", *[F.col(f.name).cast(f.dataType).alias(f.name) for f in in_path],
+        F.col("_metadata.file_path").alias("_file"), parsed.alias("_row"))
+    broken = F.col(f"_row.{CORRUPT}").isNotNull() | F.col("_row").isNull() | ~F.ltrim(F.col("value")).startswith("{")
+    at = {f.name: F.col(f.name) if f in in_path else F.col(f"_row.{f.name}") for f in schema.fields}
+    good = rows.where(~broken).select(*[c.alias(n) for n, c in at.items()], F.col("_file"))
+    bad = rows.where(broken).select(F.col("_file").alias("file"), F.col("value").alias("line"), *[f.name for f in in_path])
+    return good, bad
+
+
+def _is_pattern(path: str) -> bool:
+    return any(c in path for c in "*?[{")
+
+
+def quarantine(bad: DataFrame, path: str, source: str) -> None:
+    """Stores the broken lines of one source (its earlier ones are replaced): ``source``, ``file``, ``line``."""
+    replace_partitions(bad.select(F.lit(source).alias("source"), "file", "line"), "source").parquet(path)
+
+
+def quarantined(spark: SparkSession, path: str) -> DataFrame:
+    """Broken lines per source and file."""
+    rows = spark.read.schema("file string, line string, source string").parquet(path)
+    return rows.groupBy("source", "file").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+def _read_json(spark: SparkSession, path: str, schema: T.StructType, quarantine_path: str | None) -> DataFrame:
+    """JSON lines of ``schema`` (with ``_file``). A broken line stops the read, or is put aside where a quarantine is named."""
+    if quarantine_path is None:
+        reader = spark.read.schema(schema).option("mode", "FAILFAST")
+        if any(f.name in PARTITIONS for f in schema.fields) and not _is_pattern(path):
+            reader = reader.option("basePath", path)
+        return reader.json(path).select("*", F.col("_metadata.file_path").alias("_file"))
+    good, bad = read_lines_checked(spark, path, schema)
+    quarantine(bad, quarantine_path, path)
+    return good
+
+
 def read_problems(spark: SparkSession, path: str, splits=None, fmt: str = "parquet") -> DataFrame:
     """Problems table; ``split`` is a partition column for parquet/json layouts.
     ``fmt='arrowipc'`` reads saved Arrow IPC files (one split per path)."""
@@ -45,9 +98,9 @@ def select_splits(df: DataFrame, splits=None, eval_mode: bool | None = None) ->
     return df.filter(F.col("split").isin(list(splits)))
 
 
-def ingest_jsonl(spark: SparkSession, path: str, split: str, out: str) -> None:
+def ingest_jsonl(spark: SparkSession, path: str, split: str, out: str, quarantine_path: str | None = None) -> None:
     """JSONL problems -> parquet table with one named split (overwrites only that split)."""
-    df = spark.read.schema(S.PROBLEMS).json(path).withColumn("split", F.lit(split))
+    df = _read_json(spark, path, S.PROBLEMS, quarantine_path).drop("_file").withColumn("split", F.lit(split))
     replace_partitions(df, "split").parquet(out)
 
 
@@ -60,13 +113,13 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
     arr = T.ArrayType(T.StructType([T.StructField("task_id", T.StringType()),
                                     T.StructField("answer", T.StringType())]))
     doc = spark.read.text(path, wholetext=True)
-    return (doc.select(F.posexplode(F.from_json("value", arr)).alias("pos", "s"))
+    return (doc.select(F.posexplode(F.from_json("value", arr, {"mode": "FAILFAST"})).alias("pos", "s"))
                .select(F.col("s.task_id").alias("task_id"), F.col("s.answer").alias("answer"),
                        F.col("pos").cast("long").alias("pos")))
 
 
-def read_samples_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(S.SAMPLES).json(path)
+def read_samples_jsonl(spark: SparkSession, path: str, quarantine_path: str | None = None) -> DataFrame:
+    return _read_json(spark, path, S.SAMPLES, quarantine_path).drop("_file")
 
 
 def write_samples(df: DataFrame, path: str) -> None:
@@ -84,18 +137,21 @@ def write_runs(df: DataFrame, path: str) -> None:
     replace_partitions(df.select(*cols, "split", "check_id"), "split", "check_id").json(path)
 
 
-def read_runs(spark: SparkSession, path: str, splits=None) -> DataFrame:
-    """All checks of all (or the given) splits in one scan; the union of checks."""
-    df = spark.read.schema(RUNS_STORED).option("basePath", path).json(path)
+def read_runs(spark: SparkSession, path: str, splits=None, quarantine_path: str | None = None) -> DataFrame:
+    """All checks of all (or the given) splits in one scan; the union of checks.
+
+    A broken line stops the read; with ``quarantine_path`` broken lines are stored there and the rest is read.
+    """
+    df = _read_json(spark, path, RUNS_STORED, quarantine_path).drop("_file")
     return select_splits(df, splits) if splits else df
 
 
-def read_runs_per_file(spark: SparkSession, pattern: str) -> DataFrame:
+def read_runs_per_file(spark: SparkSession, pattern: str, quarantine_path: str | None = None) -> DataFrame:
     """Runs laid out as ``<split>/runs/<name>.json``; split and check come from the path."""
-    df = spark.read.schema(S.RUNS).json(pattern)
-    p = F.col("_metadata.file_path")
+    df = _read_json(spark, pattern, S.RUNS, quarantine_path)
+    p = F.col("_file")
     return (df.withColumn("split", F.regexp_extract(p, r"([^/]+)/runs/[^/]+\.json$", 1))
-              .withColumn("check_id", F.regexp_extract(p, r"(\d+)\.json$", 1).cast("long")))
+              .withColumn("check_id", F.regexp_extract(p, r"(\d+)\.json$", 1).cast("long")).drop("_file"))
 
 
 def write_merged(nested: DataFrame, path: str) -> None:
