@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.llm.components import components
-from pairforge.llm.registry import register, table
+from pairforge.llm.registry import own_names, plain_names, register, table
 from pairforge.llm.tokens import NONSPACE, U64, Words, chunks, mix, windows
 from pairforge.operators.ranking import group_rank, steps
 from pairforge.session import materialize
@@ -435,6 +435,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of ``docs`` for one document of each class (smallest id, nulls last) and all documents without words."""
+    docs, names = plain_names(docs)
+    id_col, text_col = names[id_col], names[text_col]
     rows = materialize(classes(docs, n, num, den, id_col, text_col), "jaccard-classes").where("cls is not null")
     order = F.struct(F.col("id").isNull().alias("no"), F.col("id").alias("id"), F.col("xh").alias("xh"))
     kept = rows.groupBy("cls").agg(F.min(order).alias("k")).select(F.col("k.id").alias("_id"), F.col("k.xh").alias("_xh"))
@@ -442,7 +444,7 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5
     marked = docs.where(words).withColumn("_h", F.xxhash64(text_col))
     one = (marked.join(kept, (F.col("_h") == F.col("_xh")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
            .dropDuplicates(["_h", id_col]))
-    return one.select(*docs.columns).unionByName(docs.where(~words))
+    return own_names(one.select(*docs.columns).unionByName(docs.where(~words)), names)
 
 
 SQL = r"""
@@ -453,12 +455,12 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
 e AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * p.c >= 90 * (x.n + y.n - p.c)),
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
-SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id
-FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM r GROUP BY 1) m ON m.a = d.doc_id
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id, coalesce(l.n_links, 0)::BIGINT AS n_links
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a, count(*) AS n_links FROM e GROUP BY 1) l ON l.a = d.doc_id
+JOIN (SELECT a, min(b) AS c FROM r GROUP BY 1) m ON m.a = d.doc_id
 """
 
 
 @register("op6_jaccard_tiles", SQL)
 def op6(spark, sf_dir):
-    out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, num=9, den=10)
-    return out.select("doc_id", "n_shingles", "component_id")  # the columns of the contract
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, num=9, den=10)

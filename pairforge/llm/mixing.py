@@ -39,7 +39,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairforge.llm.registry import register, table
+from pairforge.llm.registry import own_names, plain_names, register, table
 from pairforge.session import materialize
 
 ALPHA = 0.7
@@ -206,7 +206,8 @@ def pfair_mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BL
     (mix_slot, mix_pos) is the order of the mixture. Columns of these names are replaced.
     """
     spark = docs.sparkSession
-    docs = docs.drop("mix_slot", "mix_pos", "mix_block", "mix_epoch", "mix_share")
+    docs, names_of = plain_names(docs.drop("mix_slot", "mix_pos", "mix_block", "mix_epoch", "mix_share"))
+    source_col, id_col = names_of[source_col], names_of[id_col]
     counts = {r[0]: r[1] for r in docs.groupBy(source_col).count().limit(MAX_SOURCES + 1).collect()}
     if len(counts) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: weights are a table of the driver")
@@ -235,18 +236,19 @@ def pfair_mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BL
     spread = sizes.select("_sid", "_range", "_off", F.explode(F.expr(f"sequence(_off div {block_rows}, (_off + _c - 1) div {block_rows})")).alias("_b"))
     lists = (spread.join(each, ["_sid", "_b"]).groupBy("_sid", "_range", "_g")
              .agg(F.min("_off").alias("_off"), F.map_from_entries(F.collect_list(F.struct("_b", "_slots"))).alias("_lists")))
-    return (rows.join(lists, ["_sid", "_range"])
+    mixed = (rows.join(lists, ["_sid", "_range"])
             .withColumn("_no", F.col("_off") + F.col("_at"))
             .withColumn("mix_block", F.expr(f"_no div {block_rows}"))
             .select("*", F.posexplode(F.element_at("_lists", F.col("mix_block"))).alias("_p", "mix_slot"))
             .withColumn("mix_epoch", F.expr(f"_g * {EPOCHS_PER_ROW} + _p"))
-            .withColumn("mix_pos", F.expr(f"cast(_no % {block_rows} as int)"))
-            .select(*docs.columns, "mix_block", "mix_epoch", "mix_slot", "mix_pos", "mix_share"))
+            .withColumn("mix_pos", F.expr(f"cast(_no % {block_rows} as int)")))
+    return own_names(mixed, names_of, "mix_block", "mix_epoch", "mix_slot", "mix_pos", "mix_share")
 
 
-def mix_documents(docs: DataFrame, **kw) -> DataFrame:
+def mix_documents(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", **kw) -> DataFrame:
     """The mixture as records: the columns of ``docs``, a record once for each epoch in which it is used."""
-    return pfair_mix(docs, **kw).select(*docs.columns)
+    inner, names = plain_names(docs)
+    return own_names(pfair_mix(inner, source_col=names[source_col], id_col=names[id_col], **kw), names)
 
 
 @register("op10_pfair_mix")

@@ -28,7 +28,7 @@ from bisect import bisect_right
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairforge.llm.registry import register, table
+from pairforge.llm.registry import own_names, plain_names, register, table
 from pairforge.session import materialize
 
 SHARDS = 24
@@ -42,8 +42,9 @@ LOWEST = -(2**63)
 
 
 def key_columns(id_col: str, text_col: str) -> tuple[Column, Column]:
-    """(text hash, id as long): the sort key. Ids that are no numbers are hashed."""
-    return F.xxhash64(F.col(text_col)), F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST))
+    """(text hash, id as long): the sort key. Ids that are no whole numbers are hashed; a null id comes first."""
+    own = F.col(id_col)
+    return F.xxhash64(F.col(text_col)), F.coalesce(own.cast("string").try_cast("long"), F.when(own.isNotNull(), F.xxhash64(own)), F.lit(LOWEST))
 
 
 def _pairs(keys: list[tuple[int, int]]) -> str:
@@ -147,17 +148,19 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id",
 
     An existing column of that name is replaced. Rows that repeat both id and text stay together.
     """
+    docs = docs.drop(name)
+    docs, names = plain_names(docs)
+    id_col, text_col = names[id_col], names[text_col]
     first = (shard_rows(docs, shards, id_col, text_col).groupBy("shard")
              .agg(F.min(F.struct("_h", "_k")).alias("f")).orderBy("shard").collect())
     h, k = key_columns(id_col, text_col)
     keys = [(r.f["_h"], r.f["_k"]) for r in first]
     shard_ids = [r.shard for r in first]
     if not keys:
-        return docs.withColumn(name, F.lit(0))
+        return own_names(docs, names, F.lit(0).alias(name))
     nth = F.greatest(range_of(keys), F.lit(1))
-    out = docs.drop(name) if name in docs.columns else docs
-    return (out.withColumn("_h", h).withColumn("_k", k)
-            .withColumn(name, F.element_at(F.lit(shard_ids), nth).cast("int")).drop("_h", "_k"))
+    out = docs.withColumn("_h", h).withColumn("_k", k).withColumn("_shard", F.element_at(F.lit(shard_ids), nth).cast("int"))
+    return own_names(out, names, F.col("_shard").alias(name))
 
 
 def shard_of(key: tuple[int, int], first_keys: list[tuple[int, int]]) -> int:

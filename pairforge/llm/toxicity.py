@@ -200,7 +200,10 @@ def held_in(ident):
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The columns of ``docs`` for the documents whose score stays below the threshold."""
     model = train(docs, labels, use=held_in)
-    return score(docs, model, name="_tox", spans=None).where(F.col("_tox") < threshold).select(*docs.columns)
+    free = "_tox"
+    while free in docs.columns:
+        free += "_"
+    return score(docs, model, name=free, spans=None).where(F.col(free) < threshold).select(*docs.columns)
 
 
 @register("op8_multiple_instance")

@@ -4,10 +4,12 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from test_llm_operators import ODD, brute_classes, words
 
 import corpus_pipeline as C
 from pairforge.llm import decontam
+from conftest import SMALL
 from pairforge.session import materialize, scratch_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard string"
@@ -113,3 +115,33 @@ def test_stages_take_empty_tables(shipped, corpus):
     empty = shipped.read.parquet(f"{corpus[0]}/documents.parquet").limit(0)
     for name, stage in C.STAGES:
         assert stage(shipped, empty, corpus[0]).count() == 0, name
+
+
+CLASHING = ["_h", "_k", "_r", "_n", "_tox", "_range", "_at", "_sid", "_key", "_no", "_p", "_g", "_off", "_lists", "size", "id", "xh", "cls", "h", "k",
+            "text_crc32", "law", "slot", "own_0_mix_slot", "mix_slot", "mix_block", "c0", "c3"]
+
+
+@pytest.mark.parametrize("stage", [s for s in C.STAGES], ids=lambda s: s[0])
+def test_columns_named_like_the_library_s_own_stay(shipped, stage):
+    """Extra columns named like those operators add on the way keep their values."""
+    rows = [(i, f"common words of document {i} and {i * 7} with some more of them {'x' * (i % 5)}", "en", f"s{i % 3}", 10) for i in range(60)]
+    docs = shipped.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")) for c in CLASHING}).repartition(3)
+    out = stage[1](shipped, docs, SMALL)
+    assert out.columns[:len(docs.columns)] == docs.columns
+    got = out.collect()
+    assert len({r.doc_id for r in got}) > 40
+    assert all(r[c] == f"{c}-{r.doc_id}" for r in got for c in CLASHING)
+
+
+def test_shards_of_text_ids(shipped):
+    from pairforge.llm import sharding
+    ids = [f"doc-{i}" for i in range(500)] + ["17", "007", "9" * 30, None, "1.5", ""]
+    docs = shipped.createDataFrame([(i, f"text {n} " * (n % 50)) for n, i in enumerate(ids)], "doc_id string, text string").repartition(4)
+    got = sharding.shard_rows(docs, shards=5).collect()
+    assert len(got) == len(ids) and {r.shard for r in got} == set(range(5))
+    mean = sum(r.size for r in got) / 5
+    per = {s: sum(r.size for r in got if r.shard == s) for s in range(5)}
+    assert all(abs(b - mean) <= max(r.size for r in got) for b in per.values())
+    where = {r.doc_id: r.shard for r in got}
+    assert all(where[r.doc_id] == r.shard for r in sharding.assign_shards(docs, shards=5).collect())
