@@ -72,8 +72,9 @@ def truncate_at_stops(c, stops=STOP_STRINGS) -> Column:
     arr = F.array(*[F.lit(s) for s in stops])
 
     def step(acc, s):
-        at = F.position(s, acc)  # 1-based; 0 = absent
-        return F.when(at > 1, F.substr(acc, F.lit(1), at - 1)).otherwise(acc)
+        # The text before the stop: all of it where the stop is absent, nothing where it comes first.
+        head = F.call_function("substring_index", acc, s, F.lit(1))
+        return F.coalesce(F.nullif(head, F.lit("")), acc)
 
     return F.aggregate(arr, _col(c), step)
 

@@ -244,7 +244,8 @@ class MergeResult:
 
     def __init__(self, runs: DataFrame, dedupe_scope: str = "split", min_pass: int = 2,
                  min_fail: int = 2, materialize: bool = True, raw: DataFrame | None = None):
-        self.texts = dictionary(runs, [c for c in self.TEXTS if c in runs.columns])
+        source = runs if raw is None else raw
+        self.texts = dictionary(source, [c for c in self.TEXTS if c in source.columns])
         self.runs = with_digests(runs, self.TEXTS)
         self.raw = self.runs if raw is None else with_digests(raw, self.TEXTS)
         self.dedupe_scope, self.min_pass, self.min_fail = dedupe_scope, min_pass, min_fail
@@ -342,8 +343,8 @@ def merge_runs(runs: DataFrame, dedupe_scope: str = "split", min_pass: int = 2,
     """The whole merge stage. Tables by name: frequency, averaged, scored,
     deduped, kept, ranked (the durable flat result), times, report.
 
-    ``raw`` may name the same rows without computed answer ids: frequencies
-    and lengths, which need none, are then read from it."""
+    ``raw`` may name the same rows without computed answer ids: frequencies,
+    lengths and texts, which need none, are then read from it."""
     return MergeResult(runs, dedupe_scope, min_pass, min_fail, materialize, raw)
 
 

@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from pairforge.operators.merge import error_type_order
 from pairforge.operators.ranking import group_rank, steps
-from pairforge.session import scratch_path
+from pairforge.operators.texts import resolve
+from pairforge.session import materialize, scratch_path
 from pairforge.sources.bucketed import open_bucketed, write_bucketed
 
 TASK = ["split", "task_id"]
@@ -106,15 +107,20 @@ def from_ranked(ranked: DataFrame | RankedStore) -> RankedStore:
     return ranked if isinstance(ranked, RankedStore) else _Planned(ranked)
 
 
-def save_store(ranked: DataFrame, path: str | None = None, buckets: int | None = None) -> RankedStore:
+def save_store(ranked: DataFrame, path: str | None = None, buckets: int | None = None, texts: DataFrame | None = None) -> RankedStore:
     """Writes the three tables below ``path`` (default: a new folder in the shared scratch folder) and opens them.
 
     ``buckets`` is one file and one join task each; the default is the session's
     number of shuffle partitions, below which Spark would shuffle the tables again.
+    With a dictionary ``texts``, ``ranked`` holds digests and the texts are put in here.
     """
     spark = ranked.sparkSession
     path = (path or scratch_path(spark, "ranked-store")).rstrip("/")
+    if texts is not None:
+        ranked = materialize(ranked.drop("answer_chars"), "ranked-digests")  # narrow, and read by each of the three writes
     plan = from_ranked(ranked)
+    if texts is not None:
+        plan = RankedStore(plan.tasks, resolve(plan.answers, texts), plan.places)
     write_bucketed(plan.answers, f"{path}/answers", ANSWER_KEY, buckets)
     write_bucketed(plan.places, f"{path}/places", PLACE_KEY, buckets)
     plan.tasks.write.mode("overwrite").parquet(f"{path}/tasks")

@@ -74,10 +74,10 @@ def epoch_bounds(epoch, n, epochs: int, mode: str, exact: bool = False) -> tuple
     raise ValueError(mode)
 
 
-def task_epochs(ranked: DataFrame, epochs: int) -> DataFrame:
-    """One row per (task, epoch) with the task's counts (epochs exploded on tasks)."""
-    t = ranked.select(*TASK, "prompt", "n_pass", "n_fail").distinct()
-    return t.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(epochs - 1).cast("long"))))
+def task_epochs(ranked: DataFrame | RankedStore, epochs: int) -> DataFrame:
+    """One row per (task, epoch) with the task's counts and failing types (epochs exploded on tasks)."""
+    every = F.sequence(F.lit(0).cast("long"), F.lit(epochs - 1).cast("long"))
+    return from_ranked(ranked).tasks.withColumn("epoch", F.explode(every))
 
 
 def failure_index(ranked: DataFrame, types: DataFrame | None = None) -> DataFrame:
@@ -165,10 +165,6 @@ def _with_replay(te: DataFrame, val_counts: DataFrame | None) -> DataFrame:
     return te.withColumn("A", F.aggregate("replayed", zero, lambda acc, t: acc + t["added"]))
 
 
-def _epochs_of(store: RankedStore, epochs: int) -> DataFrame:
-    return store.tasks.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(epochs - 1).cast("long"))))
-
-
 MODES = {"pvf_iter": "iter", "pvf_iter_priority": "iter", "pvf_iter_expand": "expand", "pvf_iter_reverse": "reverse",
          "pvf_iter_reverse_priority": "reverse", "pvf_iter_reverse_expand": "reverse_expand"}
 
@@ -181,7 +177,7 @@ def drawn_positions(store: RankedStore | DataFrame, schedule: str, epochs: int,
         raise ValueError(f"unknown schedule {schedule}")
     keys = [F.col("split"), F.col("task_id"), F.col("epoch")]
     u = unit_draw(seed, *keys, "rejected")
-    te = _epochs_of(from_ranked(store), epochs).withColumn("c_pos", index_draw("n_pass", seed, *keys, "chosen")).filter("c_pos is not null")
+    te = task_epochs(store, epochs).withColumn("c_pos", index_draw("n_pass", seed, *keys, "chosen")).filter("c_pos is not null")
     none = F.lit(None).cast("long")
     if schedule in ("pvf_iter_type", "pvf_iter_type_reverse"):
         te = te.withColumn("n_types", F.size("types").cast("long")).filter("n_types > 0")
@@ -233,7 +229,7 @@ def replay_added(te: DataFrame, ranked: DataFrame | RankedStore, val_counts: Dat
 
 def _weighted(store: RankedStore, epochs: int, val_counts: DataFrame, reverse: bool, exact: bool) -> DataFrame:
     lo, hi = epoch_bounds("epoch", "n_fail", epochs, "reverse" if reverse else "iter", exact)
-    te = _epochs_of(store, epochs).withColumn("lo", lo).withColumn("hi", hi).withColumn("W", F.col("hi") - F.col("lo"))
+    te = task_epochs(store, epochs).withColumn("lo", lo).withColumn("hi", hi).withColumn("W", F.col("hi") - F.col("lo"))
     return _with_replay(te, val_counts)
 
 

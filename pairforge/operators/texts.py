@@ -33,10 +33,7 @@ def with_digests(df: DataFrame, columns=("prompt", "answer"), lengths=("answer",
 
 def dictionary(df: DataFrame, columns=("prompt", "answer")) -> DataFrame:
     """(digest, text), one row per distinct text of the columns; an error where two texts share a digest."""
-    parts = [df.select(digest(c).alias("digest"), F.col(c).alias("text")) for c in columns]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    rows = df.select(F.explode(F.array(*[F.col(c) for c in columns])).alias("text")).select(digest("text").alias("digest"), "text")
     both = rows.where("digest is not null").groupBy("digest").agg(F.min("text").alias("_a"), F.max("text").alias("_b"))
     return both.select("digest", F.when(F.col("_a") == F.col("_b"), F.col("_a"))
                        .otherwise(F.raise_error(F.lit("two texts share a digest"))).alias("text"))

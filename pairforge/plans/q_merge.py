@@ -22,16 +22,28 @@ def merged(spark, sf_dir, which="r1"):
     return G.merge_runs(X.r2_runs(spark, sf_dir))
 
 
-_STORES: dict = {}
+_STAGES: dict = {}
+
+
+def _stage(spark, sf_dir, name, build):
+    """A stage's tables, written once per session and input folder and read by every query downstream of the stage."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    if key not in _STAGES:
+        _STAGES[key] = build()
+    return _STAGES[key]
+
+
+def stage_merge(spark, sf_dir, which="r1"):
+    """The merge stage of a fixture, for the pair builders after it."""
+    return _stage(spark, sf_dir, f"merge {which}", lambda: merged(spark, sf_dir, which))
 
 
 def stage_store(spark, sf_dir, which="r1"):
-    """The ranked store of a fixture, written once per session by the merge stage and read by every query
-    downstream of it, as the pipeline's stages do."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), which)
-    if key not in _STORES:
-        _STORES[key] = save_store(merged(spark, sf_dir, which).ranked)
-    return _STORES[key]
+    """The ranked store of a fixture, for the schedules after the merge stage."""
+    def build():
+        m = stage_merge(spark, sf_dir, which)
+        return save_store(m.slim.ranked, texts=m.texts)
+    return _stage(spark, sf_dir, f"store {which}", build)
 
 
 @register("error_frequency", R1_MERGE + """

@@ -13,7 +13,7 @@ from pairforge.operators import runs as R
 from pairforge.plans import fixtures as X
 from pairforge.plans import oracle_fixtures as O
 from pairforge.plans import stages as S
-from pairforge.plans.q_merge import R2_MERGE, merged
+from pairforge.plans.q_merge import R2_MERGE, merged, stage_merge
 from pairforge.plans.q_runs import props_verifier
 from pairforge.plans.registry import r6, register
 from pairforge.session import scratch_path
@@ -144,6 +144,6 @@ FROM t JOIN ranked c ON c.split = t.split AND c.task_id = t.task_id AND c.is_pas
 """)
 def training_rows(spark, sf_dir):
     """All pairs of the training tasks, one fixed pair of each validation task."""
-    rows = S.training_rows(merged(spark, sf_dir, "r1")["ranked"], "passk", seed=SEED)
+    rows = S.training_rows(stage_merge(spark, sf_dir, "r1")["ranked"], "passk", seed=SEED)
     return rows.select("split", "id", "chosen_id", "rejected_id", F.md5("chosen").alias("chosen_md5"),
                        F.md5("rejected").alias("rejected_md5"), "pair_pos")

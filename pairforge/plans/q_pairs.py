@@ -6,7 +6,7 @@ from pairforge.functions.draws import sql_unit_draw
 from pairforge.functions.text import SFT_TEMPLATE, SYSTEM_PROMPT, add_system_prompt, sql_literal
 from pairforge.operators import pairs as P
 from pairforge.plans import oracle_fixtures as O
-from pairforge.plans.q_merge import R1_MERGE, R2_MERGE, merged, stage_store
+from pairforge.plans.q_merge import R1_MERGE, R2_MERGE, stage_merge, stage_store
 from pairforge.plans.registry import register
 
 SEED = 7
@@ -30,7 +30,7 @@ WHERE c.is_pass AND NOT r.is_pass
 
 @register("all_pairs", _ALL_PAIRS_SQL)
 def all_pairs(spark, sf_dir):
-    return _pair_cols(P.all_pairs(merged(spark, sf_dir, "r2")["ranked"]))
+    return _pair_cols(P.all_pairs(stage_merge(spark, sf_dir, "r2")["ranked"]))
 
 
 @register("all_pairs_compact", R2_MERGE + """
@@ -40,7 +40,7 @@ FROM ranked c JOIN ranked r ON c.split = r.split AND c.task_id = r.task_id
 WHERE c.is_pass AND NOT r.is_pass
 """)
 def all_pairs_compact(spark, sf_dir):
-    p = P.all_pairs(merged(spark, sf_dir, "r2")["ranked"], with_problem=False)
+    p = P.all_pairs(stage_merge(spark, sf_dir, "r2")["ranked"], with_problem=False)
     return p.select("split", "id", "prompt", F.md5("chosen").alias("chosen_md5"),
                     F.md5("rejected").alias("rejected_md5"), "pair_pos")
 
@@ -53,12 +53,12 @@ FROM ranked c JOIN ranked r ON c.split = r.split AND c.task_id = r.task_id
 WHERE c.is_pass AND NOT r.is_pass
 """)
 def all_pairs_runs(spark, sf_dir):
-    return _pair_cols(P.all_pairs(merged(spark, sf_dir, "r1")["ranked"]))
+    return _pair_cols(P.all_pairs(stage_merge(spark, sf_dir, "r1")["ranked"]))
 
 
 @register("curriculum_pairs", _ALL_PAIRS_SQL)
 def curriculum_pairs(spark, sf_dir):
-    return _pair_cols(P.curriculum_pairs(merged(spark, sf_dir, "r2")["ranked"], increase=True))
+    return _pair_cols(P.curriculum_pairs(stage_merge(spark, sf_dir, "r2")["ranked"], increase=True))
 
 
 @register("curriculum_pairs_desc", R2_MERGE + """
@@ -71,7 +71,7 @@ FROM ranked c JOIN rf r ON c.split = r.split AND c.task_id = r.task_id
 WHERE c.is_pass
 """)
 def curriculum_pairs_desc(spark, sf_dir):
-    return _pair_cols(P.curriculum_pairs(merged(spark, sf_dir, "r2")["ranked"], increase=False))
+    return _pair_cols(P.curriculum_pairs(stage_merge(spark, sf_dir, "r2")["ranked"], increase=False))
 
 
 _TASKS_SQL = ", tasks AS (SELECT DISTINCT split, task_id, prompt, n_pass, n_fail FROM ranked)"
@@ -87,7 +87,7 @@ FROM t JOIN ranked c ON c.split = t.split AND c.task_id = t.task_id AND c.is_pas
        JOIN ranked r ON r.split = t.split AND r.task_id = t.task_id AND NOT r.is_pass AND r.side_rank = t.r_pos
 """)
 def one_pair(spark, sf_dir):
-    p = P.one_pair(merged(spark, sf_dir, "r2")["ranked"], seed=SEED)
+    p = P.one_pair(stage_merge(spark, sf_dir, "r2")["ranked"], seed=SEED)
     return p.select("split", "id", "problem", "prompt", F.md5("chosen").alias("chosen_md5"),
                     F.md5("rejected").alias("rejected_md5"), "chosen_id", "rejected_id")
 
@@ -96,7 +96,7 @@ def one_pair(spark, sf_dir):
 SELECT split, task_id AS id, answer_id, side_rank, md5(answer) AS text_md5 FROM ranked WHERE is_pass
 """)
 def select_pass(spark, sf_dir):
-    p = P.select_pass(merged(spark, sf_dir, "r2")["ranked"])
+    p = P.select_pass(stage_merge(spark, sf_dir, "r2")["ranked"])
     return p.select("split", F.col("task_id").alias("id"), "answer_id", "side_rank",
                     F.md5("answer").alias("text_md5"))
 
@@ -108,7 +108,7 @@ SELECT split, task_id AS id, answer_id, side_rank,
 FROM ranked WHERE is_pass
 """)
 def sft_texts(spark, sf_dir):
-    r = merged(spark, sf_dir, "r2")["ranked"].withColumn("problem", add_system_prompt("prompt"))
+    r = stage_merge(spark, sf_dir, "r2")["ranked"].withColumn("problem", add_system_prompt("prompt"))
     s = P.sft_texts(r, problem_col="problem")
     return s.select("split", "id", "answer_id", "side_rank", F.md5("text").alias("text_md5"))
 
@@ -122,7 +122,7 @@ SELECT t.split, t.task_id AS id, c.answer_id,
 FROM t JOIN ranked c ON c.split = t.split AND c.task_id = t.task_id AND c.is_pass AND c.side_rank = t.c_pos
 """)
 def sft_one_answer(spark, sf_dir):
-    r = merged(spark, sf_dir, "r2")["ranked"].withColumn("problem", add_system_prompt("prompt"))
+    r = stage_merge(spark, sf_dir, "r2")["ranked"].withColumn("problem", add_system_prompt("prompt"))
     s = P.sft_one_answer(r, seed=SEED, problem_col="problem")
     return s.select("split", "id", "answer_id", F.md5("text").alias("text_md5"))
 
@@ -140,7 +140,7 @@ FROM ranked WHERE is_pass
 """)
 def sft_format_hook(spark, sf_dir):
     from pairforge.operators.hooks import formatting_hook
-    r = P.select_pass(merged(spark, sf_dir, "r2")["ranked"]).withColumn("problem", add_system_prompt("prompt"))
+    r = P.select_pass(stage_merge(spark, sf_dir, "r2")["ranked"]).withColumn("problem", add_system_prompt("prompt"))
     h = formatting_hook(r, _sft_format, ["problem", "answer"])
     return h.select("split", F.col("task_id").alias("id"), "answer_id",
                     F.explode("texts").alias("text")).select("split", "id", "answer_id",

@@ -9,7 +9,7 @@ from pairforge.functions.draws import sql_unit_draw
 from pairforge.operators import schedule as K
 from pairforge.plans import fixtures as X
 from pairforge.plans import oracle_fixtures as O
-from pairforge.plans.q_merge import merged, stage_store
+from pairforge.plans.q_merge import stage_store
 from pairforge.plans.registry import r6, register
 from pairforge.session import scratch_path
 from pairforge.streaming import stream as ST
@@ -170,10 +170,6 @@ picked AS (
 """ + OUT.format(name=name)
 
 
-def _ranked(spark, sf_dir):
-    return merged(spark, sf_dir).ranked.filter(F.col("split") == "train")
-
-
 def _store(spark, sf_dir):
     """The stage tables of the train split (see ``stage_store``)."""
     return stage_store(spark, sf_dir).of_split("train")
@@ -241,8 +237,7 @@ SELECT te0.split, te0.task_id, te0.epoch, te0.n_fail, nt.n_types,
 FROM te0 JOIN ntypes nt ON nt.split = te0.split AND nt.task_id = te0.task_id
 """)
 def epoch_bounds(spark, sf_dir):
-    ranked = _ranked(spark, sf_dir)
-    te = K.task_epochs(ranked, EPOCHS).join(K.task_type_counts(ranked), ["split", "task_id"])
+    te = K.task_epochs(_store(spark, sf_dir), EPOCHS).withColumn("n_types", F.size("types").cast("long"))
     b = {m: K.epoch_bounds("epoch", "n_fail", EPOCHS, m) for m in ("iter", "expand", "reverse", "reverse_expand")}
     t = {m: K.epoch_bounds("epoch", "n_types", EPOCHS, m) for m in ("type", "type_reverse")}
     return te.select("split", "task_id", "epoch", "n_fail", "n_types",
