@@ -33,6 +33,8 @@ TRAIN_TIME_LIMIT = 3.0
 MAX_ROUNDS = 100
 REPETITIONS = 10
 STABLE_COV = 0.1
+# Rounds a candidate may take before the unstable ones are dealt out anew.
+ROUNDS_PER_PASS = 10
 
 
 def timed_rounds(call, rounds: int, reps: int, cov: float) -> tuple[float, float, int]:
@@ -111,3 +113,38 @@ def annotate(candidates: DataFrame, verifier, time_limit: float | None = EVAL_TI
         n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         df = df.repartition(n, *[F.col(k) for k in spread_keys])
     return df.mapInPandas(run, schema)
+
+
+def annotate_frontier(candidates: DataFrame, verifier, time_limit: float | None = EVAL_TIME_LIMIT,
+                      spread_keys=("task_id", "answer_id"), num_partitions: int | None = None,
+                      hard_limit: float | None = None, rounds: int = MAX_ROUNDS, reps: int = REPETITIONS,
+                      cov: float = STABLE_COV, rounds_per_pass: int = ROUNDS_PER_PASS) -> DataFrame:
+    """``annotate`` in passes: each times up to ``rounds_per_pass`` rounds, and only candidates whose timing is still
+    unstable go on to the next.
+
+    A pass deals its candidates out anew, so the few that need all rounds are spread over the tasks instead of
+    holding the one they came in, and is written to the shared scratch folder: a lost executor repeats its part of
+    one pass. The driver sees whether candidates are left, no more. ``hard_limit`` holds for a candidate's pass. The
+    verifier's record also has ``rounds_before``, the rounds already taken. Columns are those of ``annotate``.
+    """
+    from pairforge.session import materialize
+    cols, before = candidates.columns, "rounds_before"
+    live, out, used = candidates.drop(before).withColumn(before, F.lit(0).cast("long")), None, 0
+    # Steadiness is judged here, and a slow candidate's mean only once it is final.
+    steady = (F.col("output") != "passed") | F.col("std_time").isNull() | ((F.col("avg_time") > 0) & (F.col("std_time") <= F.lit(cov) * F.col("avg_time")))
+    while used < rounds:
+        now = min(rounds_per_pass, rounds - used)
+        done = materialize(annotate(live, verifier, None, spread_keys, num_partitions, hard_limit, now, reps, cov), "timing-pass")
+        used += now
+        final = done.where(steady) if used < rounds else done
+        final = final.withColumn("n_rounds", F.when(F.col("n_rounds") > 0, F.col(before) + F.col("n_rounds")).otherwise(F.col("n_rounds")))
+        out = final if out is None else out.unionByName(final)
+        live = done.where(~steady).select(*[c for c in done.columns if c in live.columns and c != before], F.lit(used).cast("long").alias(before))
+        if used >= rounds or live.isEmpty():
+            break
+    if time_limit is not None:
+        slow = F.coalesce(F.col("avg_time") > time_limit * 1e9, F.lit(False))
+        out = out.withColumns({"output": F.when(slow, "failed").otherwise(F.col("output")),
+                               "error_type": F.when(slow, "TimeoutError").otherwise(F.col("error_type")),
+                               "std_time": F.when(~slow, F.col("std_time")), "avg_time": F.when(~slow, F.col("avg_time"))})
+    return out.select(*[c for c in cols if c != before], *[f.name for f in VERDICT_FIELDS])

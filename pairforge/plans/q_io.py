@@ -101,6 +101,22 @@ def stream_error_counts(spark, sf_dir):
     return ST.latest_counts(spark, out_dir)
 
 
+@register("stream_redelivered", O.with_ctes(("r1", O.R1)) + """
+SELECT split, error_type, count(*) AS n FROM r1 GROUP BY ALL
+""")
+def stream_redelivered(spark, sf_dir):
+    """Verdict files of which every third is delivered twice; a verdict counts once."""
+    runs_dir, out_dir, ck = (scratch_path(spark, n) for n in ("stream-in", "stream-out", "stream-ck"))
+    cols = [f.name for f in ST.STREAM_VERDICTS.fields]
+    rows = (X.r1_rows(spark, sf_dir).withColumn("answer_id", F.col("event_id")).withColumn("check_id", F.lit(0).cast("long"))
+            .select(*cols, F.pmod(F.xxhash64("event_id"), F.lit(6)).alias("file")))
+    for again in (rows, rows.where("file % 3 = 0")):
+        again.repartition(6, "file").drop("file").write.mode("append").json(runs_dir)
+    # The verdicts span 30 days, and any file may come first.
+    ST.stream_error_counts(spark, runs_dir, out_dir, ck, max_files_per_trigger=4, redelivery="60 days").awaitTermination()
+    return ST.latest_counts(spark, out_dir)
+
+
 @register("replay_latest", O.with_ctes(("r1", O.R1), ("v1", O.V1)) + """
 SELECT step, error_type, n FROM v1 WHERE step = (SELECT max(step) FROM v1)
 """)

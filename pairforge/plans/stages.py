@@ -18,7 +18,7 @@ from pairforge.operators import merge as G
 from pairforge.operators import metrics as M
 from pairforge.operators import pairs as P
 from pairforge.operators import schedule as K
-from pairforge.operators.annotate import EVAL_TIME_LIMIT, annotate
+from pairforge.operators.annotate import EVAL_TIME_LIMIT, MAX_ROUNDS, REPETITIONS, annotate_frontier
 from pairforge.operators.runs import answer_ids, join_problems
 from pairforge.session import replace_partitions
 from pairforge.sources import io as IO
@@ -29,15 +29,16 @@ STATIC = {"sft", "passk", "curri", "one"}
 def annotate_stage(spark: SparkSession, samples: DataFrame, problems: DataFrame, verifier, split: str,
                    check_id: int = 0, runs_path: str | None = None, metrics_path: str | None = None,
                    time_limit: float | None = EVAL_TIME_LIMIT, hard_limit: float | None = None,
-                   rounds: int = 1, reps: int = 1, ks=(1, 5, 10)) -> DataFrame:
+                   rounds: int = MAX_ROUNDS, reps: int = REPETITIONS, ks=(1, 5, 10)) -> DataFrame:
     """Give every sample a verdict. The verifier receives the candidate row
-    (task_id, answer_id, prompt, answer, test, entry_point, program). Times are
-    the verifier's rounds; ``std_time`` is NULL where one call was timed."""
+    (task_id, answer_id, prompt, answer, test, entry_point, program). A passing
+    candidate is timed in rounds of ``reps`` calls until they are steady
+    (``annotate_frontier``); ``std_time`` is NULL where one call was timed."""
     s = answer_ids(samples)
     j = join_problems(s, problems.select("task_id", "prompt", "test", "entry_point"))
     cand = j.select("task_id", "answer_id", strip_text("prompt").alias("prompt"), "answer", "test", "entry_point",
                     check_program("answer", "test", "entry_point").alias("program"))
-    v = annotate(cand, verifier, time_limit=time_limit, hard_limit=hard_limit, rounds=rounds, reps=reps)
+    v = annotate_frontier(cand, verifier, time_limit=time_limit, hard_limit=hard_limit, rounds=rounds, reps=reps)
     ok = F.col("output") == "passed"
     runs = v.select("task_id", "answer_id", "prompt", "answer", "output", "avg_time", "std_time", "error_type",
                     F.when(ok, F.length("answer").cast("long")).alias("answer_length"), "error_trace",

@@ -125,3 +125,64 @@ def test_annotate_hard_limit(spark):
     c = spark.createDataFrame([("t", i, f"a{i}") for i in range(6)], "task_id string, answer_id long, answer string")
     out = {r.answer_id: r.error_type for r in annotate(c, _slow_verifier, hard_limit=0.5).collect()}
     assert out == {0: "UnknownError", 1: "ValueError", 2: "", 3: "UnknownError", 4: "ValueError", 5: ""}
+
+
+def metric_file(path, name, rows):
+    os.makedirs(path, exist_ok=True)
+    with open(os.path.join(path, name), "w") as f:
+        for step, kind, n in rows:
+            f.write(json.dumps({"step": step, "error_type": kind, "n": n}) + "\n")
+
+
+def test_feedback_state_survives_restarts_and_reads_one_folder(spark):
+    d = tempfile.mkdtemp(prefix="pf-feedback-")
+    src, state, ck = (os.path.join(d, n) for n in ("in", "state", "ck"))
+    run = lambda: ST.stream_latest_metrics(spark, src, state, ck).awaitTermination()
+    now = lambda: sorted(map(tuple, ST.current_state(spark, state).collect()))
+    metric_file(src, "a.json", [(1, "A", 3), (1, "", 9), (2, "A", 2), (2, "B", 5)])
+    run()
+    assert now() == [(2, "A", 2), (2, "B", 5)]
+    metric_file(src, "b.json", [(1, "C", 7)])  # an older step that comes late changes nothing
+    run()
+    assert now() == [(2, "A", 2), (2, "B", 5)]
+    metric_file(src, "c.json", [(2, "B", 5), (2, "D", 1)])  # delivered again, with one more type
+    run()
+    assert now() == [(2, "A", 2), (2, "B", 5), (2, "D", 1)]
+    metric_file(src, "d.json", [(5, "", 30)])  # a step without failures clears the rest
+    run()
+    assert now() == [(5, "", 30)]
+    assert len([f for f in os.listdir(state) if f.startswith("batch_id=")]) >= 4
+    files = ST.current_state(spark, state).inputFiles()
+    assert len({os.path.dirname(f) for f in files}) == 1
+
+
+def test_redelivered_verdicts_count_once_across_restarts(spark):
+    d = tempfile.mkdtemp(prefix="pf-again-")
+    src, out, ck = (os.path.join(d, n) for n in ("in", "out", "ck"))
+    os.makedirs(src)
+    row = lambda a, kind, check=0: {"split": "train", "task_id": "1", "answer_id": a, "check_id": check, "error_type": kind, "ts": "2024-01-01T00:00:00"}
+    for name, rows in (("a", [row(1, "A"), row(2, ""), row(1, "A")]), ("b", [row(2, ""), row(1, "A", 1)]), ("c", [row(3, "A"), row(1, "A")])):
+        with open(os.path.join(src, f"{name}.json"), "w") as f:
+            f.write("".join(json.dumps(r) + "\n" for r in rows))
+        ST.stream_error_counts(spark, src, out, ck, redelivery="1 day").awaitTermination()
+    assert {(r.error_type, r.n) for r in ST.latest_counts(spark, out).collect()} == {("A", 3), ("", 1)}
+
+
+def test_timing_frontier(spark):
+    from pairforge.operators.annotate import annotate_frontier
+
+    def verifier(row):  # steady from round answer_id on; answer 9 raises, 8 is slow
+        if row["answer_id"] == 9:
+            raise ValueError("bad")
+        if row["answer_id"] == 8:
+            return 5_000_000_000
+        seen[row["answer_id"], row["rounds_before"]] = n = seen.get((row["answer_id"], row["rounds_before"]), -1) + 1
+        return 100 if row["rounds_before"] + n // 2 >= row["answer_id"] else (100, 300)[n % 2]
+    seen: dict = {}
+    c = spark.createDataFrame([("t", i, f"a{i}") for i in range(10)], "task_id string, answer_id long, answer string")
+    got = {r.answer_id: r for r in annotate_frontier(c, verifier, rounds=6, reps=2, rounds_per_pass=2).collect()}
+    assert [got[i].n_rounds for i in range(8)] == [1, 2, 3, 4, 5, 6, 6, 6]
+    assert [(got[i].avg_time, got[i].std_time) for i in (0, 5, 6, 7)] == [(100, 0), (100, 0), (200, 100), (200, 100)]
+    assert (got[8].error_type, got[8].avg_time, got[9].error_type, got[9].n_rounds) == ("TimeoutError", None, "ValueError", 0)
+    assert "rounds_before" not in got[0].asDict()
+    assert annotate_frontier(c.limit(0), verifier, rounds=2, reps=2).count() == 0
