@@ -438,6 +438,41 @@ def test_wrapper_alignment_finds_optional_and_repeated_parts():
     assert "(#)+" in regex and "(<html/body.has-sidebar/article/div.note>" in regex
 
 
+def test_two_main_regions_and_soft_class_names():
+    two = [f"<body><nav>Menu</nav><div id=a><p>{'left words ' * 13}{i}</p></div><div id=b><p>{'right words ' * 6}{i}</p></div><div class=ad>Buy {i}</div></body>" for i in range(5)]
+    w = html_text.infer(two)
+    assert len(w["mains"]) >= 1
+    for i, p in enumerate(two):
+        want = f"{'left words ' * 13}{i}\n{'right words ' * 6}{i}"
+        assert html_text.extract(p, w) == html_text.extract(p, None) == want
+    soft = "<body><div class='content-widget'><p>first long paragraph</p><p>second one</p></div><div class='x'><p>tiny</p></div><div class=comments><p>" + "no " * 90 + "</p></div></body>"
+    assert html_text.extract(soft, None) == "first long paragraph\nsecond one"
+    side = "<body><div class='content'><p>first long paragraph of the page</p></div><div class='widget'><p>tiny</p></div></body>"
+    assert html_text.extract(side, None) == "first long paragraph of the page"
+    marked = "<body><article><p>main words of it</p></article><div class=z><p>" + "other " * 20 + "</p></div></body>"
+    assert "main words" in html_text.extract(marked, None)
+
+
+def test_rare_template_is_cut_by_itself_and_rare_texts_are_no_template(shipped):
+    common = lambda i: f"<body><div class=main><div class=date>Posted today</div><p>{'usual words ' * 9}{i}</p></div></body>"
+    rare = lambda i: f"<body><div class=main><p>short {i}</p></div><section class=long><p>{'rare words ' * 30}{i}</p></section></body>"
+    rows = [(i, "http://h.x/p", rare(i) if i % 20 == 7 else common(i)) for i in range(100)]
+    pages = shipped.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    for limit in (html_text.MAX_BROADCAST_BYTES, -1):
+        got = {r.page_id: r.text for r in html_text.extract_pages(pages, max_broadcast=limit).collect()}
+        assert all(f"{'rare words ' * 30}{i}" in got[i] for i in got if i % 20 == 7)
+        assert all(got[i] == f"{'usual words ' * 9}{i}" for i in got if i % 20 != 7)
+    # A text that the sample pages share but most pages lack is no template text.
+    rows = [(i, "http://h.x/p", f"<body><div class=main><div class=k>{'Same' if i < 8 else f'Own {i}'}</div><p>{'usual words ' * 9}{i}</p></div></body>") for i in range(60)]
+    pages = shipped.createDataFrame(rows, "page_id long, url string, html string")
+    wrapper = html_text.infer([r[2] for r in rows[:8]])
+    assert wrapper["fixed"] == ["Same"]
+    import json
+    given = shipped.createDataFrame([("h.x", json.dumps(wrapper))], "host string, wrapper string")
+    named = pages.select(F.col("page_id").alias("id"), "url", "html", F.lit("h.x").alias("host"))
+    assert json.loads(html_text.agreed(named, given, 10**6).first().wrapper)["fixed"] == []
+
+
 def test_pages_table(shipped):
     rows = [(1, "http://a.b/c", page("<p>hello</p>")), (1, "http://a.b/c", page("<p>hello</p>")), (2, None, None), (3, "http://a.b/d", "")]
     pages = shipped.createDataFrame(rows, "page_id long, url string, html string").withColumn("wrapper", F.lit("clash")).withColumn("host", F.lit("clash"))
