@@ -234,8 +234,8 @@ class MergeResult:
     on the result itself have the texts put back. Use ``slim`` where texts are
     not wanted.
 
-    ``kept`` (with digests) and ``ranked`` (with texts) are the stage's durable
-    tables, read by several consumers each: they are written once as Parquet
+    ``deduped`` and ``kept`` (with digests) and ``ranked`` (with texts) are the
+    stage's durable tables, read several times each: they are written once as Parquet
     under ``spark.checkpoint.dir`` when first asked for and read back, so a lost
     executor does not force recomputing the stage.
     """
@@ -329,9 +329,15 @@ class _Slim:
     def deduped(self):
         return self._get("deduped", lambda: dedupe_keep_best(self.scored, self._m.dedupe_scope))
 
+    @property
+    def _stored(self):
+        """The deduplicated answers as a table: they are read for the task counts and again for the rows, and their
+        plan reads all verdicts with their texts."""
+        return self._get("stored", lambda: self._m._store(self.deduped, "deduped"))
+
     @property
     def kept(self):
-        return self._get("kept", lambda: self._m._store(keep_contrastive(self.deduped, self._m.min_pass, self._m.min_fail), "kept"))
+        return self._get("kept", lambda: self._m._store(keep_contrastive(self._stored, self._m.min_pass, self._m.min_fail), "kept"))
 
     @property
     def ranked(self):

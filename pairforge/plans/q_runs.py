@@ -46,6 +46,28 @@ def _stdio_cases(spark, sf_dir):
                      F.col("answer").alias("want"), got.alias("got"))
 
 
+@register("stdio_verdict_arrays", O.with_ctes(("ch", O.CH)) + """
+, a AS (SELECT conv_id AS task_id, turn AS answer_id, string_split(answer, chr(10)) AS want, CAST((conv_id + turn) % 5 AS BIGINT) AS kind FROM ch),
+g AS (SELECT *, CASE WHEN kind = 1 THEN list_append(want, '') WHEN kind = 2 AND len(want) > 1 THEN want[1:len(want) - 1]
+                     WHEN kind = 3 THEN list_prepend(want[1] || ' ', want[2:]) ELSE want END AS got FROM a)
+SELECT task_id, answer_id, len(want) AS n_cases, CASE WHEN got = want THEN 'passed' ELSE 'failed' END AS output,
+       CASE WHEN got = want THEN '' ELSE 'AssertionError' END AS error_type
+FROM g
+""")
+def stdio_verdict_arrays(spark, sf_dir):
+    """Verdicts where a problem carries its cases inline: expected lines of a reply against captured ones, some with a
+    line too many, one too few, or another first line."""
+    rows = X.ch_chat(spark, sf_dir).select(F.col("conv_id").alias("task_id"), F.col("turn").alias("answer_id"),
+                                           F.split("answer", "\n", -1).alias("want"), ((F.col("conv_id") + F.col("turn")) % 5).alias("kind"))
+    n, want = F.size("want"), F.col("want")
+    first = F.array(F.concat(F.get("want", F.lit(0)), F.lit(" ")))
+    got = (F.when(F.col("kind") == 1, F.array_append("want", F.lit("")))
+            .when((F.col("kind") == 2) & (n > 1), F.slice("want", F.lit(1), n - 1))
+            .when(F.col("kind") == 3, F.concat(first, F.slice("want", F.lit(2), n))).otherwise(want))
+    v = R.stdio_verdict_arrays(rows.withColumn("got", got))
+    return v.select("task_id", "answer_id", n.cast("long").alias("n_cases"), "output", "error_type")
+
+
 @register("stdio_verdict", O.with_ctes(("ch", O.CH)) + """
 , cases AS (SELECT conv_id AS task_id, CAST(0 AS BIGINT) AS answer_id, turn AS "case", answer AS want,
                    CASE WHEN (conv_id + turn) % 7 = 0 THEN answer || chr(10) ELSE answer END AS got FROM ch)
