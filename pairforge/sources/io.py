@@ -8,6 +8,8 @@ Every read passes an explicit schema. Tables are partitioned by ``split``
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,13 +56,15 @@ def _is_pattern(path: str) -> bool:
 
 
 def quarantine(bad: DataFrame, path: str, source: str) -> None:
-    """Stores the broken lines of one source (its earlier ones are replaced): ``source``, ``file``, ``line``."""
-    replace_partitions(bad.select(F.lit(source).alias("source"), "file", "line"), "source").parquet(path)
+    """Stores the broken lines of one source (``source``, ``file``, ``line``) in a folder of its own, in place of its
+    earlier ones, also where there are none any more."""
+    part = hashlib.md5(source.encode()).hexdigest()
+    bad.select(F.lit(source).alias("source"), "file", "line").write.mode("overwrite").parquet(f"{path.rstrip('/')}/part={part}")
 
 
 def quarantined(spark: SparkSession, path: str) -> DataFrame:
     """Broken lines per source and file."""
-    rows = spark.read.schema("file string, line string, source string").parquet(path)
+    rows = spark.read.schema("source string, file string, line string").parquet(path)
     return rows.groupBy("source", "file").agg(F.count(F.lit(1)).alias("n_lines"))
 
 

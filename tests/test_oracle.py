@@ -21,7 +21,9 @@ SUBSET = ["attempts_correct", "pass_at_k_guarded", "error_counts", "error_freque
           "annotate", "stdio_verdict", "stable_timing", "timeout_verdict", "orphan_samples",
           "roundtrip_runs", "stream_error_counts", "roundtrip_problems", "roundtrip_report", "metrics_report",
           "sft_format_hook", "replay_latest", "select_splits", "run_table", "annotate_rounds",
-          "training_rows", "pvf_iter_streamed", "error_counts_ordered", "assert_non_empty"]
+          "training_rows", "pvf_iter_streamed", "error_counts_ordered", "assert_non_empty",
+          "replay_runs", "pair_range", "checks_added_average", "checks_added_frequency", "quarantined_runs",
+          "stream_redelivered", "annotate_frontier", "stdio_verdict_arrays"]
 NAMES = sorted(E.oracle_sql()) if os.environ.get("PAIRFORGE_FULL") else SUBSET
 
 

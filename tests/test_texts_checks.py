@@ -161,6 +161,9 @@ def test_broken_lines_are_put_aside(spark):
     stored = spark.read.parquet(aside)
     assert sorted(r.line for r in stored.collect()) == sorted(BROKEN)
     assert [(r.n_lines, r.file.endswith("/part.json")) for r in IO.quarantined(spark, aside).collect()] == [(len(BROKEN), True)]
+    with open(os.path.join(d, "split=train", "check_id=2", "part.json"), "w") as f:
+        f.write(json.dumps(GOOD) + "\n")
+    assert IO.read_runs(spark, d, quarantine_path=aside).count() == 1 and IO.quarantined(spark, aside).count() == 0
 
 
 @pytest.mark.parametrize("line", BROKEN[:2] + BROKEN[4:5])
