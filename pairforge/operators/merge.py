@@ -244,8 +244,7 @@ class MergeResult:
 
     def __init__(self, runs: DataFrame, dedupe_scope: str = "split", min_pass: int = 2,
                  min_fail: int = 2, materialize: bool = True, raw: DataFrame | None = None):
-        source = runs if raw is None else raw
-        self.texts = dictionary(source, [c for c in self.TEXTS if c in source.columns])
+        self._source = runs if raw is None else raw
         self.runs = with_digests(runs, self.TEXTS)
         self.raw = self.runs if raw is None else with_digests(raw, self.TEXTS)
         self.dedupe_scope, self.min_pass, self.min_fail = dedupe_scope, min_pass, min_fail
@@ -264,6 +263,12 @@ class MergeResult:
         from pairforge.session import materialize
         return materialize(df, name)
 
+    @property
+    def texts(self):
+        """The dictionary, a table: joins with it then have a plain shuffle on either side, which AQE can split where
+        one prompt is on very many rows."""
+        return self._get("texts", lambda: self._store(dictionary(self._source, [c for c in self.TEXTS if c in self._source.columns]), "texts"))
+
     def _texts(self, df):
         return resolve(df.drop("answer_chars"), self.texts, self.TEXTS)
 
