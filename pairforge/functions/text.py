@@ -125,23 +125,6 @@ def cov(std, avg) -> Column:
     return F.try_divide(_col(std), _col(avg))
 
 
-def hash_word_ids(c, bits: int = 24, first: int | None = None, last: int | None = None) -> Column:
-    """Default JVM-side tokenizer: split on single spaces, id = leading md5 bits of the word.
-
-    With ``first`` or ``last`` only that many words are mapped, for callers
-    that cut the ids anyway.
-    Other tokenizers plug in through ``pairforge.operators.tokens.tokenize_udf``.
-    """
-    hexdigits = bits // 4
-    words = F.split(_col(c), " ")
-    if first is not None:
-        words = F.slice(words, 1, first)
-    if last is not None:
-        words = F.slice(words, F.greatest(F.size(words) - last, F.lit(0)) + 1, last)
-    return F.transform(words,
-                       lambda w: F.conv(F.substring(F.md5(w), 1, hexdigits), 16, 10).cast("long"))
-
-
 def truncate_pair_tokens(prompt_ids, chosen_ids, rejected_ids, max_len: int, eos_id: int):
     """Append EOS to both completions, keep the prompt's last ``max_len`` ids and
     the completions' first ``max_len // 2`` ids (EOS is lost when over-long)."""

@@ -3,7 +3,7 @@
 ``tokenize_udf(fn)`` wraps any Python tokenizer ``str -> list[int]``
 (a BPE library, a vocabulary lookup, ...) into a column function whose
 output feeds ``functions.text.truncate_pair_tokens``. The JVM-side
-default is ``functions.text.hash_word_ids``.
+default is the learnt vocabulary of ``operators.vocabulary``.
 """
 
 from __future__ import annotations

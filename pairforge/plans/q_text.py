@@ -9,7 +9,9 @@ from pairforge.functions.draws import sql_unit_draw
 from pairforge.plans.q_merge import R2_MERGE, merged
 from pairforge.plans.q_pairs import _TASKS_SQL
 from pairforge.operators import pairs as P
+from pairforge.operators import vocabulary as V
 from pairforge.plans.registry import register
+from pairforge.session import materialize
 
 NL = "chr(10)"
 SYS_HEAD, SYS_TAIL = (T.sql_literal(part) for part in T.SYSTEM_PROMPT.split("{}"))
@@ -104,16 +106,31 @@ def strip_echo(spark, sf_dir):
     return c.select("conv_id", "turn", answer.alias("answer"))
 
 
-# Long enough that short answers keep their end token and long ones are cut.
+# Long enough that short answers keep their end token and long ones are cut; a vocabulary that leaves rare words out.
 MAX_LEN = 800
-EOS_ID = 0
+EOS_ID, OOV_ID, FIRST_ID = 0, 1, 2
+MAX_WORDS = 3000
 
 
-def _sql_ids(x):
-    return (f"list_transform(string_split({x}, ' '), "
-            f"lambda w: CAST(('0x' || substr(md5(w), 1, 6)) AS BIGINT))")
+def _sql_words(x):
+    return f"unnest(string_split({x}, ' ')) AS w"
 
 
+def _sql_encoded(name, x):
+    """CTE: (split, id, ids) of one text of ``op``, in word order."""
+    return f"""{name} AS (SELECT split, id, list(coalesce(v.vid, {OOV_ID}) ORDER BY pos) AS ids
+        FROM (SELECT split, id, {_sql_words(x)}, generate_subscripts(string_split({x}, ' '), 1) AS pos FROM op) e
+             LEFT JOIN vocab v ON v.w = e.w GROUP BY split, id)"""
+
+
+_PROMPT_SQL = f"{SYS_HEAD} || prompt || {SYS_TAIL}"
+_VOCABULARY_SQL = f"""
+words AS (SELECT {_sql_words(_PROMPT_SQL)} FROM ranked UNION ALL SELECT {_sql_words('answer')} FROM ranked),
+vocab AS (SELECT w, n, nth + {FIRST_ID} AS vid
+          FROM (SELECT w, n, row_number() OVER (ORDER BY n DESC, md5(w), w) - 1 AS nth
+                FROM (SELECT w, count(*) AS n FROM words WHERE w IS NOT NULL GROUP BY w))
+          WHERE nth < {MAX_WORDS})"""
+
 _PAIR_TOKENS_SQL = R2_MERGE + _TASKS_SQL + f"""
 , t AS (SELECT *, CAST(floor({sql_unit_draw(7, 'split', 'task_id', "'chosen'")} * n_pass) AS BIGINT) AS c_pos,
                CAST(floor({sql_unit_draw(7, 'split', 'task_id', "'rejected'")} * n_fail) AS BIGINT) AS r_pos
@@ -122,10 +139,12 @@ op AS (SELECT t.split, t.task_id AS id, t.prompt, c.answer AS chosen, r.answer A
        FROM t JOIN ranked c ON c.split = t.split AND c.task_id = t.task_id AND c.is_pass AND c.side_rank = t.c_pos
               JOIN ranked r ON r.split = t.split AND r.task_id = t.task_id AND NOT r.is_pass
                AND r.side_rank = t.r_pos),
-tok AS (SELECT split, id, {_sql_ids(SYS_HEAD + ' || prompt || ' + SYS_TAIL)} AS p,
-               list_append({_sql_ids('chosen')}, {EOS_ID}) AS c,
-               list_append({_sql_ids('rejected')}, {EOS_ID}) AS r
-        FROM op)
+{_VOCABULARY_SQL},
+{_sql_encoded('ep', _PROMPT_SQL)},
+{_sql_encoded('ec', 'chosen')},
+{_sql_encoded('er', 'rejected')},
+tok AS (SELECT ep.split, ep.id, ep.ids AS p, list_append(ec.ids, {EOS_ID}) AS c, list_append(er.ids, {EOS_ID}) AS r
+        FROM ep JOIN ec ON ec.split = ep.split AND ec.id = ep.id JOIN er ON er.split = ep.split AND er.id = ep.id)
 SELECT split, id,
        array_to_string(list_slice(p, greatest(len(p) - {MAX_LEN}, 0) + 1,
                                   greatest(len(p) - {MAX_LEN}, 0) + {MAX_LEN}), ',') AS prompt_ids,
@@ -135,12 +154,24 @@ FROM tok
 """
 
 
+def _vocabulary(spark, sf_dir):
+    r = merged(spark, sf_dir, "r2")["ranked"]
+    return V.learn_vocabulary(r, [T.add_system_prompt("prompt"), F.col("answer")], MAX_WORDS, FIRST_ID)
+
+
+@register("learn_vocabulary", R2_MERGE + "," + _VOCABULARY_SQL + "\nSELECT w AS word, n, vid AS id FROM vocab")
+def learn_vocabulary(spark, sf_dir):
+    return _vocabulary(spark, sf_dir)
+
+
 @register("truncate_pair_tokens", _PAIR_TOKENS_SQL)
 def truncate_pair_tokens(spark, sf_dir):
-    r = merged(spark, sf_dir, "r2")["ranked"]
-    pr = P.one_pair(r, seed=7)
-    p, c, j = T.truncate_pair_tokens(T.hash_word_ids(T.add_system_prompt("prompt"), last=MAX_LEN),
-                                     T.hash_word_ids("chosen", first=MAX_LEN // 2),
-                                     T.hash_word_ids("rejected", first=MAX_LEN // 2), MAX_LEN, EOS_ID)
-    return pr.select("split", "id", F.array_join(p, ",").alias("prompt_ids"),
-                     F.array_join(c, ",").alias("chosen_ids"), F.array_join(j, ",").alias("rejected_ids"))
+    vocabulary = materialize(_vocabulary(spark, sf_dir), "vocabulary")
+    pr = P.one_pair(merged(spark, sf_dir, "r2")["ranked"], seed=7)
+    tokens = V.encode(pr, ["split", "id"], {"p": V.split_words(T.add_system_prompt("prompt"), last=MAX_LEN),
+                                            "c": V.split_words("chosen", first=MAX_LEN // 2),
+                                            "r": V.split_words("rejected", first=MAX_LEN // 2)},
+                      vocabulary, OOV_ID, FIRST_ID)
+    p, c, j = T.truncate_pair_tokens("p", "c", "r", MAX_LEN, EOS_ID)
+    return tokens.select("split", "id", F.array_join(p, ",").alias("prompt_ids"),
+                         F.array_join(c, ",").alias("chosen_ids"), F.array_join(j, ",").alias("rejected_ids"))
