@@ -13,12 +13,18 @@ precision.
 Equal vectors are filed once with their 21 smallest ids: as ties go to the
 smaller id, no other copy can be among the 20 nearest. Queries with equal
 vectors are searched once. So a vector that a third of all rows share costs
-as much as any other. Leaves meet their queries in groups of bounded size;
-each group keeps the best of its own candidates before the last shuffle.
-
-Defined results: vectors that are null, zero, of another length than the most
-frequent one, or with null or non-finite components take no part, as queries
-and as candidates; a query's own row is no candidate, its copies are; with
+as much as any other. Leaves meet their queries in groups of bounded size: a
+group holds one part of the rows of some leaves (``ROWS_PER_GROUP``; large
+leaves are cut by a hash of the id) and one block of the queries
+(``QUERIES_PER_GROUP``), ranks them in matrix products of bounded size and keeps
+the best of its own candidates before the last shuffle. Rows are copied to the
+blocks of queries; as each query opens a share of all leaves, work grows with
+rows times queries.
+
+Defined results: vectors that are null, zero, or with null or non-finite
+components take no part, as queries and as candidates; an inner product needs
+two vectors of one length, so the vectors of each length are searched among
+themselves; a query's own row is no candidate, its copies are; with
 fewer candidates than ``k`` all are returned; repeated ids count once per
 vector; an empty table gives an empty result; other columns are dropped.
 """
@@ -42,6 +48,8 @@ SAMPLE_ROWS = 100_000
 SEARCH_SHARE = 0.14
 SEARCH_LEAST = 12_000
 ROWS_PER_GROUP = 65_536
+QUERIES_PER_GROUP = 16_384
+PRODUCT_CELLS = 4_000_000
 LEAST_GROUPS = 16
 
 
@@ -139,7 +147,12 @@ class Best:
         self.pending = 0
 
     def add(self, who: np.ndarray, start: int, end: int) -> None:
-        """Rank the rows from ``start`` to ``end`` for the queries ``who``."""
+        """Rank the rows from ``start`` to ``end`` for the queries ``who``, in products of bounded size."""
+        step = max(1, PRODUCT_CELLS // max(1, len(who)))
+        for at in range(start, end, step):
+            self._add(who, at, min(end, at + step))
+
+    def _add(self, who: np.ndarray, start: int, end: int) -> None:
         rough = self.b[who] @ self.a[start:end].T
         bound = self.bound[who]
         q, r = np.nonzero(rough >= (bound - 1e-9 * np.maximum(1, np.abs(bound)))[:, None])
@@ -170,16 +183,27 @@ class Best:
 
 
 def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = TREES,
-            search_share: float = SEARCH_SHARE, search_least: int = SEARCH_LEAST, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """query_id, rank, id, score for the rows on which ``is_query`` (a condition on the id) holds."""
+            search_share: float = SEARCH_SHARE, search_least: int = SEARCH_LEAST, sample_rows: int = SAMPLE_ROWS,
+            rows_per_group: int = ROWS_PER_GROUP, queries_per_group: int = QUERIES_PER_GROUP) -> DataFrame:
+    """query_id, rank, id, score for the rows on which ``is_query`` (a condition on the id) holds.
+
+    One search for each length of vectors that occurs.
+    """
     spark = vectors.sparkSession
     kind = vectors.schema[id_col].dataType.simpleString()
     rows = usable(vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id is not null"), "v")
-    length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    empty = spark.createDataFrame([], f"query_id {kind}, rank int, {id_col} {kind}, score double")
-    if length is None:
-        return empty
-    rows = rows.where(F.size("v") == length.n)
+    lengths = sorted(r.n for r in rows.select(F.size("v").alias("n")).distinct().collect())  # one number a length
+    out = spark.createDataFrame([], f"query_id {kind}, rank int, {id_col} {kind}, score double")
+    for i, n in enumerate(lengths):
+        part = _nearest(rows.where(F.size("v") == n), is_query, k, kind, trees, search_share, search_least, sample_rows,
+                        rows_per_group, queries_per_group).withColumnRenamed("id", id_col)
+        out = part if i == 0 else out.unionByName(part)
+    return out
+
+
+def _nearest(rows: DataFrame, is_query, k, kind, trees, search_share, search_least, sample_rows, rows_per_group, queries_per_group) -> DataFrame:
+    """query_id, rank, id, score among rows (id, v) of one length."""
+    spark = rows.sparkSession
     # The limit is applied before the shuffle too (window group limit), so copies are thinned where they are read.
     w = Window.partitionBy("v").orderBy("id")
     kept = materialize(rows.distinct().withColumn("n", F.row_number().over(w)).where(F.col("n") <= k + 1)
@@ -199,7 +223,7 @@ def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", ve
     forest = pickle.loads(bytes(different.where(u < min(1.0, sample_rows / total)).select("key", "v").repartition(1)
                                 .mapInPandas(grow, "m binary").first().m))
     shared = spark.sparkContext.broadcast(forest)  # bounded by the sample: about 2 * sample / leaf directions per tree
-    n_groups = max(LEAST_GROUPS, math.ceil(total * trees / ROWS_PER_GROUP))
+    n_groups = max(LEAST_GROUPS, math.ceil(total * trees / rows_per_group))
     leaves = int(forest.first[-1])
     group_of = lambda leaf: leaf * n_groups // max(1, leaves)
 
@@ -214,6 +238,8 @@ def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", ve
     index = materialize(index, "ann-index")
     counted = {r.leaf: r["count"] for r in index.groupBy("leaf").count().collect()}  # one number a leaf
     want = max(search_least, math.ceil(search_share * sum(counted.values())))
+    held = np.bincount([group_of(x) for x in counted], weights=list(counted.values()), minlength=n_groups) if counted else np.zeros(1)
+    n_parts = max(1, math.ceil(held.max() / (4 * rows_per_group)))  # leaves that outgrew the sample's are cut by id
     sizes = spark.sparkContext.broadcast(np.array([counted.get(i, 0) for i in range(leaves)], np.int64))
 
     def visit(frames):
@@ -232,7 +258,7 @@ def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", ve
 
     vkey = F.substring(F.sha2(F.concat_ws(",", F.transform("v", lambda x: x.cast("string"))), 256), 1, 32)
     asked = materialize(queries.withColumn("q", vkey), "ann-queries")
-    visits = (asked.groupBy("q").agg(F.min("v").alias("v")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "q")
+    found = (asked.groupBy("q").agg(F.min("v").alias("v")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "q")
               .mapInPandas(visit, "g int, q string, v array<double>, leaves array<int>"))
 
     def rank(rows, asked):
@@ -256,7 +282,12 @@ def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", ve
         q, r, score = top.shrink()
         return pd.DataFrame({"q": asked["q"].to_numpy()[q], "id": ids[r], "score": score})
 
-    hits = (index.groupBy("g").cogroup(visits.groupBy("g"))
+    n_blocks = max(1, math.ceil(asked.select("q").distinct().count() / queries_per_group))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    visits = found.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(n_blocks)).cast("int")).withColumn("part", numbers(n_parts))
+    filed = index.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n_parts)).cast("int")).withColumn("block", numbers(n_blocks))
+    meet = ["g", "part", "block"]
+    hits = (filed.groupBy(*meet).cogroup(visits.groupBy(*meet))
             .applyInPandas(rank, f"q string, id {kind}, score double"))
     order = [F.desc("score"), F.col("id")]
     top = (hits.distinct().withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(*order)))
@@ -264,7 +295,7 @@ def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", ve
     per = Window.partitionBy("query_id").orderBy(*order)
     return (asked.select(F.col("id").alias("query_id"), "q").join(top, "q").where("query_id != id")
             .withColumn("rank", F.row_number().over(per).cast("int")).where(F.col("rank") <= k)
-            .select("query_id", "rank", F.col("id").alias(id_col), "score"))
+            .select("query_id", "rank", "id", "score"))
 
 
 @register("op4_rp_forest")
