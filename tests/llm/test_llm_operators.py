@@ -480,3 +480,29 @@ def test_pages_table(shipped):
         got = sorted((r.page_id, r.text) for r in html_text.extract_pages(pages, max_broadcast=limit).collect())
         assert got == [(1, "T\nhello"), (1, "T\nhello"), (2, ""), (3, "")]
     assert html_text.extract_pages(pages.limit(0)).count() == 0
+
+
+def test_wrappers_are_learnt_from_every_different_page(shipped):
+    import json
+    head = lambda i: f"<div class=date>{'Posted today' if i % 20 else f'Posted {i}'}</div>"
+    rows = [(i, "http://h.x/p", f"<body><div class=main>{head(i)}<p>{'usual words ' * 9}{i}</p><p>more</p></div></body>") for i in range(100)]
+    rows += rows[:40] + [(200, "http://one.x/", "<body><p>alone</p></body>"), (201, "http://one.x/", None), (202, "http://none.x/", "")]
+    pages = shipped.createDataFrame(rows, "page_id long, url string, html string")
+    seen = []
+    for parts, fan_in in ((1, 64), (5, 4)):
+        learnt = html_text.learn_wrappers(pages.repartition(parts), fan_in=fan_in).collect()
+        seen.append({r.host: json.loads(r.wrapper) for r in learnt})
+        assert {h: w["pages"] for h, w in seen[-1].items()} == {"h.x": 100, "one.x": 1}
+        assert seen[-1]["h.x"]["main"] == "body/div.main" and seen[-1]["h.x"]["fixed"] == ["Posted today"]
+    got = {r.page_id: r.text for r in html_text.extract_pages(pages, fan_in=4).collect()}
+    assert all(got[i] == ("" if i % 20 else f"Posted {i}\n") + f"{'usual words ' * 9}{i}\nmore" for i in range(100))
+
+
+def test_bounded_wrappers_leave_no_text_out(monkeypatch):
+    monkeypatch.setattr(html_text, "MAX_ALIGN_TOKENS", 20)
+    long = "<body>" + "".join(f"<div class=r><div class=c{i}><div>{'text ' * (i % 7 + 1)}</div></div></div>" for i in range(90)) + "</body>"
+    tokens = html_text.stream(html_text.blocks(long))
+    held = html_text.bounded(tokens)
+    assert len(tokens) == 90 and len(held) <= 20 and sum(t["chars"] for t in held) == sum(t["chars"] for t in tokens)
+    assert html_text.infer([page("<p>a</p>"), long, long + " "])["pages"] == 3
+    assert html_text.mark("x" * 65) != html_text.mark("x" * 66) and html_text.mark("x" * 64) == "x" * 64
