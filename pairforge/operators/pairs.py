@@ -57,24 +57,37 @@ def _cross_in_blocks(left: DataFrame, right: DataFrame, l_rank: str, r_rank: str
     return lb.join(rb, [*TASK, "_lb", "_rb"]).drop("_lb", "_rb")
 
 
-def all_pairs(ranked: DataFrame, with_problem: bool = True, block: int = PAIR_BLOCK) -> DataFrame:
+def _of_answer(per_answer: dict[str, Column] | None, side: str) -> list[Column]:
+    return [c.alias(f"{side}_{name}") for name, c in (per_answer or {}).items()]
+
+
+def _names(per_answer: dict[str, Column] | None) -> list[str]:
+    return [f"{side}_{name}" for side in ("chosen", "rejected") for name in per_answer or {}]
+
+
+def all_pairs(ranked: DataFrame, with_problem: bool = True, block: int = PAIR_BLOCK,
+              per_answer: dict[str, Column] | None = None) -> DataFrame:
     """Every passing answer x every failing answer of a task.
 
     The output has n_pass * n_fail rows per task by definition;
     ``pair_pos`` = chosen position * n_fail + rejected position is the
-    reference emission order (chosen outer, rejected inner).
+    reference emission order (chosen outer, rejected inner). ``per_answer``
+    (name -> expression of ``ranked``) adds ``chosen_<name>`` and
+    ``rejected_<name>``, worked out once for an answer and not for each of its
+    pairs; where only these are used, no text is copied to a pair.
     """
     c = passes(ranked).select(*TASK, "prompt", "n_pass", "n_fail",
                               F.col("side_rank").alias("c_pos"), F.col("answer").alias("chosen"),
-                              F.col("answer_id").alias("chosen_id"))
+                              F.col("answer_id").alias("chosen_id"), *_of_answer(per_answer, "chosen"))
     r = failures(ranked).select(*TASK, "n_pass", F.col("side_rank").alias("r_pos"),
-                                F.col("answer").alias("rejected"), F.col("answer_id").alias("rejected_id"))
+                                F.col("answer").alias("rejected"), F.col("answer_id").alias("rejected_id"),
+                                *_of_answer(per_answer, "rejected"))
     j = _cross_in_blocks(c, r, "c_pos", "r_pos", "n_pass", "n_fail", block)
     cols = ["split", F.col("task_id").alias("id")]
     if with_problem:
         cols.append(F.col("prompt").alias("problem"))
     cols += [F.col("prompt"), "chosen", "rejected", "chosen_id", "rejected_id",
-             (F.col("c_pos") * F.col("n_fail") + F.col("r_pos")).alias("pair_pos")]
+             (F.col("c_pos") * F.col("n_fail") + F.col("r_pos")).alias("pair_pos"), *_names(per_answer)]
     return j.select(*cols)
 
 
@@ -143,25 +156,26 @@ def pair_range(ranked: DataFrame | RankedStore, split: str, start, end) -> DataF
                        "chosen_id", "rejected_id", "pair_pos", "pair_no")
 
 
-def curriculum_pairs(ranked: DataFrame, increase: bool = True, block: int = PAIR_BLOCK) -> DataFrame:
+def curriculum_pairs(ranked: DataFrame, increase: bool = True, block: int = PAIR_BLOCK,
+                     per_answer: dict[str, Column] | None = None) -> DataFrame:
     """All pairs in curriculum order: passes and failures sorted by error
     frequency (ascending or descending, ties in rank order); ``pair_pos``
-    gives the order."""
+    gives the order. ``per_answer`` as in :func:`all_pairs`."""
     c = passes(ranked).select(*TASK, "prompt", "n_pass", "n_fail",
                               F.col("side_rank").alias("c_pos"), F.col("answer").alias("chosen"),
-                              F.col("answer_id").alias("chosen_id"))
-    f = failures(ranked)
+                              F.col("answer_id").alias("chosen_id"), *_of_answer(per_answer, "chosen"))
+    f = failures(ranked).withColumns({f"_{n}": e for n, e in (per_answer or {}).items()})
     if increase:
         f = f.withColumn("r_pos", F.col("side_rank"))
     else:
         f = group_rank(f, TASK, [("error_frequency", False), ("side_rank", True)], name="r_pos",
                        blocks=[(F.col("error_frequency"), False), steps("side_rank")])
     r = f.select(*TASK, "n_pass", "r_pos", F.col("answer").alias("rejected"),
-                 F.col("answer_id").alias("rejected_id"))
+                 F.col("answer_id").alias("rejected_id"), *[F.col(f"_{n}").alias(f"rejected_{n}") for n in per_answer or {}])
     j = _cross_in_blocks(c, r, "c_pos", "r_pos", "n_pass", "n_fail", block)
     return j.select("split", F.col("task_id").alias("id"), F.col("prompt").alias("problem"), "prompt",
                     "chosen", "rejected", "chosen_id", "rejected_id",
-                    (F.col("c_pos") * F.col("n_fail") + F.col("r_pos")).alias("pair_pos"))
+                    (F.col("c_pos") * F.col("n_fail") + F.col("r_pos")).alias("pair_pos"), *_names(per_answer))
 
 
 def one_pair(ranked: DataFrame, seed: int = 0) -> DataFrame:

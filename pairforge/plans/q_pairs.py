@@ -14,9 +14,13 @@ SYS_HEAD, SYS_TAIL = (sql_literal(part) for part in SYSTEM_PROMPT.split("{}"))
 SFT_QUESTION, SFT_ANSWER = (sql_literal(part) for part in SFT_TEMPLATE)
 
 
+def _md5():
+    """The digest of an answer, worked out once for all its pairs."""
+    return {"md5": F.md5("answer")}
+
+
 def _pair_cols(df):
-    return df.select("split", "id", "problem", "prompt", F.md5("chosen").alias("chosen_md5"),
-                     F.md5("rejected").alias("rejected_md5"), "chosen_id", "rejected_id", "pair_pos")
+    return df.select("split", "id", "problem", "prompt", "chosen_md5", "rejected_md5", "chosen_id", "rejected_id", "pair_pos")
 
 
 _ALL_PAIRS_SQL = R2_MERGE + """
@@ -30,7 +34,7 @@ WHERE c.is_pass AND NOT r.is_pass
 
 @register("all_pairs", _ALL_PAIRS_SQL)
 def all_pairs(spark, sf_dir):
-    return _pair_cols(P.all_pairs(stage_merge(spark, sf_dir, "r2")["ranked"]))
+    return _pair_cols(P.all_pairs(stage_merge(spark, sf_dir, "r2")["ranked"], per_answer=_md5()))
 
 
 @register("all_pairs_compact", R2_MERGE + """
@@ -40,9 +44,8 @@ FROM ranked c JOIN ranked r ON c.split = r.split AND c.task_id = r.task_id
 WHERE c.is_pass AND NOT r.is_pass
 """)
 def all_pairs_compact(spark, sf_dir):
-    p = P.all_pairs(stage_merge(spark, sf_dir, "r2")["ranked"], with_problem=False)
-    return p.select("split", "id", "prompt", F.md5("chosen").alias("chosen_md5"),
-                    F.md5("rejected").alias("rejected_md5"), "pair_pos")
+    p = P.all_pairs(stage_merge(spark, sf_dir, "r2")["ranked"], with_problem=False, per_answer=_md5())
+    return p.select("split", "id", "prompt", "chosen_md5", "rejected_md5", "pair_pos")
 
 
 @register("all_pairs_runs", O.merge_over("SELECT * FROM r1", ("r1", O.R1)) + """
@@ -53,12 +56,12 @@ FROM ranked c JOIN ranked r ON c.split = r.split AND c.task_id = r.task_id
 WHERE c.is_pass AND NOT r.is_pass
 """)
 def all_pairs_runs(spark, sf_dir):
-    return _pair_cols(P.all_pairs(stage_merge(spark, sf_dir, "r1")["ranked"]))
+    return _pair_cols(P.all_pairs(stage_merge(spark, sf_dir, "r1")["ranked"], per_answer=_md5()))
 
 
 @register("curriculum_pairs", _ALL_PAIRS_SQL)
 def curriculum_pairs(spark, sf_dir):
-    return _pair_cols(P.curriculum_pairs(stage_merge(spark, sf_dir, "r2")["ranked"], increase=True))
+    return _pair_cols(P.curriculum_pairs(stage_merge(spark, sf_dir, "r2")["ranked"], increase=True, per_answer=_md5()))
 
 
 @register("curriculum_pairs_desc", R2_MERGE + """
@@ -71,7 +74,7 @@ FROM ranked c JOIN rf r ON c.split = r.split AND c.task_id = r.task_id
 WHERE c.is_pass
 """)
 def curriculum_pairs_desc(spark, sf_dir):
-    return _pair_cols(P.curriculum_pairs(stage_merge(spark, sf_dir, "r2")["ranked"], increase=False))
+    return _pair_cols(P.curriculum_pairs(stage_merge(spark, sf_dir, "r2")["ranked"], increase=False, per_answer=_md5()))
 
 
 _TASKS_SQL = ", tasks AS (SELECT DISTINCT split, task_id, prompt, n_pass, n_fail FROM ranked)"

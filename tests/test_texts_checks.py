@@ -192,3 +192,18 @@ def test_samples_problems_and_files_without_broken_lines(spark):
         f.write(json.dumps(GOOD) + "\n{\n")
     got = IO.read_runs_per_file(spark, os.path.join(d, "*", "runs", "*.json"), aside).collect()
     assert [(r.split, r.check_id, r.task_id) for r in got] == [("train", 4, "1")]
+
+
+def test_pairs_take_an_answers_digest_from_its_row(spark):
+    rows = [("train", f"t{t}", "p", i, i, f"answer {t} {i}", i < 3, i if i < 3 else i - 3, 3, 4, 0.0 if i < 3 else 0.5 - i / 100)
+            for t in range(3) for i in range(7)]
+    ranked = spark.createDataFrame(rows, "split string, task_id string, prompt string, answer_id long, rank long, answer string, "
+                                         "is_pass boolean, side_rank long, n_pass long, n_fail long, error_frequency double")
+    md5 = {"md5": F.md5("answer")}
+    for pairs in (P.all_pairs(ranked, per_answer=md5, block=2), P.curriculum_pairs(ranked, per_answer=md5),
+                  P.curriculum_pairs(ranked, increase=False, per_answer=md5)):
+        assert pairs.count() == 36
+        assert pairs.where((F.md5("chosen") != F.col("chosen_md5")) | (F.md5("rejected") != F.col("rejected_md5"))).count() == 0
+        plan = pairs.select("id", "chosen_md5", "rejected_md5", "pair_pos")._jdf.queryExecution().optimizedPlan().toString()
+        above, join, below = plan.partition("Join")
+        assert join and "md5(" not in above and below.count("md5(") == 2
