@@ -43,12 +43,12 @@ def quarantined_runs(spark, sf_dir):
     runs = X.r1_runs(spark, sf_dir)
     line = F.to_json(F.struct(*[c for c in RUN_COLS if c != "split"], "avg_time", "std_time"))
     cut = F.when(F.col("event_id") % 97 == 0, F.substr(line, F.lit(1), F.floor(F.length(line) / 2).cast("int"))).otherwise(line)
-    files = runs.select(cut.alias("value"), "split", F.lit(0).alias("check_id")).repartition("split")
-    files.write.partitionBy("split", "check_id").text(path)
+    IO.write_run_lines(runs.select(cut.alias("value"), "split", F.lit(0).alias("check_id")), path)
     good = IO.read_runs(spark, path, quarantine_path=aside)
     counts = good.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("output") == "passed").alias("n_pass"),
                                        F.countDistinct("task_id").alias("n_tasks"))
-    broken = (IO.quarantined(spark, aside).groupBy(F.regexp_extract("file", "split=([^/]+)/", 1).alias("split"))
+    # A verdict file is a folder of part files, one per (split, check).
+    broken = (IO.quarantined_runs(spark, aside).groupBy(F.regexp_extract("run", "split=([^/]+)/", 1).alias("split"))
               .agg(F.sum("n_lines").alias("n_broken"), F.count(F.lit(1)).alias("n_files")))
     return counts.join(broken, "split")
 

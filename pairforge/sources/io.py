@@ -68,6 +68,12 @@ def quarantined(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("source", "file").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
+def quarantined_runs(spark: SparkSession, path: str) -> DataFrame:
+    """Broken lines per source and ``run``, the folder of a run's part files, with the part files that have any."""
+    return (quarantined(spark, path).groupBy("source", F.regexp_extract("file", "^(.*)/[^/]*$", 1).alias("run"))
+            .agg(F.sum("n_lines").alias("n_lines"), F.count(F.lit(1)).alias("n_parts")))
+
+
 def _read_json(spark: SparkSession, path: str, schema: T.StructType, quarantine_path: str | None) -> DataFrame:
     """JSON lines of ``schema`` (with ``_file``). A broken line stops the read, or is put aside where a quarantine is named."""
     if quarantine_path is None:
@@ -141,6 +147,12 @@ def write_runs(df: DataFrame, path: str) -> None:
     replace_partitions(df.select(*cols, "split", "check_id"), "split", "check_id").json(path)
 
 
+def write_run_lines(lines: DataFrame, path: str) -> None:
+    """Verdict lines as they are (``value``), one folder per (split, check) with a part file for each task that has
+    rows of it: no split is brought into one task."""
+    replace_partitions(lines.select("value", "split", "check_id"), "split", "check_id").text(path)
+
+
 def read_runs(spark: SparkSession, path: str, splits=None, quarantine_path: str | None = None) -> DataFrame:
     """All checks of all (or the given) splits in one scan; the union of checks.
 

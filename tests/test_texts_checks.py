@@ -207,3 +207,14 @@ def test_pairs_take_an_answers_digest_from_its_row(spark):
         plan = pairs.select("id", "chosen_md5", "rejected_md5", "pair_pos")._jdf.queryExecution().optimizedPlan().toString()
         above, join, below = plan.partition("Join")
         assert join and "md5(" not in above and below.count("md5(") == 2
+
+
+def test_lines_of_a_split_are_written_by_the_tasks_that_have_them(spark):
+    path, aside = scratch_path(spark, "t-lines"), scratch_path(spark, "t-aside")
+    lines = spark.range(0, 400, 1, 4).select(F.when(F.col("id") % 100 == 7, '{"task_id": "1').otherwise('{"task_id": "1"}').alias("value"),
+                                             F.when(F.col("id") % 2 == 0, "train").otherwise("test").alias("split"), F.lit(0).alias("check_id"))
+    IO.write_run_lines(lines, path)
+    assert len([f for f in os.listdir(f"{path.removeprefix('file:')}/split=test/check_id=0") if f.startswith("part-")]) == 4
+    assert IO.read_runs(spark, path, quarantine_path=aside).groupBy("split").count().orderBy("split").collect() == [("test", 196), ("train", 200)]
+    got = IO.quarantined_runs(spark, aside).collect()
+    assert [(r.run.endswith("/split=test/check_id=0"), r.n_lines, r.n_parts) for r in got] == [(True, 4, 4)]
