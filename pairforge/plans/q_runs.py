@@ -16,13 +16,19 @@ TIMING_LIMIT = 0.5
 TIMEOUT_LIMIT = 20.0
 
 
-def props_verifier(row):
-    """R4 verifier: the answer is JSON with a number k; k < 10 and k >= 90 fail."""
+def props_number(row):
+    """The number k of an answer, which is JSON; k < 10 and k >= 90 fail."""
     k = json.loads(row["answer"])["k"]
     if k < 10:
         raise ValueError(f"k={k} too small")
     if k >= 90:
         raise KeyError(f"k={k}")
+    return k
+
+
+def props_verifier(row):
+    """R4 verifier (see ``props_number``)."""
+    props_number(row)
 
 
 @register("annotate", O.with_ctes(("r4", O.R4)) + """

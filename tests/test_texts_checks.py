@@ -218,3 +218,16 @@ def test_lines_of_a_split_are_written_by_the_tasks_that_have_them(spark):
     assert IO.read_runs(spark, path, quarantine_path=aside).groupBy("split").count().orderBy("split").collect() == [("test", 196), ("train", 200)]
     got = IO.quarantined_runs(spark, aside).collect()
     assert [(r.run.endswith("/split=test/check_id=0"), r.n_lines, r.n_parts) for r in got] == [(True, 4, 4)]
+
+
+def test_a_verifier_of_rounds_reads_its_answer_once_a_call(monkeypatch):
+    from pairforge.operators.annotate import timed_rounds
+    from pairforge.plans import q_more
+    read, loads = [], json.loads
+    monkeypatch.setattr(json, "loads", lambda s: read.append(s) or loads(s))
+    row = {"task_id": "1", "answer_id": 2, "rounds_before": 0, "answer": '{"k": 50}'}
+    for verifier, reps in ((q_more.timed_verifier(), q_more.REPS), (q_more.resumed_verifier(), 10)):
+        read.clear()
+        mean, std, n = timed_rounds(lambda v=verifier: v(row), 3, reps, 0.1)
+        assert len(read) == n * reps and n == 3
+        assert (mean, std) == ((51000, 0) if reps == q_more.REPS else (2000, 1000))
