@@ -80,7 +80,10 @@ def score(averaged: DataFrame, freq: DataFrame, lengths: DataFrame | None = None
     """
     lens = lengths if lengths is not None else max_length(averaged)
     per_split = lens.agg(F.map_from_entries(F.collect_list(F.struct("split", "max_length")))).scalar()
-    scored = (averaged.join(freq, ["split", "task_id", "error_type"], "left")
+    # Led by its hash, the key is mostly compared by that where the join sorts.
+    key = ["split", "task_id", "error_type"]
+    hashed = lambda df: df.withColumn("_pf_h", F.xxhash64(*key))
+    scored = (hashed(averaged).join(hashed(freq), ["_pf_h", *key], "left").select(*averaged.columns, "frequency")
                       .withColumn("max_length", F.element_at(per_split, F.col("split"))))
     ef = (F.when(F.col("error_type") == "", F.lit(PASS_SCALAR))
            .otherwise(F.coalesce(F.col("frequency"), F.lit(float("inf")))))
@@ -103,12 +106,12 @@ def dedupe_keep_best(scored: DataFrame, scope: str = "split") -> DataFrame:
     # A 64-bit hash of the text leads the key: the sort-based aggregate then
     # compares long texts only on hash ties; the text itself keeps it exact.
     keyed = scored.withColumn("_pf_h", F.xxhash64("answer"))
-    order = task_order_key() + [F.col("error_frequency"), F.col("answer_length"),
-                                F.col("answer_id"), F.col("output")]
-    order_names = ["_k0", "_k1", "_k2", "_k3", "_k4", "_k5", "_k6"]
+    # The order's own columns are read back from it, so a row's values go once.
+    numeric, number, _ = task_order_key()
+    order = ["task_id", "error_frequency", "answer_length", "answer_id", "output"]
     payload = [c for c in scored.columns if c not in by]
-    best = F.min(F.struct(*[o.alias(n) for o, n in zip(order, order_names)],
-                          *[F.col(c) for c in payload])).alias("_best")
+    rest = [c for c in payload if c not in order]
+    best = F.min(F.struct(numeric.alias("_k0"), number.alias("_k1"), *order, *rest)).alias("_best")
     return (keyed.groupBy("_pf_h", *by).agg(best)
                  .select(*by, *[F.col(f"_best.{c}").alias(c) for c in payload])
                  .select(*scored.columns))
@@ -326,9 +329,9 @@ class _Slim:
 
     @property
     def scored(self):
-        raw = self._m.raw
+        texts = self._m._source  # a length needs no digest
         return self._get("scored", lambda: score(
-            self.averaged, self._m.frequency, max_length(raw.dropna(subset=[k for k in CHECK_KEYS if k in raw.columns]))))
+            self.averaged, self._m.frequency, max_length(texts.dropna(subset=[k for k in CHECK_KEYS if k in texts.columns]))))
 
     @property
     def deduped(self):

@@ -6,8 +6,11 @@ group to one task. Here the caller also names *blocks*: leading columns of
 the order, or monotone steps of them, so that one block of one group stays
 small (for example ``steps("pos", 65536)``). Rows are numbered per (group,
 block), and the blocks' row counts, partially aggregated, give each block's
-offset. The same plan holds at every size, nothing is written or sampled,
-and positions depend on the rows alone.
+offset. A block goes by one struct, which holds nulls and equals its like, led
+by its 64-bit hash: rows are then shuffled and sorted once, for the numbering
+and for the join with the offsets, and mostly compared by the hash. The same
+plan holds at every size, nothing is written or sampled, and positions depend
+on the rows alone.
 """
 
 from __future__ import annotations
@@ -42,18 +45,14 @@ def group_rank(df: DataFrame, group_cols: list[str], order_cols: list, name: str
         return df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
     pairs = [b if isinstance(b, tuple) else (b, True) for b in blocks]
     names = [f"_pf_b{i}" for i in range(len(pairs))]
+    keys = [*group_cols, *names]
+    block = {"_pf_h": F.xxhash64(*keys), "_pf_block": F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])}
     cut = df.withColumns(dict(zip(names, [c for c, _ in pairs])))
-    sizes = cut.groupBy(*group_cols, *names).agg(F.count(F.lit(1)).alias("_pf_n"))
+    sizes = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("_pf_n"))
     before = (Window.partitionBy(*group_cols).orderBy(*_order([(n, up) for n, (_, up) in zip(names, pairs)]))
               .rowsBetween(Window.unboundedPreceding, -1))
-    keys = [*group_cols, *names]
-    offsets = sizes.select(*[F.col(k).alias(f"_o{i}") for i, k in enumerate(keys)],
-                           F.coalesce(F.sum("_pf_n").over(before), F.lit(0)).alias("_pf_off"))
-    w = Window.partitionBy(*keys).orderBy(*_order(order_cols))
-    same = [F.col(k).eqNullSafe(F.col(f"_o{i}")) for i, k in enumerate(keys)]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
-    return (cut.withColumn("_pf_r", F.row_number().over(w) - 1).join(offsets, on)
+    offsets = sizes.select(*[c.alias(n) for n, c in block.items()], F.coalesce(F.sum("_pf_n").over(before), F.lit(0)).alias("_pf_off"))
+    w = Window.partitionBy(*block).orderBy(*_order(order_cols))
+    return (cut.withColumns(block).drop(*names).withColumn("_pf_r", F.row_number().over(w) - 1).join(offsets, [*block])
                .withColumn(name, (F.col("_pf_r") + F.col("_pf_off")).cast("long"))
-               .drop("_pf_r", "_pf_off", *names, *[f"_o{i}" for i in range(len(keys))]))
+               .drop("_pf_r", "_pf_off", *block))

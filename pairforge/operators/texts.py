@@ -13,6 +13,8 @@ texts it does not have yet are added.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,9 +34,12 @@ def with_digests(df: DataFrame, columns=("prompt", "answer"), lengths=("answer",
 
 
 def dictionary(df: DataFrame, columns=("prompt", "answer")) -> DataFrame:
-    """(digest, text), one row per distinct text of the columns; an error where two texts share a digest."""
-    rows = df.select(F.explode(F.array(*[F.col(c) for c in columns])).alias("text")).select(digest("text").alias("digest"), "text")
-    both = rows.where("digest is not null").groupBy("digest").agg(F.min("text").alias("_a"), F.max("text").alias("_b"))
+    """(digest, text), one row per distinct text of the columns; an error where two texts share a digest.
+
+    Copies go first, by hash and before the shuffle; digests are worked out and compared for different texts alone.
+    """
+    rows = reduce(DataFrame.union, [df.select(F.col(c).alias("text")).where("text is not null").distinct() for c in columns])
+    both = rows.select(digest("text").alias("digest"), "text").groupBy("digest").agg(F.min("text").alias("_a"), F.max("text").alias("_b"))
     return both.select("digest", F.when(F.col("_a") == F.col("_b"), F.col("_a"))
                        .otherwise(F.raise_error(F.lit("two texts share a digest"))).alias("text"))
 
