@@ -395,7 +395,8 @@ def classes(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id",
     # Numbered in blocks, so that a component of any size is spread over tasks.
     large = group_rank(members.join(counts.where(F.col("c") > TILE), "comp"), ["comp"], ["size", "sid"], "n",
                        blocks=[F.col("size"), steps("sid")])
-    large = large.withColumn("i", F.floor(F.col("n") / TILE).cast("int")).drop("n")
+    # Written, as the bands, the other bands and the tiles below all read it.
+    large = materialize(large.select("sid", "size", "comp", F.floor(F.col("n") / TILE).cast("int").alias("i")), "jaccard-large")
     bands = large.groupBy("comp", "i").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
     other = bands.select("comp", F.col("i").alias("j"), F.col("lo").alias("lo2"))
     pairs = bands.join(other, "comp").where(f"i <= j and hi * {den} >= lo2 * {num}").select("comp", "i", "j")

@@ -22,6 +22,7 @@ an empty result; other columns are not read. The law is ``bytes``.
 
 from __future__ import annotations
 
+import json
 import math
 from bisect import bisect_right
 
@@ -47,21 +48,25 @@ def key_columns(id_col: str, text_col: str) -> tuple[Column, Column]:
     return F.xxhash64(F.col(text_col)), F.coalesce(own.cast("string").try_cast("long"), F.when(own.isNotNull(), F.xxhash64(own)), F.lit(LOWEST))
 
 
-def _pairs(keys: list[tuple[int, int]]) -> str:
-    lit = lambda v: f"{v}L" if v > LOWEST else f"({LOWEST + 1}L - 1L)"
-    return "array(" + ",".join(f"named_struct('h',{lit(h)},'k',{lit(k)})" for h, k in keys) + ")"
+def constant(value: list, kind: str) -> Column:
+    """A list as one constant of the plan: the optimizer reads it once, and the plan stays short at any length."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
 def range_of(splitters: list[tuple[int, int]], h: str = "_h", k: str = "_k") -> Column:
     """Number of splitters at or below the row's key, by a search in two levels of about sqrt(n) each."""
     if not splitters:
         return F.lit(0)
-    step = max(1, math.isqrt(len(splitters)))
-    low = f"x -> x.h < {h} or (x.h = {h} and x.k <= {k})"
-    coarse = f"size(filter({_pairs(splitters[::step])}, {low}))"
-    blocks = ",".join(_pairs(splitters[i:i + step]) for i in range(0, len(splitters), step))
-    return F.expr(f"case when {coarse} = 0 then 0 else ({coarse} - 1) * {step} + "
-                  f"size(filter(element_at(array({blocks}), {coarse}), {low})) end").cast("int")
+    keys = [{"h": a, "k": b} for a, b in splitters]
+    step = max(1, math.isqrt(len(keys)))
+    pair = "array<struct<h:bigint,k:bigint>>"
+
+    def low(x: Column) -> Column:
+        return (x["h"] < F.col(h)) | ((x["h"] == F.col(h)) & (x["k"] <= F.col(k)))
+
+    block = F.greatest(F.size(F.filter(constant(keys[::step], pair), low)), F.lit(1))
+    blocks = constant([keys[i:i + step] for i in range(0, len(keys), step)], f"array<{pair}>")
+    return ((block - 1) * step + F.size(F.filter(F.element_at(blocks, block), low))).cast("int")
 
 
 def _draw(rows: DataFrame, rate: Column, salt: int) -> list[tuple[int, int]]:
@@ -93,9 +98,8 @@ def find_splitters(rows: DataFrame, shards: int, rows_per_range: int = ROWS_PER_
                 if c > 1 and (b > OVERFULL * mean or c > rows_per_range) and lower[i] not in stuck}
         if not over or salt == ROUNDS:
             break
-        rates = F.create_map(*[F.lit(x) for i, parts in over.items()
-                               for x in (i, float(parts * SAMPLE_PER_RANGE) / stats[i][1])])
-        more = _draw(put.where(F.col("_r").isin(list(over))), rates[F.col("_r")], salt)
+        rates = [float(over[i] * SAMPLE_PER_RANGE) / b if i in over else None for i, (_, b) in enumerate(stats)]
+        more = _draw(put, F.element_at(constant(rates, "array<double>"), F.col("_r") + 1), salt)
         added = []
         for i in over:
             hi = splitters[i] if i < len(splitters) else (math.inf, math.inf)
@@ -120,21 +124,19 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", te
     splitters, stats = find_splitters(rows, shards, rows_per_range)
     total = sum(b for _, b in stats)
     before, at = [], (0, 0)
-    for i, (c, b) in enumerate(stats):
-        before.append((i, at[0], at[1]))
+    for c, b in stats:
+        before.append({"n": at[0], "b": at[1]})
         at = (at[0] + c, at[1] + b)
-    spark = docs.sparkSession
-    offsets = spark.createDataFrame(before, "_r int, _rows long, _bytes long")
+    offset = F.element_at(constant(before, "array<struct<n:bigint,b:bigint>>"), F.col("_r") + 1)
     w = Window.partitionBy("_r").orderBy("_h", "_k")
     placed = (rows.withColumn("_r", range_of(splitters))
               .withColumn("_n", F.row_number().over(w) - 1)
               .withColumn("_b", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-              .join(offsets, "_r")
-              .withColumn("_n", (F.col("_n") + F.col("_rows")).cast("long"))
-              .withColumn("_b", F.col("_b") - F.col("size") + F.col("_bytes"))
+              .withColumn("_n", (F.col("_n") + offset["n"]).cast("long"))
+              .withColumn("_b", F.col("_b") - F.col("size") + offset["b"])
               .withColumn("shard", F.least(F.lit(shards - 1), F.expr(
                   f"((2 * _b + size) * {shards}) div {max(1, 2 * total)}")).cast("int")))
-    placed = materialize(placed.drop("_r", "_rows", "_bytes", "_b"), "shard-places")
+    placed = materialize(placed.drop("_r", "_b"), "shard-places")
     first = placed.groupBy("shard").agg(F.min("_n").alias("_first"))  # one row per shard
     return (placed.join(first, "shard")
             .select(id_col, "size", "text_crc32", F.lit("bytes").alias("law"), "shard",

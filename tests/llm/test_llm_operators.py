@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pairforge.llm import ann, decontam, elias_fano, html_text, jaccard_join, lm, mixing, secret_spans, sharding, toxicity, url_rules
 from pairforge.llm.components import components
+from pairforge.session import materialize
 
 ODD = [None, "", " \n", "one", "one two", "é ñ ß", "a b c d e f g h i j k l m", "a b c d e f g h i j k l m", "x" * 50_000, "word " * 20_000]
 
@@ -240,6 +241,32 @@ def test_range_search_matches_bisect(shipped):
     assert all(g.r == sharding.shard_of((g["_h"], g["_k"]), keys) for g in got)
 
 
+def test_splitters_are_constants_of_a_short_plan(shipped):
+    def nodes(n):
+        keys = [(i * i - n, -i) for i in range(n)]
+        plan = shipped.range(1).selectExpr("id as _h", "id as _k").select(sharding.range_of(keys))._jdf.queryExecution().analyzed()
+        return plan.expressions().apply(0).numberedTreeString().count("\n")
+    assert nodes(400) == nodes(20) < 100
+
+
+def test_plans_of_star_rounds_and_tiles_stay_short(shipped, monkeypatch):
+    from pairforge.llm import components as cc
+    seen = {}
+
+    def noted(df, name):
+        seen[name] = max(seen.get(name, 0), df._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+        return materialize(df, name)
+    monkeypatch.setattr(cc, "materialize", noted)
+    monkeypatch.setattr(jaccard_join, "materialize", noted)
+    monkeypatch.setattr(jaccard_join, "TILE", 4)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base[:30 + i % 3] + base[33:]) for i in range(9)] + [" ".join([*base, f"x{i}"]) for i in range(9)]
+    docs = shipped.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = jaccard_join.near_duplicates(docs, n=1, num=4, den=5).collect()
+    assert len(got) == 18 and {r.component_id for r in got} == {0} and {r.n_links for r in got} == {17}
+    assert 0 < seen["cc"] <= 6 and 0 < seen["jaccard-links"] <= 14
+
+
 # Mixing
 
 def test_period_schedule_meets_deadlines():
