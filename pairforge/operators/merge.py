@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from pairforge.functions.text import PASS_SCALAR, cov, round_ratio
 from pairforge.operators.ranking import group_rank, steps
-from pairforge.operators.texts import dictionary, resolve, with_digests
+from pairforge.operators.texts import dictionary, digest_names, resolve, with_digests
 from pairforge.session import replace_partitions
 
 TASK = ["split", "task_id"]
@@ -240,15 +240,23 @@ class MergeResult:
     ``deduped`` and ``kept`` (with digests) and ``ranked`` (with texts) are the
     stage's durable tables, read several times each: they are written once as Parquet
     under ``spark.checkpoint.dir`` when first asked for and read back, so a lost
-    executor does not force recomputing the stage.
+    executor does not force recomputing the stage. Where ``digested`` names the
+    verdict rows with their answers' digests, so that no text went through the plan
+    that made them, the rows are written, too: averages, frequencies and lengths
+    read them, and each text is digested once.
+
+    ``ranked_md5`` is ``ranked`` with md5 of each answer, in hex, for its text: no
+    answer is shuffled or stored for it.
     """
 
     TEXTS = ("prompt", "answer")
 
     def __init__(self, runs: DataFrame, dedupe_scope: str = "split", min_pass: int = 2,
-                 min_fail: int = 2, materialize: bool = True, raw: DataFrame | None = None):
+                 min_fail: int = 2, materialize: bool = True, raw: DataFrame | None = None,
+                 digested: DataFrame | None = None):
         self._source = runs if raw is None else raw
-        self.runs = with_digests(runs, self.TEXTS)
+        self._digested = digested
+        self.runs = with_digests(runs, self.TEXTS) if digested is None else with_digests(digested, ["prompt"], ())
         self.raw = self.runs if raw is None else with_digests(raw, self.TEXTS)
         self.dedupe_scope, self.min_pass, self.min_fail = dedupe_scope, min_pass, min_fail
         self.materialize = materialize
@@ -272,12 +280,19 @@ class MergeResult:
         one prompt is on very many rows."""
         return self._get("texts", lambda: self._store(dictionary(self._source, [c for c in self.TEXTS if c in self._source.columns]), "texts"))
 
+    @property
+    def rows(self):
+        """The verdict rows with digests; a table where they came with them."""
+        if self._digested is None:
+            return self.runs
+        return self._get("rows", lambda: self._store(self.runs.select(*CHECK_KEYS, "avg_time", "std_time", "answer_chars", "answer_hash"), "rows"))
+
     def _texts(self, df):
         return resolve(df.drop("answer_chars"), self.texts, self.TEXTS)
 
     @property
     def frequency(self):
-        return self._get("frequency", lambda: error_frequency(self.raw))
+        return self._get("frequency", lambda: error_frequency(self.raw if self._digested is None else self.rows))
 
     @property
     def averaged(self):
@@ -299,6 +314,16 @@ class MergeResult:
     def ranked(self):
         return self._get("ranked", lambda: self._store(self._texts(self.slim.ranked), "ranked"))
 
+    @property
+    def ranked_md5(self):
+        def build():
+            prompts = self._store(dictionary(self._source, ["prompt"]), "prompts")
+            hashed = with_digests(self._source, ["answer"], (), ["answer"]) if self._digested is None else self.rows
+            names = self._store(digest_names(hashed), "names")
+            ranked = self.slim.ranked.drop("answer_chars")
+            return self._store(resolve(resolve(ranked, prompts, ["prompt"]), names, ["answer"]), "ranked-md5")
+        return self._get("ranked md5", build)
+
     @property
     def times(self):
         return self._get("times", lambda: time_stats(self.slim.kept))
@@ -325,11 +350,11 @@ class _Slim:
 
     @property
     def averaged(self):
-        return self._get("averaged", lambda: average_checks(self._m.runs))
+        return self._get("averaged", lambda: average_checks(self._m.rows))
 
     @property
     def scored(self):
-        texts = self._m._source  # a length needs no digest
+        texts = self._m._source if self._m._digested is None else self._m.rows  # a length needs no digest
         return self._get("scored", lambda: score(
             self.averaged, self._m.frequency, max_length(texts.dropna(subset=[k for k in CHECK_KEYS if k in texts.columns]))))
 
@@ -353,13 +378,17 @@ class _Slim:
 
 
 def merge_runs(runs: DataFrame, dedupe_scope: str = "split", min_pass: int = 2,
-               min_fail: int = 2, materialize: bool = True, raw: DataFrame | None = None) -> MergeResult:
+               min_fail: int = 2, materialize: bool = True, raw: DataFrame | None = None,
+               digested: DataFrame | None = None) -> MergeResult:
     """The whole merge stage. Tables by name: frequency, averaged, scored,
-    deduped, kept, ranked (the durable flat result), times, report.
+    deduped, kept, ranked (the durable flat result), ranked_md5, times, report.
 
     ``raw`` may name the same rows without computed answer ids: frequencies,
-    lengths and texts, which need none, are then read from it."""
-    return MergeResult(runs, dedupe_scope, min_pass, min_fail, materialize, raw)
+    lengths and texts, which need none, are then read from it. ``digested``
+    may name the same rows with ``answer``, ``answer_chars`` and ``answer_hash``
+    from ``texts.with_digests``: only the dictionary of texts is then read from
+    ``runs``."""
+    return MergeResult(runs, dedupe_scope, min_pass, min_fail, materialize, raw, digested)
 
 
 def nest_answers(ranked: DataFrame, times: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from pairforge.operators.ranking import group_rank, steps
 
 TASK = ["split", "task_id"]
 PAIR_BLOCK = 256
+FEW_BLOCKS, WIDEST = 4, 16
 
 
 def passes(ranked: DataFrame) -> DataFrame:
@@ -39,22 +40,37 @@ def tasks(ranked: DataFrame, extra=()) -> DataFrame:
     return ranked.select(*TASK, "prompt", *[c for c in extra if c != "prompt"], "n_pass", "n_fail").distinct()
 
 
+def _width(count: str, block: int) -> Column:
+    """Rows in a block of a side of ``count`` rows: ``block`` up to FEW_BLOCKS blocks, then wider with the square root
+    of ``count``, up to WIDEST times."""
+    times = F.ceil(F.sqrt(F.col(count) / (FEW_BLOCKS * block)))
+    return F.lit(block) * F.greatest(F.lit(1), F.least(F.lit(WIDEST), times))
+
+
 def _cross_in_blocks(left: DataFrame, right: DataFrame, l_rank: str, r_rank: str,
                      l_count: str, r_count: str, block: int) -> DataFrame:
     """Every (left, right) row pair of the same task via an equi-join on blocks.
 
-    Left rows are cut into blocks of ``block`` by their rank and copied to
-    every block of the right side (and vice versa), so each join key holds
-    at most block x block pairs however large a task is; a small task is a
-    single block and costs what a plain equi-join costs.
+    Left rows are cut into blocks by their rank and copied to every block of
+    the right side (and vice versa), so each join key holds one block x block
+    of pairs however large a task is; a small task is a single block and costs
+    what a plain equi-join costs. A row is copied once for each block of the
+    other side, and blocks widen with their side (``_width``), so a task's
+    copies grow with the power 1.5 of its rows and not with its pairs. Both
+    sides have ``l_count`` and ``r_count``. Copies are few beside the pairs made
+    of them, so they are dealt out to all shuffle partitions by number, which
+    are not merged for having few bytes; and they are more than the tables'
+    sizes tell, so neither side is broadcast.
     """
-    zero = F.lit(0).cast("long")
-    lb = (left.withColumn("_lb", F.floor(F.col(l_rank) / block))
-              .withColumn("_rb", F.explode(F.sequence(zero, F.floor((F.col(r_count) - 1) / block)))))
-    rb = (right.withColumn("_rb", F.floor(F.col(r_rank) / block))
-               .withColumn("_lb", F.explode(F.sequence(zero, F.floor((F.col(l_count) - 1) / block))))
-               .drop(l_count))
-    return lb.join(rb, [*TASK, "_lb", "_rb"]).drop("_lb", "_rb")
+    zero, key = F.lit(0).cast("long"), [*TASK, "_lb", "_rb"]
+    l_width, r_width = _width(l_count, block), _width(r_count, block)
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lb = (left.withColumn("_lb", F.floor(F.col(l_rank) / l_width))
+              .withColumn("_rb", F.explode(F.sequence(zero, F.floor((F.col(r_count) - 1) / r_width)))))
+    rb = (right.withColumn("_rb", F.floor(F.col(r_rank) / r_width))
+               .withColumn("_lb", F.explode(F.sequence(zero, F.floor((F.col(l_count) - 1) / l_width))))
+               .drop(l_count, r_count))
+    return lb.repartition(parts, *key).hint("merge").join(rb.repartition(parts, *key), key).drop("_lb", "_rb")
 
 
 def _of_answer(per_answer: dict[str, Column] | None, side: str) -> list[Column]:
@@ -79,7 +95,7 @@ def all_pairs(ranked: DataFrame, with_problem: bool = True, block: int = PAIR_BL
     c = passes(ranked).select(*TASK, "prompt", "n_pass", "n_fail",
                               F.col("side_rank").alias("c_pos"), F.col("answer").alias("chosen"),
                               F.col("answer_id").alias("chosen_id"), *_of_answer(per_answer, "chosen"))
-    r = failures(ranked).select(*TASK, "n_pass", F.col("side_rank").alias("r_pos"),
+    r = failures(ranked).select(*TASK, "n_pass", "n_fail", F.col("side_rank").alias("r_pos"),
                                 F.col("answer").alias("rejected"), F.col("answer_id").alias("rejected_id"),
                                 *_of_answer(per_answer, "rejected"))
     j = _cross_in_blocks(c, r, "c_pos", "r_pos", "n_pass", "n_fail", block)
@@ -170,7 +186,7 @@ def curriculum_pairs(ranked: DataFrame, increase: bool = True, block: int = PAIR
     else:
         f = group_rank(f, TASK, [("error_frequency", False), ("side_rank", True)], name="r_pos",
                        blocks=[(F.col("error_frequency"), False), steps("side_rank")])
-    r = f.select(*TASK, "n_pass", "r_pos", F.col("answer").alias("rejected"),
+    r = f.select(*TASK, "n_pass", "n_fail", "r_pos", F.col("answer").alias("rejected"),
                  F.col("answer_id").alias("rejected_id"), *[F.col(f"_{n}").alias(f"rejected_{n}") for n in per_answer or {}])
     j = _cross_in_blocks(c, r, "c_pos", "r_pos", "n_pass", "n_fail", block)
     return j.select("split", F.col("task_id").alias("id"), F.col("prompt").alias("problem"), "prompt",

@@ -27,9 +27,11 @@ def digest(text) -> Column:
     return F.unhex(F.md5(F.col(text) if isinstance(text, str) else text))
 
 
-def with_digests(df: DataFrame, columns=("prompt", "answer"), lengths=("answer",)) -> DataFrame:
-    """``df`` with digests in place of the text columns, and the length of those in ``lengths`` as ``<column>_chars``."""
+def with_digests(df: DataFrame, columns=("prompt", "answer"), lengths=("answer",), hashes=()) -> DataFrame:
+    """``df`` with digests in place of the text columns, the length of those in ``lengths`` as ``<column>_chars`` and a
+    64-bit hash of those in ``hashes`` as ``<column>_hash``."""
     out = {f"{c}_chars": F.length(c).cast("long") for c in lengths if c in df.columns}
+    out |= {f"{c}_hash": F.xxhash64(c) for c in hashes if c in df.columns}
     return df.withColumns({**out, **{c: digest(c) for c in columns if c in df.columns}})
 
 
@@ -44,6 +46,18 @@ def dictionary(df: DataFrame, columns=("prompt", "answer")) -> DataFrame:
                        .otherwise(F.raise_error(F.lit("two texts share a digest"))).alias("text"))
 
 
+def digest_names(df: DataFrame, column: str = "answer") -> DataFrame:
+    """(digest, text) as in ``dictionary``, but with md5 of the text, in hex, for the text itself.
+
+    Built from the digests and ``<column>_hash`` alone, so no text is shuffled or stored; two texts that share a digest
+    are told apart by that hash and are an error here, too.
+    """
+    h = F.col(f"{column}_hash")
+    both = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("digest")).agg(F.min(h).alias("_a"), F.max(h).alias("_b"))
+    return both.select("digest", F.when(F.col("_a") == F.col("_b"), F.lower(F.hex("digest")))
+                       .otherwise(F.raise_error(F.lit("two texts share a digest"))).alias("text"))
+
+
 def resolve(df: DataFrame, texts: DataFrame, columns=("prompt", "answer")) -> DataFrame:
     """``df`` with the texts of a dictionary in place of the digests of ``columns`` (null stays null)."""
     order = df.columns

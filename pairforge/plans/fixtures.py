@@ -55,9 +55,14 @@ def r1x2_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c0.unionByName(c1)
 
 
-def r2_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict rows from labelled documents: task = source/lang, pass = good and clean."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+def r2_runs(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
+    """Verdict rows from labelled documents: task = source/lang, pass = good and clean.
+
+    ``documents`` may be that table with digests for its texts (``texts.with_digests``): the rows are the same, with
+    digests for answers and the columns beside them, and no text goes through the join."""
+    docs = documents if documents is not None else table(spark, sf_dir, "documents")
+    beside = [c for c in ("text_chars", "text_hash") if c in docs.columns]
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars", *beside)
     labels = table(spark, sf_dir, "labels")
     j = docs.join(labels, "doc_id")
     passed = (F.col("quality") == 1) & (F.col("toxic") == 0)
@@ -75,8 +80,9 @@ def r2_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise("LowQuality").alias("error_type"),
         F.when(passed, F.col("n_chars") / 1000.0).alias("avg_time"),
         F.when(passed, F.col("n_chars") / 1000.0 * 0.1).alias("std_time"),
-        F.when(passed, F.length("text").cast("long")).alias("answer_length"),
+        F.when(passed, F.col("text_chars") if beside else F.length("text").cast("long")).alias("answer_length"),
         F.lit(None).cast("string").alias("error_trace"),
+        *[F.col(c).alias(c.replace("text", "answer")) for c in beside],
     )
 
 

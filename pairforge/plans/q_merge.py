@@ -7,6 +7,7 @@ from pairforge.functions.text import sql_literal
 from pairforge.operators import checks as C
 from pairforge.operators import merge as G
 from pairforge.operators.ranked_store import save_store
+from pairforge.operators.texts import with_digests
 from pairforge.plans import fixtures as X
 from pairforge.plans import oracle_fixtures as O
 from pairforge.plans.registry import r6, register
@@ -19,7 +20,8 @@ R2_MERGE = O.merge_over(O.R2)
 def merged(spark, sf_dir, which="r1"):
     if which == "r1":
         return G.merge_runs(X.r1_runs(spark, sf_dir), raw=X.r1_rows(spark, sf_dir))
-    return G.merge_runs(X.r2_runs(spark, sf_dir))
+    documents = with_digests(X.table(spark, sf_dir, "documents"), ["text"], ["text"], ["text"])
+    return G.merge_runs(X.r2_runs(spark, sf_dir), digested=X.r2_runs(spark, sf_dir, documents))
 
 
 _STAGES: dict = {}

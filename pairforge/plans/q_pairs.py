@@ -74,7 +74,8 @@ FROM ranked c JOIN rf r ON c.split = r.split AND c.task_id = r.task_id
 WHERE c.is_pass
 """)
 def curriculum_pairs_desc(spark, sf_dir):
-    return _pair_cols(P.curriculum_pairs(stage_merge(spark, sf_dir, "r2")["ranked"], increase=False, per_answer=_md5()))
+    ranked = stage_merge(spark, sf_dir, "r2")["ranked_md5"]  # of an answer, pairs have its digest alone
+    return _pair_cols(P.curriculum_pairs(ranked, increase=False, per_answer={"md5": F.col("answer")}))
 
 
 _TASKS_SQL = ", tasks AS (SELECT DISTINCT split, task_id, prompt, n_pass, n_fail FROM ranked)"

@@ -231,3 +231,66 @@ def test_a_verifier_of_rounds_reads_its_answer_once_a_call(monkeypatch):
         mean, std, n = timed_rounds(lambda v=verifier: v(row), 3, reps, 0.1)
         assert len(read) == n * reps and n == 3
         assert (mean, std) == ((51000, 0) if reps == q_more.REPS else (2000, 1000))
+
+
+def _ranked_md5_rows(n):
+    return [("train", "t", i, "p", f"answer {i}" + "x" * i, "passed" if i % 3 else "failed", "" if i % 3 else "E" * (1 + i % 2), 1.0, 0.1) for i in range(n)]
+
+
+RUNS = "split string, task_id string, answer_id long, prompt string, answer string, output string, error_type string, avg_time double, std_time double"
+
+
+def _hashed(runs):
+    return T.with_digests(runs, ["answer"], ["answer"], ["answer"])
+
+
+@pytest.mark.parametrize("digested", [True, False])
+def test_ranked_md5_is_ranked_with_digests_and_stores_no_answer(spark, digested):
+    runs = spark.createDataFrame([*_ranked_md5_rows(30), ("train", "t", 99, None, "no prompt", "passed", "", 1.0, 0.1)], RUNS)
+    m = G.merge_runs(runs, digested=_hashed(runs) if digested else None)
+    named = rows(m.ranked_md5)
+    assert "texts" not in m._cache and "ranked" not in m._cache
+    assert "answer 2" not in str(named) + str(rows(m.rows))
+    assert m.ranked_md5.columns == [c for c in m.ranked.columns if c != "answer_chars"]
+    assert named == rows(m.ranked.withColumn("answer", F.md5("answer"))) and len(named) == 30
+
+
+def test_names_of_digests_tell_texts_apart_by_hash(spark):
+    same = spark.createDataFrame([(b"\x01\xab", 1), (b"\x01\xab", 1), (None, 2)], "answer binary, answer_hash long")
+    assert rows(T.digest_names(same), F.hex("digest"), "text") == [("01AB", "01ab")]
+    with pytest.raises(STOPPED, match="two texts share a digest"):
+        T.digest_names(same.union(spark.createDataFrame([(b"\x01\xab", 3)], same.schema))).collect()
+
+
+def test_curriculum_pairs_desc_moves_and_stores_no_answer(spark, monkeypatch):
+    from pairforge.plans import q_pairs
+    runs = spark.createDataFrame(_ranked_md5_rows(30), RUNS)
+    m = G.merge_runs(runs, digested=_hashed(runs))
+    monkeypatch.setattr(q_pairs, "stage_merge", lambda *a: m)
+    got = q_pairs.curriculum_pairs_desc(spark, "")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "texts" not in m._cache and "ranked" not in m._cache and "texts-" not in plan
+    want = P.curriculum_pairs(m.ranked, increase=False, per_answer={"md5": F.md5("answer")})
+    assert rows(got) == rows(q_pairs._pair_cols(want)) and got.count() == 200
+
+
+def test_copies_of_pairs_grow_slower_than_pairs(spark):
+    def side(n, pos):
+        return spark.range(n).select(F.lit("s").alias("split"), F.lit("t").alias("task_id"), F.lit(n).cast("long").alias("n_pass"),
+                                     F.lit(n).cast("long").alias("n_fail"), F.col("id").alias(pos))
+
+    blocks = [side(n, "c_pos").agg(F.max(F.ceil(F.col("n_fail") / P._width("n_fail", 4)))).collect()[0][0] for n in (4, 16, 256, 1024)]
+    assert blocks == [1, 4, 16, 32]  # copies of a row; 64 and 256 of them if all blocks have one width
+    for n in (1, 5, 16, 17, 300):
+        got = P._cross_in_blocks(side(n, "c_pos"), side(n, "r_pos"), "c_pos", "r_pos", "n_pass", "n_fail", 4)
+        assert got.select("c_pos", "r_pos").distinct().count() == got.count() == n * n
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_text_goes_through_the_join_of_r2(spark):
+    from pairforge.plans import q_merge
+    m = q_merge.merged(spark, SMALL, "r2")
+    above, join, below = m.runs.select(*G.CHECK_KEYS, "answer_chars", "answer_hash")._jdf.queryExecution().optimizedPlan().toString().partition("Join")
+    assert join and "md5(cast(text#" in below and "md5(cast(text#" not in above
+    plain = T.with_digests(X.r2_runs(spark, SMALL), hashes=["answer"])
+    assert rows(m.runs, *plain.columns) == rows(plain)
