@@ -56,7 +56,9 @@ def _cross_in_blocks(left: DataFrame, right: DataFrame, l_rank: str, r_rank: str
     of pairs however large a task is; a small task is a single block and costs
     what a plain equi-join costs. A row is copied once for each block of the
     other side, and blocks widen with their side (``_width``), so a task's
-    copies grow with the power 1.5 of its rows and not with its pairs. Both
+    copies grow with the power 1.5 of its rows and not with its pairs, up to
+    262,144 rows a side for a ``block`` of 256; beyond, with its pairs, at a
+    sixteenth of the number that blocks of ``block`` rows would take. Both
     sides have ``l_count`` and ``r_count``. Copies are few beside the pairs made
     of them, so they are dealt out to all shuffle partitions by number, which
     are not merged for having few bytes; and they are more than the tables'
